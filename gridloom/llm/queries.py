@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .outliers import op2_mcd_outliers
 from .packing import op8_vector_best_fit
+from .pieces import op5_sentencepiece
+from .quality import op1_ordinal_quality
 from .sharding import op6_jump_shards
 from .simhash import op9_simhash_links
+from .warc import op4_warc_salvage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_ordinal_quality,
+        op2_mcd_outliers,
+        op4_warc_salvage,
+        op5_sentencepiece,
         op6_jump_shards,
         op8_vector_best_fit,
         op9_simhash_links,
