@@ -28,44 +28,70 @@ PLAN = "length long, rank_from long, rank_to long, first_sequence long, offset l
 
 
 class WordIds(dict):
-    """Word bytes -> little-endian ids of this word, filled by the tokenizer at first sight.
+    """Word bytes -> little-endian ids of this word, worked out by the tokenizer at first sight.
 
     For tokenizers that never join across white space, a text's ids are its words' ids in turn. Letters followed by
-    ASCII punctuation are two pre-tokens, so the letters are looked up on their own. Both tables start anew at `limit`
-    words, which bounds memory and changes no result.
+    ASCII punctuation are two pre-tokens, so each of them is looked up on its own. If the tokenizer is of the byte-level
+    kind (`byte_level`), letters up to U+017F are handed to its BPE model as the pre-tokenizer would hand them: lower
+    case, bytes spelled as characters. Both tables start anew at their limits, which bounds memory and changes no result.
     """
 
     #: ASCII punctuation other than the apostrophe, which starts contractions.
     TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: How byte-level tokenizers spell the bytes that are no printable characters: U+0100 and up, in order.
+    SPELLED = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+    LAST_PLAIN = "\u017f"
+    DOTTED = "\u0130"
+
+    def __init__(self, vocabulary: str, limit: int = 800_000, byte_level: bool | None = None):
+        import json
 
-    def __init__(self, vocabulary: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        if byte_level is None:
+            with open(vocabulary, encoding="utf-8") as f:
+                steps = json.load(f)
+            kinds = [x["type"] for x in (steps.get("normalizer") or {}).get("normalizers", [])]
+            last = ((steps.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[-1]
+            byte_level = kinds == ["NFC", "Replace", "Lowercase"] and last.get("type") == "ByteLevel" and not last.get("add_prefix_space")
+        self.byte_level = byte_level
         self.limit = limit
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def part(self, text: str) -> bytes:
-        if text not in self.parts:
-            if len(self.parts) >= self.limit:
+    def part(self, own: bytes) -> bytes:
+        """The ids of a run of letters or of punctuation."""
+        ids = self.parts.get(own)
+        if ids is None:
+            if len(self.parts) >= self.limit // 2:
                 self.parts.clear()
-            self.parts[text] = self.encode(text)
-        return self.parts[text]
+            if self.byte_level and (own.isalpha() or own.decode().isalpha()):
+                tokens = self.model.tokenize(own.decode("latin-1").translate(self.SPELLED))
+                ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+            else:
+                ids = self.encode(own.decode())
+            self.parts[own] = ids
+        return ids
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        letters = word.rstrip(self.TAIL).decode()
-        tail = word[len(letters.encode()):].decode()
-        if letters.isalpha():
-            ids = self.part(letters.lower() if letters.isascii() else letters) + (self.part(tail) if tail else b"")
+        letters = word.rstrip(self.TAIL)
+        tail = word[len(letters) :]
+        if not letters.isalpha():
+            text = letters.decode()
+            if not text.isalpha() or max(text) > self.LAST_PLAIN or self.DOTTED in text:
+                ids = self[word] = self.encode(word.decode()) if letters else self.part(word)
+                return ids
+            letters = text.lower().encode()
         else:
-            ids = self.encode(word.decode())
-        self[word] = ids
+            letters = letters.lower()
+        ids = self[word] = self.part(letters) + self.part(tail) if tail else self.part(letters)
         return ids
 
 
