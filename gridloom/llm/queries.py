@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .forest import op7_prefix_forest
 from .outliers import op2_mcd_outliers
 from .packing import op8_vector_best_fit
 from .pieces import op5_sentencepiece
 from .quality import op1_ordinal_quality
 from .sharding import op6_jump_shards
 from .simhash import op9_simhash_links
+from .templates import op3_template_text
+from .urls import op10_association_urls
 from .warc import op4_warc_salvage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,11 +24,14 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_ordinal_quality,
         op2_mcd_outliers,
+        op3_template_text,
         op4_warc_salvage,
         op5_sentencepiece,
         op6_jump_shards,
+        op7_prefix_forest,
         op8_vector_best_fit,
         op9_simhash_links,
+        op10_association_urls,
     )
 }
 
