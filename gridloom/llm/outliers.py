@@ -135,15 +135,22 @@ def chi_square_quantile(tail: float, even_dof: int) -> float:
     return high
 
 
-def grouped(vectors: DataFrame) -> DataFrame:
-    """Add `pool`: the group of each row, after groups that are too small are pooled."""
+def _fine_and_coarse() -> tuple[Column, Column]:
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("lang", "source"))
-    fine, coarse = F.concat(lang, F.lit("\x01"), source), F.concat(lang, F.lit("\x01pool"))
-    keyed = vectors.withColumn("_fine", fine).withColumn("_coarse", coarse)
-    sizes = keyed.groupBy("_fine", "_coarse").agg(F.count("*").alias("n"))
+    return F.concat(lang, F.lit("\x01"), source), F.concat(lang, F.lit("\x01pool"))
+
+
+def pools_of(vectors: DataFrame) -> DataFrame:
+    """(_fine, pool): the pool of each language and source, after groups that are too small are pooled."""
+    fine, coarse = _fine_and_coarse()
+    sizes = vectors.groupBy(fine.alias("_fine"), coarse.alias("_coarse")).agg(F.count("*").alias("n"))
     left_over = F.sum(F.when(F.col("n") < LEAST_GROUP, F.col("n")).otherwise(0)).over(Window.partitionBy("_coarse"))
-    pools = sizes.withColumn("left_over", left_over).select("_fine", F.when(F.col("n") >= LEAST_GROUP, F.col("_fine")).when(F.col("left_over") >= LEAST_GROUP, F.col("_coarse")).otherwise("\x01pool").alias("pool"))
-    return _with_groups(keyed, materialize(pools, "pools"), "_fine").drop("_fine", "_coarse")
+    pool = F.when(F.col("n") >= LEAST_GROUP, F.col("_fine")).when(F.col("left_over") >= LEAST_GROUP, F.col("_coarse")).otherwise("\x01pool")
+    return materialize(sizes.withColumn("left_over", left_over).select("_fine", pool.alias("pool")), "pools")
+
+
+def with_pool(rows: DataFrame, pools: DataFrame) -> DataFrame:
+    return _with_groups(rows.withColumn("_fine", _fine_and_coarse()[0]), pools, "_fine").drop("_fine")
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
@@ -220,12 +227,29 @@ def estimate(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, the five counts, base_failed, kept, distance (null where the base rules fail)."""
     counted = materialize(text_counts(docs, key, "lang", "source").withColumn("base_failed", base_failed()), "counts")
-    rows = materialize(grouped(counted.where("NOT base_failed").select(key, *COUNTS, "lang", "source", *vector())), "vectors")
+    passing = counted.where("NOT base_failed").select(key, *COUNTS, "lang", "source", *vector())
+    rows = materialize(with_pool(passing, pools_of(passing)), "vectors")
     judged = _with_distance(_with_groups(rows, estimate(rows.select("pool", *NAMES)), "pool"))
     passed = judged.select(key, *COUNTS, F.lit(False).alias("base_failed"), (F.col("distance") <= chi_square_quantile(TAIL, len(NAMES))).alias("kept"), "distance")
     failed = counted.where("base_failed").select(key, *COUNTS, "base_failed", F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return passed.unionByName(failed)
 
 
+def keep_documents(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that are kept, with their own columns.
+
+    Rows are counted once for the estimates and once more to judge them in place, so none has to be found again by an id.
+    """
+    counted = text_counts(docs, "lang", "source").where(~base_failed())
+    passing = materialize(counted.select("lang", "source", *vector()), "passing")
+    pools = pools_of(passing)
+    rows = materialize(with_pool(passing, pools), "vectors")
+    known = estimate(rows.select("pool", *NAMES))
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source")
+    own = text_counts(packed, "_row", "lang", "source").where(~base_failed()).select("_row", "lang", "source", *vector())
+    judged = _with_distance(_with_groups(with_pool(own, pools), known, "pool"))
+    return judged.where(F.col("distance") <= chi_square_quantile(TAIL, len(NAMES))).select("_row.*")
+
+
 def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
