@@ -3,30 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The modules that register queries when they are imported.
+PLANS = ("raster",)
+
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def register(name: str, query: Query, sql: str | None = None) -> None:
-    if name in _QUERIES:
-        raise ValueError(f"query {name} is registered twice")
-    _QUERIES[name] = query
-    if sql is not None:
-        _SQL[name] = sql
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register the decorated function under `name`; `sql` gives the same rows on the same tables."""
+
+    def add(f: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for module in PLANS:
+        import_module(f"gridloom.plans.{module}")
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["m3_label_metrics"](spark, sf_dir)
+    return queries()["m3_label_metrics"](spark, sf_dir)
