@@ -32,7 +32,7 @@ def column_of(cell: Column, w: int) -> Column:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with `value` worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
 def dense(entries: Column, h: int, w: int, default) -> Column:
