@@ -234,7 +234,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """
     prints = materialize(fingerprints(docs.where("doc_id IS NOT NULL"), shingle), "prints")
     kept = materialize(link_documents(prints, distance).select(F.col("component_id").alias("doc_id")).distinct(), "kept")
-    rows = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = docs.hint("merge").join(kept, "doc_id", "left_semi").select(*docs.columns)  # one plan at every size
     if prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         rows = rows.dropDuplicates(["doc_id"])
     return rows.unionByName(docs.where("doc_id IS NULL"))
