@@ -85,6 +85,8 @@ def _named_fields(lines: bytes) -> dict[str, str]:
         if not colon or not re.fullmatch(r"[!#$%&'*+\-.^_`|~0-9A-Za-z]+", name):
             raise Damaged("malformed field")
         last = name.lower()
+        if last in fields and last != "warc-concurrent-to":  # all others stand once; twice, two records have run together
+            raise Damaged("repeated field")
         fields[last] = value.strip()
     return fields
 
