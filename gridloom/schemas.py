@@ -10,8 +10,12 @@ CLASSES = ("Center", "Donut", "Edge-Loc", "Edge-Ring", "Loc", "Near-full", "Scra
 LABELS = [f"label_{k}" for k in range(len(CLASSES))]
 
 
+_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "pixels": T.ArrayType(T.StructType([T.StructField("r", T.IntegerType()), T.StructField("c", T.IntegerType())]))}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from "name type, name type", without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (part.split() for part in text.split(", "))])
 
 
 _LABEL_COLUMNS = ", ".join(f"{c} int" for c in LABELS)
@@ -25,8 +29,7 @@ CP_ROWS = _struct("Lot_Id string, Wafer_Number string, Die_X string, Die_Y strin
 TOKENS = _struct(
     "map_id bigint, token int, area int, mass double, centroid_r double, centroid_c double, r_min int, c_min int, r_max int, c_max int, "
     "lambda_1 double, lambda_2 double, orientation double, perimeter int, compactness double, fill double, aspect double, radial double, radial_std double, "
-    "coverage double, max_run double, max_gap double, sector_cv double, support_ratio double, mass_ratio double, peak double, kind string, "
-    "pixels array<struct<r:int,c:int>>"
+    "coverage double, max_run double, max_gap double, sector_cv double, support_ratio double, mass_ratio double, peak double, kind string, pixels pixels"
 )
 
 
