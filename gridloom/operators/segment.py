@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid as G
 from ..functions import segment as S
+from ..sources.scratch import written
 
 
 def eigenvalues(srr: Column, scc: Column, src: Column) -> tuple[Column, Column]:
@@ -132,7 +133,8 @@ def arc_ring_residual_tokens(maps: DataFrame, h: int, w: int, valid: int, min_ar
     to top_k by importance; the result is in display order.
     """
     least, k = adaptive(h, w, valid, min_area, top_k)
-    banded = ring_band(maps, h, w)
+    maps = written(maps.select("map_id", "counts", "valid", "mask"), "maps")  # read twice below
+    banded = written(ring_band(maps, h, w), "banded")
     grouped = banded.withColumn("_parts", S.components(F.col("band_mask"), h, w)).withColumn("_wide", S.components(G.dilate(F.col("band_mask"), h, w), h, w))
     cell = F.arrays_zip(F.col("_parts").alias("part"), F.col("_wide").alias("token"), F.col("counts").alias("n"))
     rows = grouped.select("map_id", F.posexplode(cell).alias("i", "x")).where("x.part > 0").select("map_id", "x.*", G.row_of(F.col("i"), w).alias("r"), G.column_of(F.col("i"), w).alias("c"), F.lit(0).alias("edges"))
@@ -141,6 +143,7 @@ def arc_ring_residual_tokens(maps: DataFrame, h: int, w: int, valid: int, min_ar
     arcs = arcs.where((F.col("area") >= least) & ((F.col("parts") - 1) / F.col("area") <= 0.2) & (F.col("coverage") * 360 >= 45)).drop("parts")
     arcs = arcs.withColumn("kind", F.when(F.col("coverage") >= 0.65, "edge_ring").otherwise("ring_arc"))
     arcs = arcs.withColumn("_rank", F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc("area"), "token"))).where("_rank <= 5").drop("_rank")
+    arcs = written(arcs, "arcs")
     taken = arcs.groupBy("map_id").agg(F.flatten(F.collect_list(F.transform("pixels", lambda p: p["r"] * w + p["c"]))).alias("_taken"), F.count("*").alias("_arcs"))
     rest = maps.join(taken, "map_id", "left").withColumn("mask", F.transform("mask", lambda x, i: F.when(F.coalesce(F.array_contains("_taken", i), F.lit(False)), 0).otherwise(x)))
     residual = token_statistics(region_cells(rest, h, w), h, w, weighted=True, radius=min(h, w) / 2).where(F.col("area") >= least).withColumn("kind", token_kind(ring=False))
@@ -222,11 +225,13 @@ def sparse_density_tokens(maps: DataFrame, h: int, w: int, sigmas: tuple[float,
 
     Better means larger mass, then the finer scale, then the earlier start; a token that goes still shadows others.
     """
+    maps = written(maps.select("map_id", "counts", "valid"), "maps")
     parts = [density_peaks(maps, h, w, s) for s in sigmas]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     every = every.withColumn("_order", F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc("mass"), "sigma", "token")))
+    every = written(every, "peaks")
     other = every.select("map_id", F.col("_order").alias("_o2"), F.col("pixels").alias("_p2"))
     shared = F.size(F.array_intersect("pixels", "_p2")) / F.size(F.array_union("pixels", "_p2"))
     shadowed = every.join(other, "map_id").where((F.col("_o2") < F.col("_order")) & (shared >= overlap)).select("map_id", "_order").distinct()
