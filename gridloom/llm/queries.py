@@ -35,4 +35,10 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-SQL: dict[str, str] = {}
+#: Base32 of a SHA-1: every five hex digits are four letters.
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(digest, cast(5 * (i // 4) + 1 as int), 5) as bigint) >> cast(15 - 5 * (i % 4) as int)) & 31 as int) + 1, 1)), '')"
+
+SQL: dict[str, str] = {
+    "op4_warc_salvage": f"""with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as digest from pages), k as (select digest, max(page_id) as kept from p group by 1)
+ select page_id, cast(octet_length(encode(body)) as bigint) as payload_bytes, {_BASE32} as payload_digest, case when page_id <> kept then 'revisit' else 'response' end as record_type, case when page_id <> kept then kept end as refers_to from p join k using (digest)""",
+}
