@@ -251,3 +251,59 @@ def transform_cells(grid: Column, h: int, w: int, how: str) -> Column:
     if how == "rot90" and h != w:
         raise ValueError("rot90 needs a square grid")
     return let(grid, lambda g: F.transform(cells_of(h, w), lambda i: F.get(g, source(row_of(i, w), column_of(i, w)))))
+
+
+def otsu(values: Column) -> Column:
+    """The value that parts an array best: the first with the largest variance between those up to it and those above."""
+
+    def spread(v: Column) -> Column:
+        n = F.size(v)
+        mean = lambda own: F.aggregate(own, F.lit(0.0), lambda s, x: s + x) / F.size(own)
+
+        def rate(t: Column) -> Column:
+            low, high = F.filter(v, lambda x: x <= t), F.filter(v, lambda x: x > t)
+            gap = mean(low) - mean(high)
+            return F.when((F.size(low) > 0) & (F.size(high) > 0), F.size(low) * F.size(high) * gap * gap / (n * n)).otherwise(0.0)
+
+        return F.transform(F.array_sort(F.array_distinct(v)), lambda t: F.struct(rate(t).alias("rate"), (-t).alias("minus")))
+
+    return let(values, lambda v: -F.array_max(spread(v))["minus"])
+
+
+def pseudo_bins(mask: Column, valid: Column, h: int, w: int, size: int = 4, sigma: float = 2.0) -> Column:
+    """A coarse bin map of a fine one: closed, blurred, averaged over blocks, parted by Otsu, and spread out again (0, 1, 2)."""
+    smooth = blur(F.transform(close_within(mask, valid, h, w), lambda x: x.cast("double")), h, w, sigma)
+    coarse = pool(smooth, h, w, size, "mean")
+
+    def parted(c: Column) -> Column:
+        return let(otsu(c), lambda t: F.transform(c, lambda x: (x > t).cast("int")))
+
+    fine = resize_nearest(let(coarse, parted), -(-h // size), -(-w // size), h, w)
+    return F.zip_with(fine, valid, lambda x, v: F.when(v == 0, 0).otherwise(1 + x))
+
+
+def hashed_share(key: Column, cell: Column, seed: int) -> Column:
+    """A number in [0, 1) for a map and a cell, by plain arithmetic."""
+    return F.pmod((key * 65536 + cell) * 2654435761 + seed, F.lit(4294967296)) / 4294967296.0
+
+
+def dropout(mask: Column, key: Column, share: float, seed: int) -> Column:
+    """Clear about a share of the set cells, by hash."""
+    return F.transform(mask, lambda x, i: F.when(hashed_share(key, i.cast("bigint"), seed) < share, 0).otherwise(x))
+
+
+def noise(mask: Column, valid: Column, key: Column, share: float, seed: int) -> Column:
+    """Set about a share of the valid cells, by hash."""
+    set_ = F.zip_with(mask, valid, lambda x, v: F.struct(x.alias("x"), v.alias("v")))
+    return F.transform(set_, lambda p, i: F.when((p["v"] > 0) & (hashed_share(key, i.cast("bigint"), seed) < share), 1).otherwise(p["x"]))
+
+
+#: Grids that can be derived from a map's arrays, by name: (counts, mask, h, w) -> array. More can be added.
+REPRESENTATIONS: dict[str, Callable[[Column, Column, int, int], Column]] = {
+    "binary": lambda n, m, h, w: m,
+    "count": lambda n, m, h, w: n,
+    "density": lambda n, m, h, w: density(n),
+    "soft": lambda n, m, h, w: blur(density(n), h, w),
+    "three-value": lambda n, m, h, w: three_value_counts(n, h, w),
+    "mountain": lambda n, m, h, w: mountain(n, h, w),
+}

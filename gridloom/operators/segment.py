@@ -243,3 +243,23 @@ def fragmented(maps: DataFrame, h: int, w: int, share: float = 0.5) -> DataFrame
     """map_id and whether most of a map's defects are in regions of one or two cells; the choice of mode `auto`."""
     cells = region_cells(maps, h, w).groupBy("map_id", "token").agg(F.count("*").alias("area"))
     return cells.groupBy("map_id").agg((F.sum(F.when(F.col("area") <= 2, F.col("area")).otherwise(0)) > share * F.sum("area")).alias("fragmented"))
+
+
+#: Segmentation modes by name: (maps, h, w, valid cells) -> tokens. More can be added.
+MODES = {
+    "cc": cc_tokens,
+    "arc-ring-residual": arc_ring_residual_tokens,
+    "sparse-density": lambda maps, h, w, valid: sparse_density_tokens(maps, h, w),
+}
+
+
+def segment(maps: DataFrame, mode: str, h: int, w: int, valid: int) -> DataFrame:
+    """Tokens of every map by a mode of MODES, or by `auto`: sparse density where a map is fragmented, else arcs and the rest."""
+    if mode == "auto":
+        choice = fragmented(maps, h, w)
+        sparse = maps.join(choice.where("fragmented"), "map_id", "left_semi")
+        whole = maps.join(choice.where("fragmented"), "map_id", "left_anti")
+        return segment(sparse, "sparse-density", h, w, valid).unionByName(segment(whole, "arc-ring-residual", h, w, valid), allowMissingColumns=True)
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}; known: auto, {', '.join(MODES)}")
+    return MODES[mode](maps, h, w, valid)

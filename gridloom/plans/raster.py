@@ -218,3 +218,28 @@ def exact_moves(spark, sf_dir):
     names = {"rot90": "rot90", "rot180": "rot180", "flip": "flip", "shift": "shift:1:2"}
     moved = own.select("map_id", F.explode(F.array(*[F.struct(F.lit(n).alias("move"), G.transform_cells(F.col("status"), H, W, how).alias("status")) for n, how in names.items()])).alias("x")).select("map_id", "x.*")
     return A.exploded(moved, "status", keys=("map_id", "move")).select("map_id", F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"), "move", F.col("status").cast("bigint").alias("status"))
+
+
+@query("r5_representations")
+def representations(spark, sf_dir):
+    """Every registered representation of a map, one row each."""
+    own = A.maps(spark, sf_dir)
+    made = F.array(*[F.struct(F.lit(n).alias("name"), F.transform(f(F.col("counts"), F.col("mask"), H, W), lambda x: x.cast("double")).alias("grid")) for n, f in G.REPRESENTATIONS.items()])
+    return own.select("map_id", F.explode(made).alias("x")).select("map_id", "x.*")
+
+
+@query("r17_pseudo_bins")
+def pseudo_bins(spark, sf_dir):
+    own = A.maps(spark, sf_dir).withColumn("bins", G.pseudo_bins(F.col("mask"), F.col("valid"), H, W))
+    return _cells(own, "bins", "status").select("map_id", "r", "c", "status", "bins")
+
+
+_SHARE = "((map_id * 65536 + r * 16 + c) * 2654435761 + {}) % 4294967296 / 4294967296.0"
+
+
+@query("b9_hashed_moves", f"with {SQL_GRID} select map_id, cast(r as bigint) r, cast(c as bigint) c, cast(case when {_SHARE.format(3)} < 0.1 then 0 else n > 0 end as bigint) as dropout_10, cast(case when status > 0 and {_SHARE.format(5)} < 0.03 then 1 else n > 0 end as bigint) as noise_3 from grid")
+def hashed_moves(spark, sf_dir):
+    """Random changes of a map, drawn by hash."""
+    own = A.maps(spark, sf_dir)
+    own = own.withColumn("dropout_10", G.dropout(F.col("mask"), F.col("map_id"), 0.1, 3)).withColumn("noise_3", G.noise(F.col("mask"), F.col("valid"), F.col("map_id"), 0.03, 5))
+    return _cells(own, "dropout_10", "noise_3").select("map_id", *[F.col(x).cast("bigint").alias(x) for x in ("r", "c", "dropout_10", "noise_3")])

@@ -188,3 +188,22 @@ def token_summary(spark, sf_dir):
     own = A.maps(spark, sf_dir).select("map_id", "counts", "mask")
     t = T.region_cells(own, H, W).groupBy("map_id", "token").agg(F.count("*").alias("area")).where("area >= 12")
     return own.select("map_id").join(t, "map_id", "left").select("map_id", F.col("token").cast("bigint").alias("token"), "area", F.col("token").isNull().alias("placeholder"))
+
+
+@query("d4_shape_profile", f"""with {SQL_GRID}, d as (select map_id, r, c, sqrt((r - 8) * (r - 8) + (c - 8) * (c - 8)) as rad, degrees(atan2(r - 8.0, c - 8.0)) as a from grid where n > 0),
+ b as (select map_id, 'ring' as part, least(cast(floor(rad) as bigint), 7) as bin from d union all select map_id, 'sector', least(cast(floor((case when a < 0 then a + 360 else a end) / 30.0) as bigint), 11) from d),
+ k as (select map_id, part, bin, count(*) as n from b group by 1, 2, 3) select map_id, part, bin, n, round(n / sum(n) over (partition by map_id, part), 6) + 0.0 as share from k""")
+def shape_profile(spark, sf_dir):
+    """Radial and angular histograms of a map's defects around the middle."""
+    d = A.exploded(A.maps(spark, sf_dir), "counts").where("counts > 0")
+    ring = F.least(F.floor(F.sqrt((F.col("r") - 8) ** 2 + (F.col("c") - 8) ** 2)), F.lit(7))
+    sector = F.least(F.floor(F.pmod(F.degrees(F.atan2(F.col("r") - F.lit(8.0), F.col("c") - F.lit(8.0))), F.lit(360.0)) / 30.0), F.lit(11))
+    rows = d.select("map_id", F.explode(F.array(F.struct(F.lit("ring").alias("part"), ring.cast("bigint").alias("bin")), F.struct(F.lit("sector").alias("part"), sector.cast("bigint").alias("bin")))).alias("x")).select("map_id", "x.*")
+    k = rows.groupBy("map_id", "part", "bin").agg(F.count("*").alias("n"))
+    return k.withColumn("share", F.col("n") / F.sum("n").over(T.Window.partitionBy("map_id", "part"))).select("map_id", "part", "bin", "n", rounded("share"))
+
+
+@query("g16_auto_tokens")
+def auto_tokens(spark, sf_dir):
+    """Each map by the mode that suits it."""
+    return T.segment(A.maps(spark, sf_dir), "auto", H, W, VALID).select("map_id", "token", "kind", "area", "centroid_r", "centroid_c", "coverage", "place")

@@ -64,6 +64,25 @@ def parse_texts(texts: DataFrame) -> DataFrame:
     return texts.select("path", "text").mapInPandas(run, SCHEMA)
 
 
+def check_texts(texts: DataFrame, least: int = 1) -> DataFrame:
+    """path, status, reason, defects for (path, text) rows: OK, SKIPPED with under `least` defects, or ERROR with what went wrong."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for path, text in zip(part["path"], part["text"]):
+                try:
+                    n = len(parse(text or "")[1])
+                    out.append((path, "OK" if n >= least else "SKIPPED", None, n))
+                except (ValueError, IndexError) as bad:
+                    out.append((path, "ERROR", str(bad), None))
+            own = pd.DataFrame(out, columns=["path", "status", "reason", "defects"])
+            own["defects"] = own["defects"].astype("Int64")
+            yield own
+
+    return texts.select("path", "text").mapInPandas(run, "path string, status string, reason string, defects long")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Defects of all files under a path, each read whole."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
