@@ -15,6 +15,7 @@ doc_id stays null; repeated rows are encoded alike; an empty table gives no rows
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,10 +32,11 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
-#: Words whose ids a worker holds; past it, it starts anew.
-HELD_WORDS = 600_000
-#: Documents whose new words are encoded in one call.
-TOGETHER = 500
+#: Words in each of the two tables of ids that a worker holds: when the newer one is full, the older one is dropped.
+HELD_WORDS = 120_000
+#: Documents whose new words are encoded in one call, and the threads that encode them.
+TOGETHER = 200
+THREADS = 2
 
 
 @dataclass
@@ -154,6 +156,7 @@ class PieceCodec:
         normal = [p for p, _, kind in model.pieces if kind == NORMAL]
         self.by_words = not model.charsmap and not model.squeeze_spaces and model.add_prefix and not any("\n" in p or (MARK in p[1:] and set(p) != {MARK}) for p in normal)
         self.held: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.table = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
 
     @staticmethod
@@ -168,11 +171,15 @@ class PieceCodec:
         parts = [self.split(t) if t else [] for t in texts]
         mark = MARK.encode()
         odd = {k for k, own in enumerate(parts) if b"" in own or mark in texts[k]}
-        new = {w for k, own in enumerate(parts) if k not in odd for w in own if w not in self.held}
-        if len(self.held) + len(new) > HELD_WORDS:
-            self.held.clear()
-            new = {w for k, own in enumerate(parts) if k not in odd for w in own}
-        order = list(new)
+        if len(self.held) >= HELD_WORDS:
+            self.older, self.held = self.held, {}
+        order = []
+        for w in {w for k, own in enumerate(parts) if k not in odd for w in own if w not in self.held}:
+            ids = self.older.get(w)
+            if ids is None:
+                order.append(w)
+            else:
+                self.held[w] = ids
         marked = [w.decode() if w[:1] == b"\n" else MARK + w.decode() for w in order]
         for w, e in zip(order, self.words.encode_batch(marked, add_special_tokens=False)):
             self.held[w] = np.asarray(e.ids, "<u4").tobytes()
@@ -194,6 +201,7 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id") -> D
     """key, ids, n_tokens, restored: whether decoding the ids gives the text back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read when the first batch is encoded
         codec = PieceCodec(load_model(model_path))
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):

@@ -86,6 +86,7 @@ def test_articles_without_furniture():
     assert templates.main_text("", [], None) == ""
     assert templates.main_text("plain words", [], None) == "plain words"
     assert templates.main_text('<p>x<p title="a>b">y<!-- <p>z --><p', [], None).startswith("x\ny")
+    assert templates.main_text('<body><div id="c"><h1>T</h1><div class="w-1/2"><p>Long words here.</p></div></div><div class="x">aside</div></body>', [], None) == "T\nLong words here."
     assert templates.main_text("<main><header><h1>T</h1></header><p hidden>n</p><p>a<i>b</i>c</p></main>", [], None).endswith("abc")
 
 
