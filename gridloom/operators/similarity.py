@@ -33,15 +33,18 @@ def listed_pairs(queries: DataFrame, candidates: DataFrame, manifest: DataFrame,
     return own.join(q, f"q_{key}").join(c, f"c_{key}")
 
 
-def cell_sums(a: Column, b: Column, status: Column) -> Column:
-    """struct of sums over the cells whose reference status is 1 or 2: n, a, b, ab, aa, bb, low (minimum), high (maximum)."""
+SUMS = ("n", "a", "b", "ab", "aa", "bb", "low", "high")
+
+
+def cell_sums(a: Column, b: Column, status: Column, names: tuple[str, ...] = SUMS) -> Column:
+    """struct of the named sums over the cells whose reference status is 1 or 2: n, a, b, ab, aa, bb, low (minimum), high (maximum)."""
     cells = F.zip_with(F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))), status, lambda p, s: F.when(s.isin(1, 2), p))
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("n", "a", "b", "ab", "aa", "bb", "low", "high")])
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
 
     def add(t: Column, p: Column) -> Column:
         x, y = p["x"], p["y"]
         parts = {"n": F.lit(1.0), "a": x, "b": y, "ab": x * y, "aa": x * x, "bb": y * y, "low": F.least(x, y), "high": F.greatest(x, y)}
-        return F.when(p.isNull(), t).otherwise(F.struct(*[(t[n] + v).alias(n) for n, v in parts.items()]))
+        return F.when(p.isNull(), t).otherwise(F.struct(*[(t[n] + parts[n]).alias(n) for n in names]))
 
     return F.aggregate(cells, zero, add)
 
@@ -113,11 +116,15 @@ def chamfer(reference: Column, candidate: Column, status: Column, h: int, w: int
 SIMILARITIES: dict[str, Callable[[Column], Column]] = {"dice": dice, "iou": iou, "ncc": ncc, "cosine": cosine, "coverage": coverage, "leakage-control": leakage_control, "coverage-leakage": lambda s: coverage_leakage(s)["score"]}
 
 
+#: The sums that a method needs, where it does not need all.
+NEEDS = {"dice": ("a", "b", "low"), "iou": ("low", "high"), "cosine": ("ab", "aa", "bb"), "coverage": ("a", "low"), "leakage-control": ("b", "low"), "coverage-leakage": ("a", "b", "low")}
+
+
 def score_pairs(pairs: DataFrame, method: str, grid: str = "mask") -> DataFrame:
     """Add `score` to pairs of maps (q_ and c_ columns) by a method of SIMILARITIES."""
     if method not in SIMILARITIES:
         raise ValueError(f"unknown similarity {method}; known: {', '.join(SIMILARITIES)}")
-    return pairs.withColumn("score", G.let(cell_sums(F.col(f"q_{grid}"), F.col(f"c_{grid}"), F.col("q_status")), SIMILARITIES[method]))
+    return pairs.withColumn("score", G.let(cell_sums(F.col(f"q_{grid}"), F.col(f"c_{grid}"), F.col("q_status"), NEEDS.get(method, SUMS)), SIMILARITIES[method]))
 
 
 def top_k(scored: DataFrame, query: str, candidate: str, k: int, score: str = "score") -> DataFrame:
