@@ -17,7 +17,6 @@ it; repeated rows are scored alike; other columns are left out.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -84,7 +83,7 @@ class OrdinalModel:
         return sigmoid(np.asarray(score)[:, None] - np.asarray(self.thresholds)[None, :])
 
 
-def fit_ordinal(rows: list[list[int]], grades: list[int], grade_count: int = GRADES, min_docs: int = MIN_DOCS, ridge: float = 1e-4, lasso: float = 1.5e-3, rounds: int = 300, rate: float = 0.05) -> OrdinalModel:
+def fit_ordinal(rows: list[np.ndarray], grades: list[int], grade_count: int = GRADES, min_docs: int = MIN_DOCS, ridge: float = 1e-4, lasso: float = 1.5e-3, rounds: int = 300, rate: float = 0.05) -> OrdinalModel:
     """Maximum likelihood with ridge and lasso penalties, by full-batch proximal Adam.
 
     Thresholds are a first one plus positive steps, so they stay ordered. The lasso leaves most words without weight.
@@ -93,11 +92,18 @@ def fit_ordinal(rows: list[list[int]], grades: list[int], grade_count: int = GRA
     if len(set(grades)) < 2:
         top = grades[0] if grades else cuts
         return OrdinalModel({}, [-20.0 if k < top else 20.0 for k in range(cuts)])
-    seen = Counter(f for row in rows for f in row)
-    kept = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= min_docs))}
-    own = [[kept[f] for f in row if f in kept] + [len(kept)] for row in rows]  # a constant last, so that no row is empty
-    index = np.concatenate([np.asarray(r, np.int64) for r in own])
-    lengths = np.asarray([len(r) for r in own])
+    flat = np.concatenate([np.asarray(r, np.int64) for r in rows])
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    found, seen = np.unique(flat, return_counts=True)
+    kept = found[seen >= min_docs]
+    at = np.searchsorted(kept, flat)
+    known = at < len(kept)
+    known[known] = kept[at[known]] == flat[known]
+    # a constant stands at the end of each row, so that no row is empty
+    index = np.concatenate([at[known], np.full(len(rows), len(kept))])
+    owner = np.concatenate([owner[known], np.arange(len(rows))])
+    index = index[np.argsort(owner, kind="stable")]
+    lengths = np.bincount(owner, minlength=len(rows))
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     y = np.asarray(grades)
     n, width = len(y), len(kept) + 1
@@ -133,7 +139,7 @@ def fit_ordinal(rows: list[list[int]], grades: list[int], grade_count: int = GRA
         params[words] = np.sign(params[words]) * np.maximum(np.abs(params[words]) - step[words] * lasso, 0)
     w, free = params[:width], params[width:]
     theta = np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))]) - w[-1]
-    return OrdinalModel({f: float(w[k]) for f, k in kept.items() if w[k]}, theta.tolist())
+    return OrdinalModel({int(f): float(x) for f, x in zip(kept, w) if x}, theta.tolist())
 
 
 def grade(quality: Column, toxic: Column) -> Column:
@@ -152,12 +158,13 @@ def train(docs: DataFrame, rated: DataFrame, grade_count: int = GRADES, max_rows
             found = [list(features_of(t.as_py() or "")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "grade", "features"])
 
-    rows: dict[int, tuple[int, list[int]]] = {}
     featured = texts.select("doc_id", "text", F.col("grade").cast("int").alias("grade")).mapInArrow(run, "doc_id long, grade int, features array<long>")
-    for r in featured.toLocalIterator():
-        rows[r["doc_id"]] = (r["grade"], r["features"])
-    ordered = [rows[k] for k in sorted(rows)]
-    return fit_ordinal([f for _, f in ordered], [g for g, _ in ordered], grade_count)
+    held = featured.toArrow()  # at most max_rows rows, some hundred numbers each
+    lists = held.column("features").combine_chunks()
+    flat, ends = lists.values.to_numpy().astype(np.uint32), lists.offsets.to_numpy()
+    grades = held.column("grade").to_numpy()
+    _, chosen = np.unique(held.column("doc_id").to_numpy(), return_index=True)  # an id once, in order of ids
+    return fit_ordinal([flat[ends[k] : ends[k + 1]] for k in chosen], grades[chosen].tolist(), grade_count)
 
 
 #: A document is kept if it has the top grade with at least this probability.
