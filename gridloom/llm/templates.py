@@ -8,6 +8,11 @@ the slots that hold data. Texts that are template tokens themselves are furnitur
 says otherwise (menus, headers, footers, sidebars, notices, adverts, forms, comments), and they must lie in the page's
 article: an <article> or <main> element, else the place that holds most of the host's text.
 
+Texts of articles are judged by their classes too, but cannot break them: a class is valid by its other tokens alone,
+and such a text is furniture if it has the class's occurrence vector and stands, on the page, in the class's slot where
+it stands on the host. Only whole blocks are dropped, so words that a host puts around data stay. If a host's repeated
+texts are over MOST_SHARE of the articles that hold them, its pages are copies of each other and its articles are kept.
+
 An occurrence vector is never built: its fingerprint is the sum over pages of count times a number drawn for the page,
 taken twice, which Spark adds up in parts. So a host with a third of all pages costs no more per page than others.
 
@@ -34,6 +39,8 @@ from .common import materialize, table
 LEAST_TOKENS = 3
 LEAST_SHARE = 0.5
 LEAST_PAGES = 5
+#: Texts that a host repeats in its articles are furniture up to this share of them, and copied data beyond.
+MOST_SHARE = 0.5
 
 #: What HTML element names, roles and class words mean.
 WHOLE = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "select", "title")
@@ -129,7 +136,10 @@ STATISTICS = "host string, kind int, token long, pages long, times long, first l
 
 
 def page_statistics(pages: DataFrame) -> DataFrame:
-    """Per host and token: pages, times, both fingerprint sums, mean places added up; and characters per place (kind 1)."""
+    """Per host and token: pages, times, both fingerprint sums, mean places added up; and characters per place (kind 1).
+
+    Texts of articles are of kind 2, and their `chars` are the millionths that they take of each page's article.
+    """
     from_types = [pa.string(), pa.int32(), *[pa.int64()] * 5, pa.float64(), pa.int64()]
     names = [c.split()[0] for c in STATISTICS.split(", ")]
 
@@ -142,27 +152,31 @@ def page_statistics(pages: DataFrame) -> DataFrame:
                 draw = xxh3_64_intdigest(str(number))
                 first, second = draw & 0x7FFFFFFF, (draw >> 32) & 0x7FFFFFFF
                 counts: Counter = Counter()
-                places: dict[int, int] = {}
+                places: dict[tuple[int, int], int] = {}
                 chars: Counter = Counter()
+                lengths: dict[int, int] = {}
                 for n, (kind, path, value, furniture, article) in enumerate(tokens_of(html.as_py() or "")):
                     if kind == TEXT:
                         if value == " ":
                             continue
                         if not furniture:
                             chars[key_of(TEXT, path, "") if not article else 0] += len(value)
-                        if article and not furniture:
-                            continue
                     token = key_of(kind, path, value)
-                    counts[token] += 1
-                    places.setdefault(token, n)
-                counts[0] += 1
-                for token, c in counts.items():
-                    row = held.setdefault((host, 0, token), [0, 0, 0, 0, 0.0, 0])
+                    own = (2 if kind == TEXT and article and not furniture else 0, token)
+                    counts[own] += 1
+                    places.setdefault(own, n)
+                    if own[0]:
+                        lengths[token] = lengths.get(token, 0) + len(value)
+                counts[0, 0] += 1
+                for own, c in counts.items():
+                    row = held.setdefault((host, *own), [0, 0, 0, 0, 0.0, 0])
                     row[0] += 1
                     row[1] += c
                     row[2] += c * first
                     row[3] += c * second
-                    row[4] += places.get(token, 0)
+                    row[4] += places.get(own, 0)
+                    if own[0]:
+                        row[5] += 1_000_000 * lengths[own[1]] // chars[0]
                 for token, c in chars.items():
                     held.setdefault((host, 1, token), [0, 0, 0, 0, 0.0, 0])[5] += c
             rows = [(*k, *v) for k, v in held.items()]
@@ -174,14 +188,21 @@ def page_statistics(pages: DataFrame) -> DataFrame:
 
 
 def templates(statistics: DataFrame) -> DataFrame:
-    """host, classes (arrays of tokens in page order), main (the place with most text, null if texts are in articles)."""
-    tokens = statistics.where("kind = 0 AND token <> 0")
+    """host, classes (arrays of tokens in page order), texts (for each class, its texts of articles and their slots), main (the place with most text, null if texts are in articles)."""
+    tokens = statistics.where("kind <> 1 AND token <> 0")
     sizes = statistics.where("kind = 0 AND token = 0").select("host", F.col("pages").alias("all_pages"))
     frequent = tokens.join(sizes, "host").where((F.col("all_pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("all_pages")))
-    classes = frequent.groupBy("host", "pages", "times", "first", "second").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("at"), "token"))).alias("own")).where(F.col("n") >= LEAST_TOKENS)
-    per_host = classes.groupBy("host").agg(F.collect_list(F.transform("own", lambda x: x["token"])).alias("classes"))
+    own = F.array_sort(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("at"), "token", "kind")))
+    share = F.sum(F.when(F.col("kind") == 2, F.col("chars"))) / F.col("pages") / 1e6
+    classes = frequent.groupBy("host", "pages", "times", "first", "second").agg(F.count("*").alias("n"), own.alias("own"), share.alias("share")).where(F.col("n") >= LEAST_TOKENS)
+    marks = F.filter("own", lambda x: x["kind"] == 0)
+    slots = F.transform(F.filter("own", lambda x: x["kind"] == 2), lambda x: F.struct(x["token"].alias("token"), F.size(F.filter(marks, lambda m: m["at"] < x["at"])).alias("slot")))
+    split = classes.select("host", "share", F.transform(marks, lambda m: m["token"]).alias("marks"), slots.alias("slots")).where(F.size("marks") > 0)
+    per_host = split.groupBy("host").agg(F.collect_list(F.struct("marks", "slots")).alias("own"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("share"))
+    texts = F.when((F.col("share") > 0) & (F.col("share") <= MOST_SHARE), F.transform("own", lambda x: x["slots"]))
+    per_host = per_host.select("host", F.transform("own", lambda x: x["marks"]).alias("classes"), texts.alias("texts"))
     place = statistics.where("kind = 1").groupBy("host").agg(F.max_by("token", F.struct("chars", "token")).alias("main"))
-    return sizes.select("host").join(per_host, "host", "left").join(place, "host", "left").select("host", "classes", "main")
+    return sizes.select("host").join(per_host, "host", "left").join(place, "host", "left").select("host", "classes", "texts", "main")
 
 
 def valid_classes(keys: list[int], classes: list[list[int]]) -> set[int]:
@@ -210,6 +231,21 @@ def valid_classes(keys: list[int], classes: list[list[int]]) -> set[int]:
         good.discard(bad)
 
 
+def texts_in_slots(keys: list[int], classes: list[list[int]], good: set[int], texts: list[list[dict]]) -> set[int]:
+    """Positions on this page of the classes' article texts that stand in their slots. texts[c] has token and slot."""
+    where = {token: c for c in good for token in classes[c]}
+    slot_of = {x["token"]: (c, x["slot"] % len(classes[c])) for c in good for x in texts[c]}
+    following = dict.fromkeys(good, 0)
+    out = set()
+    for at, key in enumerate(keys):
+        if key in where:
+            c = where[key]
+            following[c] = (following[c] + 1) % len(classes[c])
+        elif key in slot_of and following[slot_of[key][0]] == slot_of[key][1]:
+            out.add(at)
+    return out
+
+
 def _with_headings(tokens: list[tuple], slots: list[bool], place: str | None) -> str | None:
     """The widest place around `place` that adds nothing but headings to it."""
     if place is None:
@@ -228,13 +264,17 @@ def _with_headings(tokens: list[tuple], slots: list[bool], place: str | None) ->
         place = wider
 
 
-def main_text(html: str, classes: list[list[int]], main: int | None) -> str:
+def main_text(html: str, classes: list[list[int]], main: int | None, texts: list[list[dict]] | None = None) -> str:
     """The blocks of a page's article, joined by line ends."""
     tokens = tokens_of(html)
     in_article = any(t[4] and not t[3] and t[0] == TEXT and t[2] != " " for t in tokens)
     keys = [key_of(k, p, v) if k != TEXT or v != " " else 0 for k, p, v, _, _ in tokens] if classes else []
-    fixed = {token for c in valid_classes(keys, classes) for token in classes[c]} if classes else set()
+    good = valid_classes(keys, classes) if classes else set()
+    fixed = {token for c in good for token in classes[c]}
     slots = [not (kind == TEXT and fixed and key in fixed) for (kind, *_), key in zip(tokens, keys or [0] * len(tokens))]
+    if texts:
+        for at in texts_in_slots(keys, classes, good, texts):
+            slots[at] = False
     chosen = None
     if not in_article:
         mass: Counter = Counter()
@@ -247,13 +287,16 @@ def main_text(html: str, classes: list[list[int]], main: int | None) -> str:
         chosen = _with_headings(tokens, slots, chosen)
     blocks: list[str] = []
     held: list[str] = []
+    own = False  # whether the block holds a text that is no template token
 
     def flush() -> None:
+        nonlocal own
         if held:
             block = " ".join("".join(held).split())
-            if block:
+            if block and own:
                 blocks.append(block)
             held.clear()
+        own = False
 
     for (kind, path, value, furniture, article), slot in zip(tokens, slots):
         if kind != TEXT:
@@ -262,11 +305,12 @@ def main_text(html: str, classes: list[list[int]], main: int | None) -> str:
             elif value == "br":
                 held.append(" ")
             continue
-        if furniture or not slot or (in_article and not article):
+        if furniture or (in_article and not article):
             continue
-        if not in_article and (chosen is None or not (path == chosen or path.startswith(chosen + "/"))):
+        if not in_article and (not slot or chosen is None or not (path == chosen or path.startswith(chosen + "/"))):
             continue
         held.append(unescape(value))
+        own |= slot and value != " "
     flush()
     return "\n".join(blocks)
 
@@ -289,12 +333,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 if host not in held:
                     if len(held) >= 1000:
                         held.clear()
-                    held[host] = (batch.column(4)[k].as_py() or [], batch.column(5)[k].as_py())
+                    held[host] = (batch.column(4)[k].as_py() or [], batch.column(5)[k].as_py(), batch.column(6)[k].as_py())
                 texts.append(main_text(batch.column(3)[k].as_py() or "", *held[host]))
             sizes = pa.array(list(map(len, texts)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
-    joined = own.join(known, "host", "left").select("page_id", "url", "host", "html", "classes", "main")
+    joined = own.join(known, "host", "left").select("page_id", "url", "host", "html", "classes", "main", "texts")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

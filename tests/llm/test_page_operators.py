@@ -102,6 +102,23 @@ def test_templates_drop_what_a_host_repeats(spark):
     assert templates.extract_pages(pages.where("false")).count() == 0
 
 
+def test_templates_drop_what_a_host_repeats_in_articles(spark):
+    page = '<html><body><article><h1>T %d</h1><p>By <b>N%d</b> today</p><p>Words %d, at length.</p><div class="zq"><p>Cite us.</p></div><p>Own %d end.</p><p>All rights kept.</p></article></body></html>'
+    copy = '<html><body><article><h1>One</h1><div class="c"><p>The same long text.</p><p>And more of it.</p></div></article><i>%d</i></body></html>'
+    moved = page.replace("<p>All rights kept.</p>", "").replace("<article>", "<article><p>All rights kept.</p>")
+    rows = [(k, f"http://h/{k}", (moved if k == 7 else page) % (k, k, k, k)) for k in range(12)]
+    rows += [(100 + k, f"http://copies/{k}", copy % k) for k in range(8)] + [(200 + k, f"http://few/{k}", page % (k, k, k, k)) for k in range(4)]
+    out = {r.page_id: r.text for r in templates.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, _, html in rows:
+        alone = templates.main_text(html, [], None)
+        if k == 7:  # out of its slot there, so it may be data
+            assert out[k] == alone.replace("\nCite us.", "")
+        elif k < 100:
+            assert out[k] == f"T {k}\nBy N{k} today\nWords {k}, at length.\nOwn {k} end." != alone
+        else:  # copies of one page are no template, and few pages have none
+            assert out[k] == alone
+
+
 def test_classes_must_be_in_order_and_nest():
     assert templates.valid_classes([1, 2, 9, 3, 1, 2, 3], [[1, 2, 3]]) == {0}
     assert templates.valid_classes([1, 3, 2], [[1, 2, 3]]) == set()
