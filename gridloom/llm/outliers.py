@@ -28,14 +28,16 @@ NOT_SYMBOLS = r"[^#*$%&|<>]+"
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 
-#: The transformed statistics and their least spreads.
-LEAST_SD = {"word_length": 0.05, "symbols": 0.5, "same_lines": 1.0, "repeats": 1.0}
+#: The transformed statistics and their least spreads. For lines and repeats it is one repeated line, and one more
+#: window of three words, in a text of TYPICAL_WORDS words, so that each statistic can pass the cut by itself.
+TYPICAL_WORDS = 270
+LEAST_SD = {"word_length": 0.05, "symbols": 0.5, "same_lines": math.log1p(100 / TYPICAL_WORDS), "repeats": math.log1p(300 / TYPICAL_WORDS)}
 NAMES = list(LEAST_SD)
 LEAST_GROUP = 100
 #: The share of a group that a concentration step keeps, the number of steps, and the tail beyond which to reject.
 SHARE = 0.75
 STEPS = 4
-TAIL = 1e-6
+TAIL = 1e-3
 #: Bins of the distance histogram for each doubling of the distance.
 BINS_PER_DOUBLING = 64
 

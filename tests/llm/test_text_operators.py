@@ -282,6 +282,26 @@ def test_outliers(spark, docs, nothing):
     assert outliers.judge(nothing).count() == 0 and outliers.keep_documents(nothing).count() == 0
 
 
+def test_an_outlier_in_one_statistic_alone(spark):
+    words = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in "rstvz"]
+    r = random.Random(5)
+
+    def lines(own):
+        pairs = [" ".join(own[k : k + 2]) for k in range(0, 60, 2)]
+        return "\n".join(pairs + pairs[::-1][1:])  # no three words stand twice in the same order
+
+    clean = [(k, " ".join(r.sample(words, 120))) for k in range(300)]
+    own = r.sample(words, 93)
+    odd = {"word_length": " ".join(w * 6 for w in own), "symbols": " ".join(f"{w[:2]}%" for w in own), "same_lines": lines(own), "repeats": " ".join(own + own[:27])}
+    rows = clean + [(900 + k, odd[name]) for k, name in enumerate(outliers.NAMES)]
+    table = spark.createDataFrame([(*x, "en", "s") for x in rows], "doc_id long, text string, lang string, source string")
+    out = {x.doc_id: x for x in outliers.judge(table).collect()}
+    assert all(out[k].kept for k in range(300))
+    for k, name in enumerate(outliers.NAMES):
+        assert not out[900 + k].kept and not out[900 + k].base_failed, name
+    assert (out[902].n_dup_lines, out[902].n_repeat_words, out[903].n_dup_lines, out[903].n_repeat_words) == (29, 0, 0, 54)
+
+
 def test_cutoffs():
     assert outliers.chi_square_quantile(0.05, 4) == pytest.approx(9.4877, abs=1e-3)
     assert outliers.chi_square_tail(2.0, 2) == pytest.approx(np.exp(-1))
