@@ -5,8 +5,8 @@ the block and payload digests where given. After a failed check it looks for the
 (a gzip member, or a version line in plain files), carries on there, and reports the bytes between as a quarantined gap.
 
 Nulls and odd rows: a null payload is written as empty; a null id is written as an empty one and read back as null; a
-null url as an empty one; of repeated rows that hold the largest id of a payload, each is a response; an empty table
-gives no archive and no rows; other columns are left out.
+null url as an empty one, and every character of a url but printable ASCII is percent-encoded; of repeated rows that hold the
+largest id of a payload, each is a response; an empty table gives no archive and no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 GZIP_MAGIC = b"\x1f\x8b\x08"
 RECORD_URN = "urn:x-page:"
 END = b"\r\n\r\n"
+NOT_PRINTABLE = re.compile(r"[^\x21-\x7e]+")
 
 #: Compressed bytes after which a task starts its next archive; a larger record has an archive of its own.
 ARCHIVE_BYTES = 16 << 20
@@ -59,7 +60,7 @@ def base32_sha1(data: bytes) -> str:
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One uncompressed record, HTTP headers included."""
     own = "" if page_id is None else str(page_id)
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
+    target = NOT_PRINTABLE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode("utf-8", "surrogatepass")), url or "")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{RECORD_URN}{own}>", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"WARC-Payload-Length: {len(payload)}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}"]
@@ -74,11 +75,22 @@ def gzip_member(data: bytes, level: int = 3) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _named_fields(lines: bytes) -> dict[str, str]:
+def _named_fields(data: bytes, at: int) -> tuple[dict[str, str], int]:
+    """The fields from `at` to the first empty line, and where that ends. Lines end at LF; other separators are data."""
     fields: dict[str, str] = {}
     last = None
-    for line in lines.decode("utf-8", "strict").splitlines():
-        if line[:1] in " \t" and last:
+    while True:
+        stop = data.find(b"\n", at)
+        if stop < 0:
+            raise Damaged("no end of fields")
+        try:
+            line = data[at:stop].removesuffix(b"\r").decode("utf-8", "strict")
+        except UnicodeDecodeError as bad:
+            raise Damaged("bad fields") from bad
+        at = stop + 1
+        if not line:
+            return fields, at
+        if line[0] in " \t" and last:
             fields[last] += " " + line.strip()
             continue
         name, colon, value = line.partition(":")
@@ -88,37 +100,24 @@ def _named_fields(lines: bytes) -> dict[str, str]:
         if last in fields and last != "warc-concurrent-to":  # all others stand once; twice, two records have run together
             raise Damaged("repeated field")
         fields[last] = value.strip()
-    return fields
 
 
-def parse_record(data: bytes | memoryview, at: int = 0) -> Piece:
+def parse_record(data: bytes, at: int = 0) -> Piece:
     """The record that starts at `at`; Damaged if a check fails."""
-    view = memoryview(data)
-    front = bytes(view[at : at + 16])
-    version = VERSION_LINE.match(front)
+    version = VERSION_LINE.match(data, at)
     if not version:
         raise Damaged("no version line")
-    width = CHUNK
-    while True:
-        head = bytes(view[at : at + width])
-        close = re.compile(rb"\r?\n\r?\n").search(head, version.end() - 1)
-        if close or at + width >= len(view):
-            break
-        width *= 4
-    if not close:
-        raise Damaged("no end of fields")
-    try:
-        fields = _named_fields(head[version.end() : close.start()])
-        length = int(fields["content-length"])
-    except (KeyError, ValueError) as bad:
-        raise Damaged("bad fields") from bad
-    start = at + close.end()
-    if length < 0 or start + length > len(view):
+    fields, start = _named_fields(data, version.end())
+    length = fields.get("content-length", "")
+    if not (length.isascii() and length.isdigit()):
+        raise Damaged("no length")
+    length = int(length)
+    if start + length > len(data):
         raise Damaged("block is cut short")
-    block = bytes(view[start : start + length])
-    tail = bytes(view[start + length : start + length + 4])
+    tail = data[start + length : start + length + 4]
     if tail != END and tail[:2] != b"\n\n":
         raise Damaged("block does not end where it should")
+    block = data[start : start + length]
     end = start + length + (4 if tail == END else 2)
     payload = block
     if fields.get("content-type", "").startswith("application/http"):
@@ -150,10 +149,10 @@ def _inflate(view: memoryview, at: int, most: int | None = None) -> tuple[bytes,
     return b"".join(out), pos - len(unpacker.unused_data)
 
 
-def _read_at(view: memoryview, at: int) -> list[Piece]:
+def _read_at(data: bytes, view: memoryview, at: int) -> list[Piece]:
     """The record or the records of the gzip member that start at `at`."""
-    if bytes(view[at : at + 2]) != GZIP_MAGIC[:2]:
-        return [parse_record(view, at)]
+    if data[at : at + 2] != GZIP_MAGIC[:2]:
+        return [parse_record(data, at)]
     raw, end = _inflate(view, at)
     pieces, pos = [], 0
     while pos < len(raw) or not pieces:
@@ -163,31 +162,46 @@ def _read_at(view: memoryview, at: int) -> list[Piece]:
     return pieces
 
 
-def _next_start(data: bytes, view: memoryview, at: int) -> int:
-    """The next place from `at` on where a record may start, else the end."""
-    member = data.find(GZIP_MAGIC, at)
-    while member >= 0:
-        try:
-            if _inflate(view, member, 16)[0].startswith(b"WARC/1."):
-                break
-        except Damaged:
-            pass
-        member = data.find(GZIP_MAGIC, member + 1)
-    plain = VERSION_LINE.search(data, at)
-    return min(member if member >= 0 else len(data), plain.start() if plain else len(data))
+class Starts:
+    """The places where a record may start. What was found ahead is kept, so a file is searched once, however damaged."""
+
+    def __init__(self, data: bytes, view: memoryview):
+        self.data, self.view = data, view
+        self.member = self.plain = -1
+
+    def _next_member(self, at: int) -> int:
+        found = self.data.find(GZIP_MAGIC, at)
+        while found >= 0:
+            try:
+                if _inflate(self.view, found, 16)[0].startswith(b"WARC/1."):
+                    return found
+            except Damaged:
+                pass
+            found = self.data.find(GZIP_MAGIC, found + 1)
+        return len(self.data)
+
+    def after(self, at: int) -> int:
+        """The next start from `at` on, else the end."""
+        if self.member < at:
+            self.member = self._next_member(at)
+        if self.plain < at:
+            line = VERSION_LINE.search(self.data, at)
+            self.plain = line.start() if line else len(self.data)
+        return min(self.member, self.plain)
 
 
 def salvage(data: bytes) -> Iterator[Piece]:
     """Every valid record in order, and a gap for each run of bytes that belongs to none."""
     view, pos = memoryview(data), 0
+    starts = Starts(data, view)
     gap, reason = None, ""
     while pos < len(data):
         try:
-            pieces = _read_at(view, pos)
+            pieces = _read_at(data, view, pos)
         except Damaged as bad:
             if gap is None:
                 gap, reason = pos, str(bad)
-            pos = _next_start(data, view, pos + 1)
+            pos = starts.after(pos + 1)
             continue
         if gap is not None:
             yield Piece(gap, pos, reason=reason)
@@ -316,8 +330,25 @@ def page_number(urn: str):
     return F.when(digits != "", digits.cast("long"))
 
 
+def records_and_gaps(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records, and the log of quarantined bytes (archive, start, stop, reason), of what a reader returned."""
+    records = read.where("reason IS NULL").drop("reason")
+    return records, read.where("reason IS NOT NULL").select("archive", "start", "stop", "reason")
+
+
+def round_trip(pages: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Write `pages` as archives in `folder` and read them back: records and gaps.
+
+    Own archives are whole, so a gap in them, or a count of records other than was written, is an error.
+    """
+    archives = materialize(write_archives(with_revisits(pages), folder), "archives")
+    records, gaps = records_and_gaps(materialize(read_written(archives, folder), "read"))
+    written, got, lost = archives.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], records.count(), gaps.count()
+    if lost or written != got:
+        raise RuntimeError(f"{written} records were written and {got} read back, with {lost} gaps")
+    return records, gaps
+
+
 def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch_path(spark, "warc")
-    archives = materialize(write_archives(with_revisits(table(spark, sf_dir, "pages")), folder), "archives")
-    read = read_written(archives, folder).where("reason IS NULL")
-    return read.select(page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))
+    records, _ = round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return records.select(page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))

@@ -78,6 +78,32 @@ def test_written_archives(spark):
     assert warc.write_archives(warc.with_revisits(pages.where("false")), folder).count() == 0
 
 
+def test_odd_urls_lose_no_page(spark):
+    odd = [chr(c) for c in (0x85, 0x2028, 0x2029, 0xFEFF, 0x1C, 0x1D, 0x1E, 0x0B, 0x0C, 0x0D, 0x0A, 0xE9, 0x1F600)]
+    rows = [(k, f"http://a/{c}x: y{c}", f"page {k % 4}") for k, c in enumerate(odd)]
+    records, gaps = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch_path(spark, "warc"))
+    got = {r.record_id: r.target_uri for r in records.collect()}
+    assert set(got) == {urn(k) for k in range(len(odd))} and gaps.count() == 0
+    from urllib.parse import unquote
+
+    assert all(unquote(got[urn(k)]) == rows[k][1] and got[urn(k)].isascii() for k in range(len(odd)))
+
+
+def test_gaps_are_logged(spark, tmp_path):
+    packed = [warc.gzip_member(r) for r in members(3)]
+    (tmp_path / "a.warc.gz").write_bytes(packed[0] + packed[1][:50] + packed[2])
+    records, gaps = warc.records_and_gaps(warc.read_archives(spark, str(tmp_path)))
+    assert {r.record_id for r in records.collect()} == {urn(0), urn(2)}
+    assert [(r.start, r.stop) for r in gaps.collect()] == [(len(packed[0]), len(packed[0]) + 50)]
+
+
+def test_version_lines_in_bulk_are_searched_once():
+    noise = b"WARC/1.1\r\nbad\r\n" * 20_000
+    data = noise + members(1)[0]
+    found = list(warc.salvage(data))
+    assert [p.reason is None for p in found] == [False, True] and found[1].headers["warc-record-id"] == urn(0)
+
+
 ARTICLE = '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p><b>One  two.<br><p>Three\n four &eacute;.</p><div class="comments"><p>Nice!</p></div></article><footer>&copy; me</footer></body></html>'
 
 
