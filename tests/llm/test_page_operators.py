@@ -108,12 +108,37 @@ ARTICLE = '<html><head><title>T</title><script>var t="</p>";</script></head><bod
 
 
 def test_articles_without_furniture():
-    assert templates.main_text(ARTICLE, [], None) == "A & B\nOne two.\nThree four é."
-    assert templates.main_text("", [], None) == ""
-    assert templates.main_text("plain words", [], None) == "plain words"
-    assert templates.main_text('<p>x<p title="a>b">y<!-- <p>z --><p', [], None).startswith("x\ny")
-    assert templates.main_text('<body><div id="c"><h1>T</h1><div class="w-1/2"><p>Long words here.</p></div></div><div class="x">aside</div></body>', [], None) == "T\nLong words here."
-    assert templates.main_text("<main><header><h1>T</h1></header><p hidden>n</p><p>a<i>b</i>c</p></main>", [], None).endswith("abc")
+    assert templates.main_text(ARTICLE) == "A & B\nOne two.\nThree four é."
+    assert templates.main_text("") == ""
+    assert templates.main_text("plain words") == "plain words"
+    assert templates.main_text('<p>x<p title="a>b">y<!-- <p>z --><p').startswith("x\ny")
+    assert templates.main_text('<body><div id="c"><h1>T</h1><div class="w-1/2"><p>Long words here.</p></div></div><div class="x">aside</div></body>') == "T\nLong words here."
+    assert templates.main_text("<main><header><h1>T</h1></header><p hidden>n</p><p>a<i>b</i>c</p></main>").endswith("abc")
+    assert templates.main_text("<p>a</p><!-- open <p>b</p> c") == "a" and templates.main_text("<p>a</p><script>b</p> c") == "a"
+    assert templates.main_text("<p>a</p>b <!-- c") == "a\nb"
+
+
+def test_an_article_of_many_parts_is_kept_whole():
+    parts = '<div class="content"><h1>T</h1><p>%s</p><ul><li>%s</li></ul><blockquote>%s</blockquote></div><div class="zz"><a href="/">%s</a></div>'
+    long = ["word " * 60, "item " * 100, "quote " * 50, "link " * 40]
+    assert templates.main_text(f"<body>{parts % tuple(long)}</body>") == "\n".join(["T", *(x.strip() for x in long[:3])])
+
+
+def host_pages(page: str, n: int, host: str = "h", first: int = 0) -> list[tuple]:
+    """Pages whose every %w is other words on each page."""
+    r = random.Random(host)
+    words = lambda: " ".join("".join(r.choice("bdfgklmn") + r.choice("aeiou") for _ in range(3)) for _ in range(8))
+    out = []
+    for k in range(n):
+        html = page
+        while "%w" in html:
+            html = html.replace("%w", words(), 1)
+        out.append((first + k, f"http://{host}/{k}", html))
+    return out
+
+
+def run_host(spark, rows):
+    return {r.page_id: r.text for r in templates.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
 def test_templates_drop_what_a_host_repeats(spark):
@@ -133,23 +158,81 @@ def test_templates_drop_what_a_host_repeats_in_articles(spark):
     copy = '<html><body><article><h1>One</h1><div class="c"><p>The same long text.</p><p>And more of it.</p></div></article><i>%d</i></body></html>'
     moved = page.replace("<p>All rights kept.</p>", "").replace("<article>", "<article><p>All rights kept.</p>")
     rows = [(k, f"http://h/{k}", (moved if k == 7 else page) % (k, k, k, k)) for k in range(12)]
-    rows += [(100 + k, f"http://copies/{k}", copy % k) for k in range(8)] + [(200 + k, f"http://few/{k}", page % (k, k, k, k)) for k in range(4)]
-    out = {r.page_id: r.text for r in templates.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    rows += [(100 + k, f"http://copies/{k}", copy % k) for k in range(8)] + [(200 + k, f"http://few/{k}", page % (k, k, k, k)) for k in range(3)]
+    out = run_host(spark, rows)
     for k, _, html in rows:
-        alone = templates.main_text(html, [], None)
+        alone = templates.main_text(html)
         if k == 7:  # out of its slot there, so it may be data
             assert out[k] == alone.replace("\nCite us.", "")
         elif k < 100:
             assert out[k] == f"T {k}\nBy N{k} today\nWords {k}, at length.\nOwn {k} end." != alone
-        else:  # copies of one page are no template, and few pages have none
+        else:  # copies of one page are no template, and few pages are no evidence
             assert out[k] == alone
 
 
+def test_templates_find_plain_articles(spark):
+    """No element or class name helps here: bars of other words on each page, the article in a plain div, and furniture in it."""
+    page = '<html><body class="p%w"><div class="aa"><ul><li><a href="/">%w</a></li><li><a href="/">%w</a></li></ul></div><div class="bb"><h2>%w</h2><div class="cc"><p>%w</p><div class="dd">Liked it? Tell a friend of it.</div><p>%w</p><p>%w</p><p>%w</p></div></div><div class="ee">%w</div></body></html>'
+    rows = host_pages(page, 12)
+    out = run_host(spark, rows)
+    for k, _, html in rows:
+        own = [x for x in __import__("re").sub(r"<[^>]*>", "\n", html).split("\n") if x]
+        assert out[k] == "\n".join([own[2], own[3], *own[5:8]])
+        assert "Liked it" in templates.main_text(html) and "Liked it" not in out[k]
+
+
+def test_classes_against_explicit_vectors(spark):
+    r = random.Random(6)
+    blocks = ['<div class="a"><b>One</b></div>', "<ul><li>x<li>%d</ul>", '<div class="q"><i>Two</i><u>Three</u></div>', "<p>%d words</p>", "<table><tr><td>%d</td></tr></table>"]
+    rows = [(k, f"http://h{k % 2}/{k}", "<body>" + "".join(b.replace("%d", str(r.random())) for b in blocks if r.random() < 0.8) + "</body>") for k in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("url", "html", "page_id as number", "substring(url, 8, 2) as host")
+    got = {x.host: templates.template_of(x.classes, x.texts) for x in templates.class_templates(templates.page_statistics(pages)).collect()}
+    for host in ("h0", "h1"):
+        own = [templates.tokens_of(html).tokens for _, url, html in rows if f"//{host}/" in url]
+        vectors, at = {}, {}
+        for n, tokens in enumerate(own):
+            for k, (kind, key, *_) in enumerate(tokens):
+                if key:
+                    vector = vectors.setdefault((kind == templates.TEXT, key), [0] * len(own))
+                    vector[n] += 1
+                    at.setdefault((kind == templates.TEXT, key), {}).setdefault(n, k)
+        grouped = {}
+        for token, vector in vectors.items():
+            on = sum(map(bool, vector))
+            if on / len(own) >= 0.5 and (not token[0] or (on + 1.92 - 1.96 * (on * (1 - on / len(own)) + 0.9604) ** 0.5) / (len(own) + 3.8416) >= 0.5):
+                grouped.setdefault(tuple(vector), []).append(token)
+        mean = lambda t: sum(at[t].values()) / len(at[t])
+        tags = {tuple(t[1] for t in sorted(own, key=mean) if not t[0]) for own in grouped.values() if len(own) >= 3 and not all(t[0] for t in own)}
+        texts = {t[1] for own in grouped.values() if len(own) >= 3 and not all(t[0] for t in own) for t in own if t[0]}
+        assert set(map(tuple, got[host].classes)) == tags and {t for own in got[host].texts for t in own} == texts
+    assert any(own for t in got.values() for own in t.texts)
+
+
 def test_classes_must_be_in_order_and_nest():
     assert templates.valid_classes([1, 2, 9, 3, 1, 2, 3], [[1, 2, 3]]) == {0}
     assert templates.valid_classes([1, 3, 2], [[1, 2, 3]]) == set()
     assert templates.valid_classes([1, 5, 6, 2, 5, 6], [[1, 2], [5, 6]]) == {0, 1}
-    assert len(templates.valid_classes([1, 5, 2, 6], [[1, 2], [5, 6]])) == 1
+    assert templates.valid_classes([1, 5, 2, 6], [[1, 2], [5, 6]]) == {0}
+    assert templates.valid_classes([1, 5, 2, 6, 3, 7], [[1, 2, 3], [5, 6], [7]]) == {0, 2}
+    assert templates.valid_classes([1, 2], [[1, 2, 3], [4]]) == set()
+
+
+def test_deep_and_broken_pages_take_linear_means(spark):
+    import time
+    import tracemalloc
+
+    odd = ["<div class='x'>" * 50_000 + "text" + "</div>" * 50_000, "<div>" * 50_000 + "text" + "</ul>" * 50_000, "a > b" + "<p " * 100_000, '<a "' * 50_001 + ">", "<!-- " * 50_000, "<script>" * 50_000, "<ul><li>" * 30_000 + "text"]
+    for html in odd:
+        began = time.perf_counter()
+        tracemalloc.start()
+        text = templates.main_text(html)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200 << 20 and time.perf_counter() - began < 60
+        if "text" in html:
+            assert text == "text"
+    out = run_host(spark, [(k, "http://deep/", html) for k, html in enumerate(odd[:2] + odd[-1:])])
+    assert set(out.values()) == {"text"}
 
 
 def by_hand(url):
