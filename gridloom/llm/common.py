@@ -15,6 +15,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 #: Tables up to this many rows may be broadcast; past it, a shuffled join is used.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,12 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def broadcast_if_small(df: DataFrame, size: Column) -> DataFrame:
+    """Broadcast hint only when the counted rows are within BROADCAST_ROWS and the added `size` within BROADCAST_BYTES."""
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if row["n"] <= BROADCAST_ROWS and row["bytes"] <= BROADCAST_BYTES else df
+
+
 def task_count(spark: SparkSession) -> int:
     """Partitions for an explicit deal: the session's shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,17 +1,25 @@
 """URL filters: path rules first, then association rules mined by FP-growth.
 
 A URL becomes a set of tokens: scheme, hyphenated parts of the host labels before the last two, host suffixes of two
-labels or more, path segments with digits made one sign, and names of query parameters. Labelled URLs carry one more
-item, their label, and Spark's FP-growth mines the combinations; those whose confidence for the bad label, its lower
-bound and whose support reach the bounds are rules, and a rule is dropped if a shorter rule inside it is as confident. A URL that holds all tokens of a rule is blocked. Rules are
-matched by an inverted index: each is filed under its rarest token, so a URL meets the rules filed under its tokens.
+labels or more, path segments with digits made one sign, and names of query parameters. From labelled URLs Spark's
+FP-growth mines the combinations that bad ones share; those whose support, confidence for the bad label and lower bound
+of it reach the bounds are rules, and a rule is dropped if a shorter rule inside it is as confident. A URL that holds
+all tokens of a rule is blocked. Rules are matched by an inverted index: each is filed under its rarest token, so a URL
+meets the rules filed under its tokens.
 
-Labels come from the labels table (page_id = doc_id; bad: low quality or toxic) and from SEEDS, host words of known bad
-kinds, as weak labels for pages whose host has one. Rules are mined over all labelled pages.
+Tokens that stand in exactly the same labelled URLs count as one item, and a rule asks for all of them. A rule has
+MAX_RULE items at most. FP-growth's work grows with all subsets of a URL's items, so it mines the URLs of up to LONG
+items; longer ones are mined level by level, up to MAX_RULE. A combination that is frequent over both is frequent in one
+of them at half the support, so these candidates hold every rule; they are counted again over all labelled URLs.
+
+Labels come from the labels table (page_id = doc_id; bad: low quality or toxic). SEEDS, host words of known bad kinds,
+are weak labels of pages without a label: a given label always wins. Each rule tells how many given labels stand behind
+it. Rules are mined over all labelled pages.
 
 Nulls and odd rows: a null url, or one without "://", has an empty host and path, no rule and no tokens, and is allowed;
-a null label counts as none; a page with several labels is bad if any of them is; repeated rows are judged alike; an
-empty table gives no rows; without labels nothing is mined; other columns are left out.
+a null label counts as none; a page with several labels is bad if any of them is; repeated rows are judged alike; of
+several rules that fit, the most confident counts (ties: larger support, then smaller tokens); urls and segments of any
+length are taken whole; an empty table gives no rows; without labels nothing is mined; other columns are left out.
 """
 
 from __future__ import annotations
@@ -21,18 +29,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, table
+from .common import broadcast_if_small, materialize, table
 
 #: Words of hosts that sell pills, bets, adult pages, or pass on adverts and spam.
 SEEDS = ("adult", "ads", "bets", "casino", "pills", "spam")
-BAD, GOOD = "label=bad", "label=good"
 
 #: A rule's share of bad URLs, and the least that this share may truly be (Wilson's lower bound at Z standard errors).
 MIN_CONFIDENCE = 0.8
 MIN_LOWER_BOUND = 0.7
 Z = 1.96
-#: A combination is mined if it is in at least this share of the labelled URLs.
-MIN_SUPPORT = 0.002
+#: A rule holds for this many bad URLs at least, and for this share of the labelled ones.
+MIN_COUNT = 10
+MIN_SUPPORT = 0.0005
+#: Items of a rule, and items of a URL up to which FP-growth mines it.
+MAX_RULE = 3
+LONG = 12
 
 
 @dataclass(frozen=True)
@@ -83,7 +94,7 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     n = F.size(labels)
     words = F.flatten(F.transform(F.slice(labels, 1, F.greatest(n - 2, F.lit(1))), lambda x: F.array_remove(F.split(x, "-"), "")))
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, n), "."))
-    segments = F.array_remove(F.transform(F.split(path, "/"), lambda x: F.regexp_replace(F.substring(_lower(x), 1, 64), r"\d+", "0")), "")
+    segments = F.array_remove(F.transform(F.split(path, "/"), lambda x: F.regexp_replace(_lower(x), r"\d+", "0")), "")
     names = F.array_remove(F.transform(F.split(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), "&"), lambda x: F.regexp_extract(x, r"^([^=]*)", 1)), "")
     tag = lambda own, name: F.transform(own, lambda x: F.concat(F.lit(f"{name}="), x))
     scheme = F.array(F.concat(F.lit("scheme="), _lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1))))
@@ -92,60 +103,117 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def labelled(pages: DataFrame, labels: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
-    """tokens and bad of all pages (page_id, tokens) with a label from the table or the seeds."""
+    """tokens, bad, given of all pages (page_id, tokens) that the table labels, or else a seed does."""
     known = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).where("page_id IS NOT NULL AND bad IS NOT NULL")
     known = known.groupBy("page_id").agg(F.max("bad").alias("bad"))
     seeded = F.arrays_overlap("tokens", F.array(*[F.lit(f"word={s}") for s in seeds])) if seeds else F.lit(False)
-    joined = pages.where(F.size("tokens") > 0).join(known, "page_id", "left")
-    return joined.withColumn("bad", F.when(seeded, True).otherwise(F.col("bad"))).where("bad IS NOT NULL").select("tokens", "bad")
+    joined = pages.where(F.size("tokens") > 0).join(known, "page_id", "left").withColumn("given", F.col("bad").isNotNull())
+    return joined.withColumn("bad", F.coalesce("bad", F.when(seeded, True))).where("bad IS NOT NULL").select("tokens", "bad", "given")
+
+
+def token_items(sets: DataFrame, floor: int) -> DataFrame:
+    """item, members, seen: the tokens in `floor` bad URLs or more; those in exactly the same URLs are one item.
+
+    Which sets a token is in is told by the sums of two numbers drawn for each set.
+    """
+    draws = [F.xxhash64("tokens", F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"d{k}") for k in range(2)]
+    each = sets.select("n", "bad", *draws, F.explode("tokens").alias("token"))
+    counted = each.groupBy("token").agg(F.sum("n").alias("seen"), F.sum("bad").alias("bad"), F.sum("d0").alias("d0"), F.sum("d1").alias("d1")).where(F.col("bad") >= floor)
+    return counted.groupBy("seen", "bad", "d0", "d1").agg(F.min("token").alias("item"), F.sort_array(F.collect_list("token")).alias("members")).select("item", "members", "seen")
+
+
+def level_wise(sets: DataFrame, least: int) -> DataFrame:
+    """items: combinations of up to MAX_RULE that are in `least` bad URLs or more, of (items sorted, bad), level by level."""
+    keep = lambda found: materialize(found.groupBy("rule").agg(F.sum("bad").alias("bad")).where(F.col("bad") >= least).select("rule"), "level")
+    at = sets.select("items", "bad", F.posexplode("items").alias("i", "x")).select("items", "bad", F.col("i").alias("last"), F.array("x").alias("rule"))
+    out = None
+    for size in range(1, MAX_RULE + 1):
+        frequent = keep(at)
+        out = frequent if out is None else out.unionByName(frequent)
+        if size < MAX_RULE:
+            grown = at.join(broadcast_if_small(frequent, F.length(F.array_join("rule", ""))), "rule")
+            grown = grown.withColumn("i", F.explode(F.when(F.col("last") + 1 < F.size("items"), F.sequence(F.col("last") + 1, F.size("items") - 1))))
+            at = grown.select("items", "bad", F.col("i").alias("last"), F.concat("rule", F.array(F.get("items", F.col("i")))).alias("rule"))
+    return out
+
+
+def contained(sets: DataFrame, tokens: str, rules: DataFrame) -> DataFrame:
+    """Each set (array column `tokens`) with each of the rules (rule, anchor) that it holds, by the index of anchors."""
+    index = broadcast_if_small(rules, F.length(F.array_join("rule", "")) + 16 * F.size("rule"))
+    return sets.withColumn("anchor", F.explode(tokens)).join(index, "anchor").where(F.size(F.array_except("rule", tokens)) == 0).drop("anchor")
+
+
+def anchored(rules: DataFrame, seen: DataFrame) -> DataFrame:
+    """Add `anchor`, the rarest of each rule's tokens (token, seen)."""
+    filed = rules.select("rule", F.explode("rule").alias("token")).join(seen, "token")
+    return rules.join(filed.groupBy("rule").agg(F.min_by("token", F.struct("seen", "token")).alias("anchor")), "rule")
 
 
-def mine_rules(cases: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """rule (token array), confidence, support, anchor: from (tokens, bad), by FP-growth."""
+def mine_rules(cases: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
+    """rule (token array), confidence, support, seen, given_bad, given_seen, anchor: from (tokens, bad, given)."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = cases.sparkSession
-    out = "rule array<string>, confidence double, support long, anchor string"
-    cases = materialize(cases, "cases")
-    total = cases.count()
+    out = "rule array<string>, confidence double, support long, seen long, given_bad long, given_seen long, anchor string"
+    flag = lambda c: F.sum(c.cast("long"))
+    sets = materialize(cases.groupBy("tokens").agg(F.count("*").alias("n"), flag(F.col("bad")).alias("bad"), flag(F.col("given")).alias("given_seen"), flag(F.col("given") & F.col("bad")).alias("given_bad")), "cases")
+    total = sets.agg(F.sum("n")).first()[0]
     if not total:
         return spark.createDataFrame([], out)
-    items = cases.select(F.concat("tokens", F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    sets = materialize(model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").cast("long").alias("freq")), "itemsets")
-    bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("rule"), F.col("freq").alias("support"))
-    whole = sets.where(~F.array_contains("items", BAD) & ~F.array_contains("items", GOOD)).select(F.col("items").alias("rule"), F.col("freq").alias("seen"))
-    rules = bad.join(whole, "rule").withColumn("confidence", F.col("support") / F.col("seen"))
+    floor = max(min_count, int(-(-min_support * total // 1)))
+    items = materialize(token_items(sets, floor), "items")
+    of_set = sets.withColumn("token", F.explode("tokens")).join(broadcast_if_small(items.select(F.col("item").alias("token")), F.length("token")), "token")
+    carried = of_set.groupBy("tokens", "n", "bad", "given_seen", "given_bad").agg(F.sort_array(F.collect_list("token")).alias("items")).drop("tokens")
+    carried = materialize(carried, "carried")
+
+    bad = carried.where("bad > 0").select("items", "bad")
+    long = bad.where(F.size("items") > LONG)
+    any_long = bool(long.limit(1).count())
+    least = -(-floor // 2) if any_long else floor
+    short = bad.where(F.size("items") <= LONG).select(F.explode(F.expr("array_repeat(items, cast(bad as int))")).alias("items"))
+    rows = short.count()
+    found = spark.createDataFrame([], "rule array<string>")
+    if rows >= least:
+        model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / rows), minConfidence=1.0).fit(short)
+        found = model.freqItemsets.where(F.size("items") <= MAX_RULE).select(F.sort_array("items").alias("rule"))
+    if any_long:
+        found = found.unionByName(level_wise(long, least)).distinct()
+    seen = items.select(F.col("item").alias("token"), "seen")
+    candidates = materialize(anchored(materialize(found, "itemsets"), seen), "candidates")
+
+    counted = contained(carried, "items", candidates).groupBy("rule").agg(F.sum("n").alias("seen"), F.sum("bad").alias("support"), F.sum("given_bad").alias("given_bad"), F.sum("given_seen").alias("given_seen"))
+    rules = counted.withColumn("confidence", F.col("support") / F.col("seen"))
     n, c = F.col("seen"), F.col("confidence")
     bound = (c + Z * Z / (2 * n) - Z * F.sqrt(c * (1 - c) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
-    rules = rules.where((c >= min_confidence) & (bound >= MIN_LOWER_BOUND))
-    rules = materialize(rules.select("rule", "confidence", "support"), "rules")
-    # drop a rule if another with one token less is at least as confident
-    shorter = rules.select("rule", "confidence", "support", F.explode("rule").alias("token")).withColumn("inner", F.array_remove("rule", F.col("token")))
-    covered = shorter.join(rules.select(F.col("rule").alias("inner"), F.col("confidence").alias("simple")), "inner").where("simple >= confidence").select("rule").distinct()
+    rules = materialize(rules.where((F.col("support") >= floor) & (c >= min_confidence) & (bound >= MIN_LOWER_BOUND)), "rules")
+    # drop a rule if a shorter one inside it is at least as confident
+    parts = F.transform(F.sequence(F.lit(1), F.lit(2**MAX_RULE - 2)), lambda m: F.filter("rule", lambda _, k: F.getbit(m, k) == 1))
+    inner = rules.select("rule", "confidence", F.explode(F.filter(F.array_distinct(parts), lambda x: (F.size(x) > 0) & (F.size(x) < F.size("rule")))).alias("inner"))
+    covered = inner.join(rules.select(F.col("rule").alias("inner"), F.col("confidence").alias("simple")), "inner").where("simple >= confidence").select("rule").distinct()
     kept = rules.join(covered, "rule", "left_anti")
-    single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    filed = kept.select("rule", "confidence", "support", F.explode("rule").alias("token")).join(single, "token")
-    return materialize(filed.groupBy("rule", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor")), "filed")
+    # items back to tokens; every token of an item is seen as often as the item
+    members = kept.select("*", F.explode("rule").alias("item")).drop("seen").join(items, "item")
+    spelt = members.groupBy("rule", "confidence", "support", "given_bad", "given_seen").agg(F.sort_array(F.flatten(F.collect_list("members"))).alias("tokens"), F.min_by("item", F.struct("seen", "item")).alias("anchor"))
+    kept = spelt.join(kept.select("rule", "seen"), "rule")
+    return materialize(kept.select(F.col("tokens").alias("rule"), "confidence", "support", "seen", "given_bad", "given_seen", "anchor"), "filed")
 
 
-def match_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """tokens, confidence, matched: the most confident rule (ties: larger support, then smaller tokens) of each distinct token set that has one."""
-    few = rules.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    index = F.broadcast(rules) if few else rules
-    met = token_sets.select("tokens", F.explode("tokens").alias("anchor")).join(index, "anchor").where(F.size(F.array_except("rule", "tokens")) == 0)
+def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """tokens, confidence, matched: the best rule of each distinct token set of (tokens) that has one; others give no row."""
+    met = contained(pages.select("tokens"), "tokens", rules.select("rule", "confidence", "support", "anchor"))
     best = met.groupBy("tokens").agg(F.min_by(F.struct("confidence", "rule"), F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.col("rule").alias("r"))).alias("b"))
     return best.select("tokens", F.col("b.confidence").alias("confidence"), F.array_join("b.rule", " ").alias("matched"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[PathRule, ...] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[PathRule, ...] = RULES, seeds: tuple[str, ...] = SEEDS, **bounds: float) -> DataFrame:
     """page_id, host, path, rule, verdict, and the mined rule and its confidence where one matched."""
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
     parsed = parsed.withColumn("tokens", url_tokens(F.col("url"), F.col("host"), F.col("path"))).drop("url")
     parsed = materialize(parsed, "urls")
-    mined = mine_rules(labelled(parsed.select("page_id", "tokens"), labels), min_support, min_confidence)
-    matched = match_rules(parsed.select("tokens").distinct(), mined)
+    mined = mine_rules(labelled(parsed.select("page_id", "tokens"), labels, seeds), **bounds)
+    matched = materialize(match_rules(parsed, mined), "matched")  # the sets that a rule fits, and no others
+    matched = broadcast_if_small(matched, F.length(F.array_join("tokens", "")) + 16 * F.size("tokens"))
     judged = parsed.join(matched, "tokens", "left").withColumn("fitted", path_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("fitted.verdict"), F.when(F.col("matched").isNotNull(), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("fitted.rule").alias("rule"), verdict.alias("verdict"), "matched", "confidence")

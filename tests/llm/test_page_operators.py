@@ -273,6 +273,72 @@ def test_rules_are_mined_from_labels(spark):
     assert sum(out[k].verdict == "block" for k in range(240)) == 60
 
 
+def brute_rules(cases, floor, longest):
+    """{rule tokens: (support, seen)} by trying every combination of items over all cases."""
+    from itertools import combinations
+
+    where = {}
+    for n, (tokens, _) in enumerate(cases):
+        for t in tokens:
+            where.setdefault(t, set()).add(n)
+    wrong = {n for n, (_, bad) in enumerate(cases) if bad}
+    items = {}
+    for t, own in where.items():
+        if len(own & wrong) >= floor:
+            items.setdefault(frozenset(own), []).append(t)
+    found = {}
+    for size in range(1, longest + 1):
+        for combo in combinations(items.items(), size):
+            own = frozenset.intersection(*[c[0] for c in combo])
+            n, k = len(own), len(own & wrong)
+            if k < floor or k / n < urls.MIN_CONFIDENCE:
+                continue
+            c, z = k / n, urls.Z
+            if (c + z * z / (2 * n) - z * (c * (1 - c) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n) < urls.MIN_LOWER_BOUND:
+                continue
+            inner = [i for i in found if i < frozenset(x[1][0] for x in combo)]
+            if not any(found[i][1] / found[i][2] >= c for i in inner):
+                found[frozenset(x[1][0] for x in combo)] = (tuple(sorted(t for x in combo for t in x[1])), k, n)
+            else:  # stands as a rule for what is inside it, but is not told of
+                found[frozenset(x[1][0] for x in combo)] = (None, k, n)
+    return {rule: (k, n) for rule, k, n in found.values() if rule}
+
+
+@pytest.mark.parametrize("long", [0, 6])
+def test_rules_against_every_combination(spark, long):
+    """With `long`, a third of the URLs have over LONG items, and no combination is whole on one side of it."""
+    r = random.Random(11)
+    cases = []
+    for k in range(200):
+        tokens = {t for t in "abcdefgh" if r.random() < 0.45}
+        if long and k % 3 == 0:
+            tokens |= {f"x{j}" for j in range(14) if r.random() < 0.9}
+        bad = {"a", "b"} <= tokens or {"c", "d", "e"} <= tokens or (r.random() < 0.15)
+        cases.append((sorted(tokens | {"all", "every"}), bad))
+    table = spark.createDataFrame([(t, b, True) for t, b in cases], "tokens array<string>, bad boolean, given boolean")
+    got = {tuple(x.rule): (x.support, x.seen) for x in urls.mine_rules(table).collect()}
+    assert got == brute_rules(cases, urls.MIN_COUNT, urls.MAX_RULE) and ("a", "b") in got
+
+
+def test_given_labels_win_over_seeds(spark):
+    rows = [(k, f"http://adult-education{k % 2}.test.org/course/{k}") for k in range(60)] + [(100 + k, f"http://big-casino.test.com/{k}") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(50)], "doc_id long, quality int, toxic int")
+    out = {r.page_id: r.verdict for r in urls.judge_urls(pages, labels).collect()}
+    assert all(v == ("allow" if k < 100 else "block") for k, v in out.items())
+    none = {r.verdict for r in urls.judge_urls(pages, labels, seeds=()).collect()}
+    assert none == {"allow"}
+
+
+def test_long_urls_are_mined_in_time(spark):
+    """30 segments, all of them frequent and no two in the same URLs: subsets cannot be enumerated."""
+    r = random.Random(3)
+    rows = [(k, "http://deep.test.com/" + "/".join(f"s{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(30) if r.random() < 0.95) + "/" + "z" * 5000) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    out = urls.judge_urls(pages, spark.createDataFrame([(k, 0, 0) for k in range(60)], "doc_id long, quality int, toxic int")).collect()
+    assert len(out) == 60 and all(x.verdict == "block" for x in out)
+
+
 def test_neighbours_against_brute_force(spark):
     r = np.random.default_rng(4)
     centres = r.normal(size=(12, 24))
