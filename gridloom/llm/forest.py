@@ -2,17 +2,19 @@
 
 Every tree turns a vector into a long string of sign bits and keeps a block's strings in a sorted array. A query
 descends to its longest matching prefix in each tree, then all trees ascend together, one bit at a time, until the
-prefix ranges hold enough visits; the rows in them are the candidates, which are scored on the original vectors.
+prefix ranges hold enough visits. The rows in these ranges are gathered, and they alone are scored, on the original
+vectors.
 
-Rows and queries are dealt into blocks; each pair of blocks is one task's work, and each query keeps its best of all
-blocks. How many visits a query needs depends on the data, so it is set from a bounded sample: the least share of a
-block that finds TARGET_RECALL of the sample's true neighbours. Vectors of different norms are lifted by one coordinate
-for hashing, so that the largest inner product has the smallest angle.
+Rows are dealt into blocks, each row into one; every query asks each block of its vector length and keeps its best of
+all. Queries are dealt into blocks of a bounded number too, so a task's memory is bounded. How many visits are needed
+depends on the data, so each block sets it for itself: the least share of its rows that finds TARGET_RECALL of the true
+neighbours of SAMPLE_QUERIES of its rows. Vectors of different norms are lifted by one coordinate for hashing, so that
+the largest inner product has the smallest angle.
 
 Nulls and odd rows: a vector that is null, zero, or holds a null or non-finite component takes no part, nor does a null
-id, nor a vector whose length is not the most common one (ties: the larger). Rows that repeat an id count once, with the
-smallest vector. Ties in score go to the smaller id. With fewer candidates than asked for, all are returned; an empty
-table gives no rows; other columns are left out.
+id; vectors of different lengths have no inner product, so each length is searched apart; rows that repeat an id are
+rows of their own, and a query leaves out its own row only. Ties in score go to the smaller id. With fewer candidates
+than asked for, all are returned; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -24,32 +26,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, task_count
+from .common import BROADCAST_ROWS, materialize, table, task_count
 
-TREES = 24
+TREES = 128
 BITS = 32
 SEED = 7
-#: Components in a block of rows (rows x dimension), and queries in a block of queries.
-BLOCK_COMPONENTS = 1 << 20
+#: Components in a block of rows (rows x dimension), the least rows that make blocks for parallel work, and queries in a block.
+BLOCK_COMPONENTS = 1 << 21
+LEAST_BLOCK = 8192
 BLOCK_QUERIES = 4096
-#: The calibration sample: rows, queries, the recall aimed at, and the visits tried, as multiples of the rows.
-SAMPLE_ROWS = 8192
-SAMPLE_QUERIES = 96
-TARGET_RECALL = 0.96
-VISITS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, float(TREES))
+#: The calibration in a block: rows asked, the recall aimed at, and the visits tried, as multiples of the rows.
+SAMPLE_QUERIES = 64
+TARGET_RECALL = 0.93
+VISITS = (0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.14, 0.2, 0.28, 0.4, 0.55, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0, 10.0, 30.0, float(TREES))
+#: Rows hashed at once.
+SLICE = 1 << 12
 
 
 def planes(dimension: int, trees: int = TREES, bits: int = BITS, seed: int = SEED) -> np.ndarray:
     """Hyperplanes (dimension + 1, trees * bits), the last row for the lifted coordinate."""
-    return np.random.default_rng(seed).normal(size=(dimension + 1, trees * bits))
+    return np.random.default_rng(seed).normal(size=(dimension + 1, trees * bits)).astype(np.float32)
 
 
-def hash_strings(vectors: np.ndarray, normals: np.ndarray, largest: float | None, trees: int = TREES, bits: int = BITS) -> np.ndarray:
+def hash_strings(vectors: np.ndarray, normals: np.ndarray, largest: float | None, bits: int = BITS) -> np.ndarray:
     """(trees, rows) strings as numbers, first bit highest. largest: the norm to lift rows to; None for queries."""
     lift = np.zeros(len(vectors)) if largest is None else np.sqrt(np.maximum(largest**2 - (vectors**2).sum(axis=1), 0))
-    signs = vectors @ normals[:-1] + lift[:, None] * normals[-1] > 0
-    weights = (1 << np.arange(bits - 1, -1, -1, dtype=np.uint64)).astype(np.uint64)
-    return np.stack([signs[:, t * bits : (t + 1) * bits].astype(np.uint64) @ weights for t in range(trees)])
+    weights = (1 << np.arange(bits - 1, -1, -1, dtype=np.uint64)).astype(np.float64)  # sums stay exact below 2**53
+    out = []
+    scale = largest or float(np.abs(vectors).max(initial=1.0))
+    for at in range(0, len(vectors), SLICE):
+        lifted = np.column_stack([vectors[at : at + SLICE], lift[at : at + SLICE]]) / scale
+        signs = lifted.astype(np.float32) @ normals > 0
+        out.append((signs.reshape(len(signs), -1, bits) @ weights).astype(np.uint64).T)
+    return np.concatenate(out, axis=1) if out else np.zeros((normals.shape[1] // bits, 0), np.uint64)
 
 
 @dataclass
@@ -62,9 +71,9 @@ class Forest:
 
     @classmethod
     def of(cls, vectors: np.ndarray, normals: np.ndarray, largest: float, bits: int = BITS) -> Forest:
-        own = hash_strings(vectors, normals, largest, normals.shape[1] // bits, bits)
+        own = hash_strings(vectors, normals, largest, bits)
         order = np.argsort(own, axis=1, kind="stable")
-        return cls(np.take_along_axis(own, order, axis=1), order, bits)
+        return cls(np.take_along_axis(own, order, axis=1), order.astype(np.int32), bits)
 
     def ranges(self, queries: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(trees, queries): where the rows that share the first `level` bits with each query begin and end."""
@@ -77,7 +86,8 @@ class Forest:
     def ascend(self, queries: np.ndarray, visits: float) -> tuple[np.ndarray, np.ndarray]:
         """The ranges at the deepest common level that holds `visits` rows over all trees (level 0, all rows, if none does).
 
-        Ranges only grow on the way up, so the level is found by bisection rather than bit by bit.
+        Ranges only grow on the way up, so the level is found by bisection rather than bit by bit. One level up would
+        about double the visits, so only as many trees go up that level as are still needed, in their order.
         """
         n = queries.shape[1]
         low, high = np.zeros(n, np.int64), np.full(n, self.bits, np.int64)
@@ -86,53 +96,73 @@ class Forest:
             begin, end = self.ranges(queries, mid)
             enough = (end - begin).sum(axis=0) >= visits
             low, high = np.where(enough, mid, low), np.where(enough, high, mid - 1)
-        return self.ranges(queries, low)
-
-
-def nearest(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, visits: float, normals: np.ndarray, largest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query ids, row ids and scores of the k best candidates of each query in one block."""
-    forest = Forest.of(rows, normals, largest)
-    trees = normals.shape[1] // BITS
-    begin, end = forest.ascend(hash_strings(queries, normals, None, trees), visits * len(rows))
-    out_q, out_r, out_s = [], [], []
-    for at in range(0, len(queries), 64):
-        scores = queries[at : at + 64] @ rows.T
-        for i in range(at, min(at + 64, len(queries))):
-            chosen = np.zeros(len(rows), bool)
-            for t in range(trees):
-                chosen[forest.order[t, begin[t, i] : end[t, i]]] = True
-            chosen &= row_ids != query_ids[i]
-            found = np.flatnonzero(chosen)
-            own = scores[i - at, found]
-            if len(found) > k:
-                edge = -np.partition(-own, k - 1)[k - 1]
-                found = found[own >= edge - 1e-9 * max(1.0, abs(edge))]
-            exact = np.einsum("ij,j->i", rows[found], queries[i])
-            best = np.lexsort((row_ids[found], -exact))[:k]
-            out_q.append(np.full(len(best), query_ids[i]))
-            out_r.append(row_ids[found[best]])
-            out_s.append(exact[best])
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return join(out_q, np.int64), join(out_r, np.int64), join(out_s, np.float64)
-
-
-def true_nearest(rows: np.ndarray, row_ids: np.ndarray, query: np.ndarray, query_id: int, k: int) -> np.ndarray:
-    exact = np.einsum("ij,j->i", rows, query)
-    order = np.lexsort((row_ids, -exact))
-    return row_ids[order][row_ids[order] != query_id][:k]
-
-
-def calibrate(rows: np.ndarray, row_ids: np.ndarray, k: int, normals: np.ndarray, largest: float, target: float = TARGET_RECALL) -> float:
-    """The least of VISITS whose recall on a sample reaches `target`."""
+        begin, end = self.ranges(queries, low)
+        deep_begin, deep_end = self.ranges(queries, np.minimum(low + 1, self.bits))
+        wide, narrow = end - begin, deep_end - deep_begin
+        before = np.cumsum(wide - narrow, axis=0) - (wide - narrow)  # gained by the trees ahead
+        up = narrow.sum(axis=0) + before < visits
+        return np.where(up, begin, deep_begin), np.where(up, end, deep_end)
+
+    def gather(self, begin: np.ndarray, end: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """The rows in one query's ranges, each once, in order; `mark` (bool, one a row, all False) is left as it was."""
+        for order, b, e in zip(self.order, begin, end):
+            mark[order[b:e]] = True
+        found = np.flatnonzero(mark)
+        mark[found] = False
+        return found
+
+
+def best_of(rows: np.ndarray, ids: np.ndarray, keys: np.ndarray, found: np.ndarray, query: np.ndarray, key: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and scores of the k best of the `found` rows for a query, its own row (key) left out."""
+    found = found[keys[found] != key]
+    own = np.einsum("ij,j->i", rows[found], query)
+    if len(found) > k:
+        edge = np.partition(own, len(own) - k)[len(own) - k]
+        near = own >= edge
+        found, own = found[near], own[near]
+    order = np.lexsort((ids[found], -own))[:k]
+    return found[order], own[order]
+
+
+def calibrate(forest: Forest, rows: np.ndarray, ids: np.ndarray, keys: np.ndarray, k: int, normals: np.ndarray, target: float = TARGET_RECALL) -> float:
+    """The least of VISITS whose recall for a sample of the block's own rows reaches `target`."""
     asked = np.arange(len(rows))[:: max(1, len(rows) // SAMPLE_QUERIES)][:SAMPLE_QUERIES]
-    truth = {row_ids[i]: true_nearest(rows, row_ids, rows[i], row_ids[i], k) for i in asked}
-    total = sum(map(len, truth.values()))
-    for visits in VISITS:
-        q, r, _ = nearest(rows, row_ids, rows[asked], row_ids[asked], k, visits, normals, largest)
-        hits = sum(np.isin(r[q == i], own).sum() for i, own in truth.items())
-        if hits >= target * total:
-            return visits
-    return VISITS[-1]
+    every = np.arange(len(rows))
+    truth = [set(best_of(rows, ids, keys, every, rows[i], keys[i], k)[0].tolist()) for i in asked]
+    total = sum(map(len, truth))
+    strings = hash_strings(rows[asked], normals, None)
+    mark = np.zeros(len(rows), bool)
+
+    def recall(visits: float) -> bool:
+        begin, end = forest.ascend(strings, visits * len(rows))
+        return sum(len(own & set(forest.gather(begin[:, j], end[:, j], mark).tolist())) for j, own in enumerate(truth)) >= target * total
+
+    low, high = 0, len(VISITS) - 1
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if recall(VISITS[mid]) else (mid + 1, high)
+    return VISITS[low]
+
+
+def nearest(rows: np.ndarray, ids: np.ndarray, keys: np.ndarray, queries: np.ndarray, query_keys: np.ndarray, k: int, visits: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """For each query in turn, in one block: its position, rows' positions and scores of its k best candidates; and the candidates of all."""
+    normals = planes(rows.shape[1])
+    largest = float(np.sqrt((rows**2).sum(axis=1).max(initial=0.0))) or 1.0
+    forest = Forest.of(rows, normals, largest)
+    if visits is None:
+        visits = calibrate(forest, rows, ids, keys, k, normals)
+    mark = np.zeros(len(rows), bool)
+    out: list[tuple] = []
+    scored = 0
+    for at in range(0, len(queries), SLICE):
+        begin, end = forest.ascend(hash_strings(queries[at : at + SLICE], normals, None), visits * len(rows))
+        for i in range(begin.shape[1]):
+            found = forest.gather(begin[:, i], end[:, i], mark)
+            scored += len(found)
+            best, score = best_of(rows, ids, keys, found, queries[at + i], query_keys[at + i], k)
+            out.append((np.full(len(best), at + i), best, score))
+    join = lambda j, kind: np.concatenate([x[j] for x in out]) if out else np.zeros(0, kind)
+    return join(0, np.int64), join(1, np.int64), join(2, np.float64), scored
 
 
 def usable(vector: Column) -> Column:
@@ -149,37 +179,30 @@ def search(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", ve
     """query_id, rank, vec_id, score: the k nearest found for the rows where `is_query` (a condition on vec_id) holds."""
     spark = vectors.sparkSession
     own = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    own = materialize(own.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    out = "query_id long, rank int, vec_id long, score double"
-    shapes = own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    if shapes is None:
-        return spark.createDataFrame([], out)
-    dimension = shapes["d"]
-    own = own.where(F.size("v") == dimension)
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    sums = own.agg(F.max(square).alias("m"), F.count(F.when(is_query, 1)).alias("q"), F.count("*").alias("n")).first()
-    largest = float(np.sqrt(sums["m"]))
-    sample = own.orderBy(F.xxhash64("vec_id")).limit(SAMPLE_ROWS).toPandas()  # bounded: SAMPLE_ROWS vectors
-    normals = planes(dimension)
-    held = np.array(sample["v"].tolist(), np.float64)
-    visits = calibrate(held, sample["vec_id"].to_numpy(np.int64), k, normals, largest)
-
-    blocks = max(1, -(-sums["n"] * dimension // BLOCK_COMPONENTS))
-    query_blocks = max(1, -(-sums["q"] // BLOCK_QUERIES), min(-(-task_count(spark) // blocks), -(-sums["q"] // 64)))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    query_block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = own.select(block.alias("block"), every(query_blocks).alias("query_block"), F.lit(False).alias("asks"), "vec_id", "v")
-    asked = own.where(is_query).select(every(blocks).alias("block"), query_block.alias("query_block"), F.lit(True).alias("asks"), "vec_id", "v")
+    own = materialize(own.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("v").alias("d"), "v"), "vectors")
+    # how many blocks of rows and of queries each vector length takes
+    counts = own.groupBy("d").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"))
+    by_memory = F.ceil(F.col("n") * F.col("d") / BLOCK_COMPONENTS)
+    for_tasks = F.least(F.lit(task_count(spark)), F.ceil(F.col("n") / LEAST_BLOCK))
+    grid = materialize(counts.where("q > 0").select("d", F.greatest(by_memory, for_tasks).cast("int").alias("blocks"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("query_blocks")), "grid")
+    few = grid.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    dealt = own.join(F.broadcast(grid) if few else grid, "d")
+    block = F.pmod(F.xxhash64("row"), "blocks").cast("int")
+    query_block = F.pmod(F.xxhash64("row", F.lit(1)), "query_blocks").cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = dealt.select("d", block.alias("block"), every("query_blocks").alias("query_block"), F.lit(False).alias("asks"), "row", "vec_id", "v")
+    asked = dealt.where(is_query).select("d", every("blocks").alias("block"), query_block.alias("query_block"), F.lit(True).alias("asks"), "row", "vec_id", "v")
 
     def run(part: pa.Table) -> pa.Table:
         asks = part.column("asks").to_numpy()
-        ids, values = part.column("vec_id").to_numpy(), _matrix(part.column("v"), dimension)
-        q, r, s = nearest(values[~asks], ids[~asks], values[asks], ids[asks], k, visits, planes(dimension), largest)
-        return pa.table({"query_id": q.astype(np.int64), "vec_id": r.astype(np.int64), "score": s})
-
-    found = rows.unionByName(asked).groupBy("block", "query_block").applyInArrow(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        keys, ids, values = part.column("row").to_numpy(), part.column("vec_id").to_numpy(), _matrix(part.column("v"), part.column("d")[0].as_py())
+        order = np.argsort(keys, kind="stable")
+        held, asking = order[~asks[order]], order[asks[order]]
+        q, r, s, _ = nearest(values[held], ids[held], keys[held], values[asking], keys[asking], k) if len(held) and len(asking) else (np.zeros(0, np.int64),) * 4
+        return pa.table({"row": keys[asking[q]], "query_id": ids[asking[q]], "vec_id": ids[held[r]], "score": s.astype(np.float64)})
+
+    found = rows.unionByName(asked).groupBy("d", "block", "query_block").applyInArrow(run, "row long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
