@@ -14,10 +14,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.common import materialize, table
+from gridloom.llm.near import keep_one
 from gridloom.llm.outliers import keep_documents
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.quality import rated_documents, select_documents, train
-from gridloom.llm.simhash import keep_one
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group, with the shingles and distance of the SimHash contract."""
-    return keep_one(docs, shingle=3, distance=2)
+    """The document with the smallest id of each group of near copies: shingles of five words, similarity 0.8 or more."""
+    return keep_one(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

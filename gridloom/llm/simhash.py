@@ -227,19 +227,6 @@ def link_documents(prints: DataFrame, distance: int = 2, key: str = "doc_id") ->
     return prints.join(of_print, "fp").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of `docs` with the smallest doc_id of each group of linked documents, with their own columns.
-
-    Rows that repeat an id count once. Rows without an id cannot be named as anyone's copies and stay.
-    """
-    prints = materialize(fingerprints(docs.where("doc_id IS NOT NULL"), shingle), "prints")
-    kept = materialize(link_documents(prints, distance).select(F.col("component_id").alias("doc_id")).distinct(), "kept")
-    rows = docs.hint("merge").join(kept, "doc_id", "left_semi").select(*docs.columns)  # one plan at every size
-    if prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id IS NULL"))
-
-
 def op9_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = materialize(fingerprints(table(spark, sf_dir, "documents"), shingle=3), "prints")
     linked = link_documents(prints, distance=2)

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridloom.llm import outliers, packing, pieces, quality, sharding, simhash
+from gridloom.llm import near, outliers, packing, pieces, quality, sharding, simhash
 from gridloom.llm.components import components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho".split()
@@ -231,10 +231,105 @@ def test_fingerprints(spark, docs, nothing):
     hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 3]), 42) for k in range(len(words) - 2)]
     assert own[2] % (1 << 64) == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
     assert simhash.link_documents(simhash.fingerprints(nothing)).count() == 0
-    kept = simhash.keep_one(docs)
-    ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == docs.columns and len(set(ids)) == len(ids)
-    assert {3, 7, 100, 107, None} <= set(ids) and not {101, 102, 105, 108} & set(ids)
+
+
+def test_bit_counts():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 2, 3, 5, 100, 1001):
+        own = r.integers(0, 1 << 63, size=(4, n), dtype=np.uint64)
+        assert near.bit_counts(own).tolist() == [[sum(int(x) >> (63 - b) & 1 for x in row) for b in range(64)] for row in own]
+
+
+def edited(text: str, share: float, seed: int) -> str:
+    r = random.Random(seed)
+    words = text.split()
+    for k in r.sample(range(len(words)), int(share * len(words))):
+        words[k] = f"new{r.random()}"
+    return " ".join(words)
+
+
+def jaccard(a: str, b: str) -> float:
+    x, y = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_against_every_pair(spark):
+    base = [text_of(500 + k, 300 + k) for k in range(40)]
+    texts = base + [edited(t, 0.02 * (k % 4), k) for k, t in enumerate(base)] + [edited(base[0], 0.004 * j, 90 + j) for j in range(8)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = near.long_prints(table).cache()
+    got = {x.doc_id: x.root for x in near.near_groups(prints).collect()}
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sure, maybe = [], set()
+    for i in range(len(texts)):
+        for j in range(i):
+            s = jaccard(texts[i], texts[j])
+            if s >= 0.8:
+                sure.append((i, j))
+            if s >= 0.7:
+                maybe.add((i, j))
+                root[find(i)] = find(j)
+    assert len(sure) > 40 and sum(got[i] == got[j] for i, j in sure) >= 0.95 * len(sure)
+    assert all(find(i) == find(j) for i in range(len(texts)) for j in range(i) if got[i] == got[j])
+
+
+def test_large_buckets_lose_no_link():
+    """Chains and clusters of fingerprints; what cluster_links joins is what all pairs join."""
+    r = np.random.default_rng(7)
+    rows = [r.integers(0, 1 << 63, size=near.WORDS, dtype=np.uint64)]
+    for k in range(260):
+        flip = r.random((near.WORDS, 64)) < r.choice([0.02, 0.06, 0.13, 0.3])
+        rows.append(rows[r.integers(len(rows))] ^ np.packbits(flip, axis=1).view(">u8").astype(np.uint64).reshape(-1))
+    fps, most = np.array(rows), 300
+
+    def roots(links):
+        root = list(range(len(fps)))
+        for a, b in links:
+            x, y = a, b
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
+            root[max(x, y)] = min(x, y)
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+        return [top(x) for x in range(len(fps))]
+
+    every = [(i, j) for i in range(len(fps)) for j in np.flatnonzero(near.distance_of(fps[i + 1 :], fps[i]) <= most) + i + 1]
+    found = near.cluster_links(fps, most)
+    assert all(near.distance_of(fps[a], fps[b]) <= most for a, b in found) and len(found) < len(fps)
+    assert roots(found) == roots(every) and len(set(roots(every))) > 3
+
+
+def test_thresholds_reach_the_recall():
+    parts = [([10.0 * (k + 1), 25.0 * (k + 1)], [0.1 + 0.02 * k, 0.3 + 0.02 * k]) for k in range(9)]
+    cost, missed, chosen = near.allocate_for_recall(parts, 0.2)
+    from itertools import product
+
+    options = [(sum(parts[i][0][k] for i, k in enumerate(c) if k >= 0), np.prod([1 - parts[i][1][k] for i, k in enumerate(c) if k >= 0])) for c in product((-1, 0, 1), repeat=9)]
+    best = min(c for c, m in options if m <= 0.2)
+    assert missed <= 0.2 and best <= cost <= 1.05 * best
+    assert near.allocate_for_recall(parts[:2], 1e-9)[2] == [1, 1]
+
+
+def test_one_of_each_group_stays(docs, nothing):
+    other = docs.where("doc_id = 7").limit(1).selectExpr("doc_id", "'a text of its own under an id that is taken already' as text", *docs.columns[2:])
+    own = docs.unionByName(other)
+    kept = near.keep_one(own)
+    rows = kept.collect()
+    ids = [r.doc_id for r in rows]
+    assert kept.columns == docs.columns
+    assert {3, 7, 100, 107, None} <= set(ids) and not {101, 102, 105, 106, 108} & set(ids)
+    assert sorted(r.text[:6] for r in rows if r.doc_id == 7) == sorted(["a text", text_of(7, 61)[:6]])
+    assert ids.count(3) == 1 and near.keep_one(nothing).count() == 0
 
 
 def test_components_of_a_long_chain(spark):
