@@ -9,9 +9,10 @@ checked on another word first and then verified on the whole fingerprint, whose
 0.02; a pair links up to TOLERANCE below the asked similarity, so that pairs at it are not lost by chance.
 
 Equal fingerprints are one node. Keys that up to PAIRED nodes share are compared pairwise. Larger buckets, as made by
-groups of many near copies, are clustered by leaders on whole fingerprints: members of two clusters are compared only
-while nothing joins the clusters and their leaders are within three times the distance, beyond which no member of one
-can link to one of the other. So no link between different components is lost, and no bucket's pairs are written.
+groups of many near copies, are clustered on whole fingerprints in their task, up to DENSE rows by a matrix of distances
+and beyond that by leaders: members of two clusters are compared only while nothing joins the clusters and their leaders
+are within three times the distance, beyond which no member of one can link to one of the other. So no link between
+different components is lost, and no bucket's pairs are written.
 
 Nulls and odd rows: a null text has no words, and texts without words are copies of each other; fewer words than a
 shingle make one shingle; rows with the same id and the same text count once; different texts under one id are
@@ -46,6 +47,8 @@ PARTS = (2, 3, 4)
 ROW_COST = 8.0
 #: Buckets up to this size are compared pairwise.
 PAIRED = 64
+#: Buckets up to this size are clustered by a matrix of distances.
+DENSE = 4096
 #: Standard deviations that the word checked first may be beyond the expected distance.
 FIRST_CHECK = 3.5
 #: Shingle hashes counted at once.
@@ -221,6 +224,27 @@ def _close(part: np.ndarray, other: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
+def dense_links(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(first position, position) for all rows that links within distance `most` join, by one product of sign matrices."""
+    signs = np.unpackbits(fps.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+    least = signs.shape[1] - 2 * most  # the product at that distance
+    near = np.empty((len(fps), len(fps)), bool)
+    for at in range(0, len(fps), 512):
+        near[at : at + 512] = signs[at : at + 512] @ signs.T >= least
+    free = np.ones(len(fps), bool)
+    links = []
+    for head in range(len(fps)):
+        if not free[head]:
+            continue
+        free[head] = False
+        edge = np.array([head])
+        while len(edge):
+            edge = np.flatnonzero(near[edge].any(axis=0) & free)
+            free[edge] = False
+            links += [(head, x) for x in edge.tolist()]
+    return links
+
+
 def cluster_links(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Links (positions) within distance `most` that join whatever such links join, without trying all pairs.
 
@@ -335,7 +359,7 @@ def near_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def cluster(part: pa.Table) -> pa.Table:
         order = np.argsort(part.column("node").to_numpy(), kind="stable")
         nodes, fps = part.column("node").to_numpy()[order], _matrix(part.column("fp"))[order]
-        links = np.array(cluster_links(fps, most), np.int64).reshape(-1, 2)
+        links = np.array((dense_links if len(fps) <= DENSE else cluster_links)(fps, most), np.int64).reshape(-1, 2)
         return pa.table({"a": nodes[links[:, 0]], "b": nodes[links[:, 1]]})
 
     pairs = met.where("bucket IS NULL").select("a", "b").distinct()

@@ -306,7 +306,7 @@ def test_large_buckets_lose_no_link():
     every = [(i, j) for i in range(len(fps)) for j in np.flatnonzero(near.distance_of(fps[i + 1 :], fps[i]) <= most) + i + 1]
     found = near.cluster_links(fps, most)
     assert all(near.distance_of(fps[a], fps[b]) <= most for a, b in found) and len(found) < len(fps)
-    assert roots(found) == roots(every) and len(set(roots(every))) > 3
+    assert roots(found) == roots(every) == roots(near.dense_links(fps, most)) and len(set(roots(every))) > 3
 
 
 def test_thresholds_reach_the_recall():
