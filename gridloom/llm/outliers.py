@@ -4,14 +4,16 @@ Every document gets counts over its whole text. Documents that pass the base rul
 statistics; per language and source, a minimum-covariance-determinant estimate of centre and scatter is taken over all
 of them, and a document is rejected if its Mahalanobis distance is beyond a chi-square quantile.
 
-The estimate runs concentration steps from two starts, one robust and one classical, and keeps per group the one with
-the smaller determinant, then reweights. The closest share of a group is cut off by a histogram of distances, so no
-group is ever gathered or sorted in one task. Each statistic has a least spread (LEAST_SD), since most are zero for
-most texts. Groups under LEAST_GROUP documents are pooled by language, and languages still under it all together.
+The estimate runs concentration steps from four starts (medians and quartiles, spatial signs, a central box, and plain
+moments), keeps per group the one with the smallest determinant, then reweights. The closest share of a group is cut off
+by a histogram of distances, so no group is ever gathered or sorted in one task. Each statistic has a least spread
+(LEAST_SD), since most are zero for most texts. The same estimate is taken per language and over all documents, and a
+group's centre and scatter are those of a mixture of its own documents with PRIOR_ROWS of its language, which in turn is
+mixed with as many of all: a small group leans on its language, a large one stands alone, and nothing changes at a size.
 
 Nulls and odd rows: a null text has no words and fails the base rules; a null language or source is a value of its own;
-repeated rows count each time; a pool of any size, even one document, has an estimate thanks to LEAST_SD; an empty
-table gives no rows; other columns are left out of the result, or kept as they are by `keep_documents`.
+repeated rows count each time; a group of any size, even one document, has an estimate; an empty table gives no rows;
+other columns are left out of the result, or kept as they are by `keep_documents`.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ MOST_REPEATED = 50
 TYPICAL_WORDS = 270
 LEAST_SD = {"word_length": 0.05, "symbols": 0.5, "same_lines": math.log1p(100 / TYPICAL_WORDS), "repeats": math.log1p(300 / TYPICAL_WORDS)}
 NAMES = list(LEAST_SD)
-LEAST_GROUP = 100
+#: Documents of its language that a group is mixed with, and of all that a language is.
+PRIOR_ROWS = 100
 #: The share of a group that a concentration step keeps, the number of steps, and the tail beyond which to reject.
 SHARE = 0.75
 STEPS = 4
@@ -137,22 +140,13 @@ def chi_square_quantile(tail: float, even_dof: int) -> float:
     return high
 
 
-def _fine_and_coarse() -> tuple[Column, Column]:
-    lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("lang", "source"))
-    return F.concat(lang, F.lit("\x01"), source), F.concat(lang, F.lit("\x01pool"))
+ALL = "all"
 
 
-def pools_of(vectors: DataFrame) -> DataFrame:
-    """(_fine, pool): the pool of each language and source, after groups that are too small are pooled."""
-    fine, coarse = _fine_and_coarse()
-    sizes = vectors.groupBy(fine.alias("_fine"), coarse.alias("_coarse")).agg(F.count("*").alias("n"))
-    left_over = F.sum(F.when(F.col("n") < LEAST_GROUP, F.col("n")).otherwise(0)).over(Window.partitionBy("_coarse"))
-    pool = F.when(F.col("n") >= LEAST_GROUP, F.col("_fine")).when(F.col("left_over") >= LEAST_GROUP, F.col("_coarse")).otherwise("\x01pool")
-    return materialize(sizes.withColumn("left_over", left_over).select("_fine", pool.alias("pool")), "pools")
-
-
-def with_pool(rows: DataFrame, pools: DataFrame) -> DataFrame:
-    return _with_groups(rows.withColumn("_fine", _fine_and_coarse()[0]), pools, "_fine").drop("_fine")
+def _levels() -> tuple[Column, Column, Column]:
+    """The keys of a document's group, its language, and all."""
+    lang, source = (F.coalesce(F.concat(F.lit("="), F.hex(c)), F.lit("-")) for c in ("lang", "source"))
+    return F.concat(lang, F.lit("/"), source), lang, F.lit(ALL)
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
@@ -169,8 +163,12 @@ def _moments(scale: float) -> list[Column]:
     return [F.count("*").alias("n"), *means, *scatter]
 
 
+def _scatter_names() -> list[str]:
+    return [f"c{i}{j}" for i in range(len(NAMES)) for j in range(i + 1)]
+
+
 def _factored(groups: DataFrame, *keys: str) -> DataFrame:
-    """keys, n, centre m_i, and the factors l_ij and d_i of the covariance L D L'."""
+    """keys, n, centre m_i, scatter c_ij, and the factors l_ij and d_i of the scatter, L D L'."""
     p = range(len(NAMES))
     out = groups
     for j in p:
@@ -178,7 +176,7 @@ def _factored(groups: DataFrame, *keys: str) -> DataFrame:
         for i in range(j + 1, len(NAMES)):
             out = out.withColumn(f"l{i}{j}", (F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") * F.col(f"d{k}") for k in range(j)), F.lit(0.0))) / F.col(f"d{j}"))
     factors = [f"d{j}" for j in p] + [f"l{i}{j}" for j in p for i in range(j + 1, len(NAMES))]
-    return out.select(*keys, "n", *[f"m{i}" for i in p], *factors, sum((F.log(f"d{j}") for j in p), F.lit(0.0)).alias("log_det"))
+    return out.select(*keys, "n", *[f"m{i}" for i in p], *_scatter_names(), *factors, sum((F.log(f"d{j}") for j in p), F.lit(0.0)).alias("log_det"))
 
 
 def _with_distance(rows: DataFrame) -> DataFrame:
@@ -190,13 +188,22 @@ def _with_distance(rows: DataFrame) -> DataFrame:
 
 
 def _starts(rows: DataFrame) -> DataFrame:
-    """Start 0: medians and scaled median deviations; start 1: means and covariances."""
+    """Start 0: medians and quartile spreads; 1: plain moments; 2: spatial signs; 3: moments of a central box."""
     p = range(len(NAMES))
-    robust = rows.groupBy("pool").agg(F.count("*").alias("n"), *[F.percentile_approx(NAMES[i], [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i in p])
-    sd = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(0.0)) for i in p]  # quartiles of a normal are 1.349 sd apart
-    robust = robust.select("pool", F.lit(0).alias("start"), "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in p], *[((sd[i] ** 2 + LEAST_SD[NAMES[i]] ** 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in p for j in range(i + 1)])
+    quartiles = rows.groupBy("pool").agg(F.count("*").alias("n"), *[F.percentile_approx(NAMES[i], [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i in p])
+    spread = lambda i: (F.greatest(F.col(f"q{i}")[2] - F.col(f"q{i}")[0], F.lit(0.0)) / 1.349) ** 2 + LEAST_SD[NAMES[i]] ** 2  # noqa: E731  quartiles of a normal are 1.349 sd apart
+    middle = materialize(quartiles.select("pool", "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in p], *[F.sqrt(spread(i)).alias(f"s{i}") for i in p]), "middle")
+    centre = [F.col(f"m{i}") for i in p]
+    robust = middle.select("pool", F.lit(0).alias("start"), "n", *centre, *[(F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in p for j in range(i + 1)])
+    scaled = _with_groups(rows, middle, "pool").select("pool", "n", *centre, *[f"s{i}" for i in p], *NAMES, *[((F.col(NAMES[i]) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"u{i}") for i in p])
+    length = F.greatest(sum((F.col(f"u{i}") ** 2 for i in p), F.lit(0.0)), F.lit(1e-9))
+    first = lambda c: F.first(c).alias(c)  # noqa: E731  one value in a pool
+    signs = scaled.groupBy("pool").agg(first("n"), *[first(f"m{i}") for i in p], *[first(f"s{i}") for i in p], *[(F.avg(F.col(f"u{i}") * F.col(f"u{j}") / length) * len(NAMES)).alias(f"e{i}{j}") for i in p for j in range(i + 1)])
+    signs = signs.select("pool", F.lit(2).alias("start"), "n", *centre, *[(F.col(f"e{i}{j}") * F.col(f"s{i}") * F.col(f"s{j}") + (LEAST_SD[NAMES[i]] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i in p for j in range(i + 1)])
+    box = scaled.where(" AND ".join(f"abs(u{i}) <= 1.5" for i in p))
+    boxed = box.groupBy("pool").agg(*_moments(1.0)).withColumn("start", F.lit(3))
     classical = rows.groupBy("pool").agg(*_moments(1.0)).withColumn("start", F.lit(1))
-    return _factored(robust.unionByName(classical), "pool", "start")
+    return _factored(robust.unionByName(classical).unionByName(signs).unionByName(boxed), "pool", "start")
 
 
 def _closest(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -211,7 +218,7 @@ def _closest(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def estimate(rows: DataFrame) -> DataFrame:
-    """For written `rows` (pool, statistics): each pool's reweighted estimate, factored."""
+    """For written `rows` (pool, statistics): each pool's reweighted estimate, with its factors."""
     p = len(NAMES)
     inner = chi_square_quantile(1 - SHARE, p)
     consistency = SHARE / (1 - chi_square_tail(inner, p + 2))
@@ -226,13 +233,46 @@ def estimate(rows: DataFrame) -> DataFrame:
     return materialize(again.unionByName(missed), "estimate")
 
 
+def _mixed(groups: DataFrame, prior: DataFrame, key: str) -> DataFrame:
+    """Moments of each group's documents mixed with PRIOR_ROWS of the prior with the same `key`."""
+    p = range(len(NAMES))
+    moments = [f"m{i}" for i in p] + _scatter_names()
+    joined = _with_groups(groups, prior.select(key, *[F.col(c).alias(f"p_{c}") for c in moments]), key)
+    w = F.col("n") / (F.col("n") + PRIOR_ROWS)
+    gap = [F.col(f"m{i}") - F.col(f"p_m{i}") for i in p]
+    means = [(w * F.col(f"m{i}") + (1 - w) * F.col(f"p_m{i}")).alias(f"m{i}") for i in p]
+    scatter = [(w * F.col(f"c{i}{j}") + (1 - w) * F.col(f"p_c{i}{j}") + w * (1 - w) * gap[i] * gap[j]).alias(f"c{i}{j}") for i in p for j in range(i + 1)]
+    return joined.select("pool", "lang", F.lit(ALL).alias("all"), "n", *means, *scatter)
+
+
+def group_estimates(vectors: DataFrame) -> DataFrame:
+    """pool, and the centre and factors to judge its documents by, for written `vectors` (lang, source, statistics)."""
+    group, lang, every = _levels()
+    keys = materialize(vectors.select(group.alias("pool"), lang.alias("lang")).distinct(), "keys")
+    rows = materialize(vectors.select(F.explode(F.array(group, lang, every)).alias("pool"), *NAMES), "levels")
+    known = estimate(rows).select("pool", "n", *[f"m{i}" for i in range(len(NAMES))], *_scatter_names())
+    top = known.where(F.col("pool") == ALL).withColumnRenamed("pool", "all")
+    langs = known.join(keys.select(F.col("lang").alias("pool")).distinct(), "pool").withColumn("lang", F.col("pool")).withColumn("all", F.lit(ALL))
+    langs = _mixed(langs, top, "all")
+    groups = _mixed(known.join(keys, "pool").withColumn("all", F.lit(ALL)), langs.drop("pool"), "lang")
+    return materialize(_factored(groups, "pool"), "groups")
+
+
+def with_distance(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Add `distance` to rows (lang, source, statistics)."""
+    return _with_distance(_with_groups(rows.withColumn("pool", _levels()[0]), known.drop("n"), "pool"))
+
+
+def within_tail() -> Column:
+    return F.col("distance") <= chi_square_quantile(TAIL, len(NAMES))
+
+
 def judge(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, the five counts, base_failed, kept, distance (null where the base rules fail)."""
     counted = materialize(text_counts(docs, key, "lang", "source").withColumn("base_failed", base_failed()), "counts")
-    passing = counted.where("NOT base_failed").select(key, *COUNTS, "lang", "source", *vector())
-    rows = materialize(with_pool(passing, pools_of(passing)), "vectors")
-    judged = _with_distance(_with_groups(rows, estimate(rows.select("pool", *NAMES)), "pool"))
-    passed = judged.select(key, *COUNTS, F.lit(False).alias("base_failed"), (F.col("distance") <= chi_square_quantile(TAIL, len(NAMES))).alias("kept"), "distance")
+    passing = materialize(counted.where("NOT base_failed").select(key, *COUNTS, "lang", "source", *vector()), "vectors")
+    judged = with_distance(passing, group_estimates(passing.select("lang", "source", *NAMES)))
+    passed = judged.select(key, *COUNTS, F.lit(False).alias("base_failed"), within_tail().alias("kept"), "distance")
     failed = counted.where("base_failed").select(key, *COUNTS, "base_failed", F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return passed.unionByName(failed)
 
@@ -240,17 +280,13 @@ def judge(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that are kept, with their own columns.
 
-    Rows are counted once for the estimates and once more to judge them in place, so none has to be found again by an id.
+    Rows are written beside their statistics, so each text is counted once and none has to be found again by an id.
     """
-    counted = text_counts(docs, "lang", "source").where(~base_failed())
-    passing = materialize(counted.select("lang", "source", *vector()), "passing")
-    pools = pools_of(passing)
-    rows = materialize(with_pool(passing, pools), "vectors")
-    known = estimate(rows.select("pool", *NAMES))
     packed = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source")
-    own = text_counts(packed, "_row", "lang", "source").where(~base_failed()).select("_row", "lang", "source", *vector())
-    judged = _with_distance(_with_groups(with_pool(own, pools), known, "pool"))
-    return judged.where(F.col("distance") <= chi_square_quantile(TAIL, len(NAMES))).select("_row.*")
+    counted = text_counts(packed, "_row", "lang", "source").where(~base_failed())
+    passing = materialize(counted.select("_row", "lang", "source", *vector()), "passing")
+    known = group_estimates(passing.select("lang", "source", *NAMES))
+    return with_distance(passing, known).where(within_tail()).select("_row.*")
 
 
 def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

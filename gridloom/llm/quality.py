@@ -11,6 +11,7 @@ over the whole text (symbols, capitals, repeated neighbours, distinct words, len
 The model is fitted on at most TRAIN_ROWS labelled documents, those with the smallest hashed ids; every document is
 scored whole. Nulls and odd rows: a null or empty text has the rate codes of no words; null ids are scored but not
 trained on; a label with a null or out of range grade is left out; an id rated twice counts with its smallest grade;
+different texts under one id are trained on each, equal ones once;
 without any labels, or with one grade only, every document gets that grade (no labels: the top one) and is judged by
 it; repeated rows are scored alike; other columns are left out.
 """
@@ -83,54 +84,68 @@ class OrdinalModel:
         return sigmoid(np.asarray(score)[:, None] - np.asarray(self.thresholds)[None, :])
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: list[int], grade_count: int = GRADES, min_docs: int = MIN_DOCS, ridge: float = 1e-4, lasso: float = 1.5e-3, rounds: int = 300, rate: float = 0.05) -> OrdinalModel:
-    """Maximum likelihood with ridge and lasso penalties, by full-batch proximal Adam.
+@dataclass
+class Design:
+    """Training rows as one flat list of feature positions, and their grades."""
+
+    index: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    grades: np.ndarray
+    width: int
+    cuts: int
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray], grades: np.ndarray, width: int, grade_count: int) -> Design:
+        """`rows` hold positions below `width`, at least one each."""
+        lengths = np.array([len(r) for r in rows])
+        return cls(np.concatenate(rows), np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths, np.asarray(grades), width, grade_count - 1)
+
+    def likelihood(self, params: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+        """Mean negative log-likelihood with the ridge penalty, and its gradient.
+
+        params: the weights, the first threshold, and the logarithms of the steps to the next ones, which keep them ordered.
+        """
+        y, cuts, n = self.grades, self.cuts, len(self.grades)
+        w, free = params[: self.width], params[self.width :]
+        gaps = np.exp(free[1:])
+        theta = np.concatenate([[free[0]], free[0] + np.cumsum(gaps)])
+        eta = np.add.reduceat(w[self.index], self.starts)
+        lower, upper = y > 0, y < cuts
+        above = np.where(lower, sigmoid(eta - theta[np.maximum(y - 1, 0)]), 1.0)
+        over = np.where(upper, sigmoid(eta - theta[np.minimum(y, cuts - 1)]), 0.0)
+        p = np.maximum(above - over, 1e-12)
+        d_above, d_over = above * (1 - above) / p, over * (1 - over) / p
+        slope = -(d_above - d_over) / n
+        grad = np.zeros_like(params)
+        grad[: self.width] = np.bincount(self.index, weights=np.repeat(slope, self.lengths), minlength=self.width) + ridge * w
+        by_cut = np.zeros(cuts)
+        np.add.at(by_cut, (y - 1)[lower], d_above[lower] / n)
+        np.add.at(by_cut, y[upper], -d_over[upper] / n)
+        grad[self.width] = by_cut.sum()
+        grad[self.width + 1 :] = np.cumsum(by_cut[::-1])[::-1][1:] * gaps
+        return float(-np.log(p).mean() + ridge / 2 * (w @ w)), grad
 
-    Thresholds are a first one plus positive steps, so they stay ordered. The lasso leaves most words without weight.
-    """
+
+def fit_ordinal(rows: list[np.ndarray], grades: list[int], grade_count: int = GRADES, min_docs: int = MIN_DOCS, ridge: float = 1e-4, lasso: float = 1.5e-3, rounds: int = 300, rate: float = 0.05) -> OrdinalModel:
+    """Maximum likelihood with ridge and lasso penalties, by full-batch proximal Adam. The lasso leaves most words without weight."""
     cuts = grade_count - 1
     if len(set(grades)) < 2:
         top = grades[0] if grades else cuts
         return OrdinalModel({}, [-20.0 if k < top else 20.0 for k in range(cuts)])
-    flat = np.concatenate([np.asarray(r, np.int64) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    found, seen = np.unique(flat, return_counts=True)
+    found, seen = np.unique(np.concatenate([np.asarray(r, np.int64) for r in rows]), return_counts=True)
     kept = found[seen >= min_docs]
-    at = np.searchsorted(kept, flat)
-    known = at < len(kept)
-    known[known] = kept[at[known]] == flat[known]
-    # a constant stands at the end of each row, so that no row is empty
-    index = np.concatenate([at[known], np.full(len(rows), len(kept))])
-    owner = np.concatenate([owner[known], np.arange(len(rows))])
-    index = index[np.argsort(owner, kind="stable")]
-    lengths = np.bincount(owner, minlength=len(rows))
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    y = np.asarray(grades)
-    n, width = len(y), len(kept) + 1
-    share = np.clip([(y > k).mean() for k in range(cuts)], 1e-3, 1 - 1e-3)
+    constant = [len(kept)]  # at the end of each row, so that none is empty
+    design = Design.of([np.concatenate([np.searchsorted(kept, own[np.isin(own, kept)]), constant]) for own in (np.asarray(r, np.int64) for r in rows)], grades, len(kept) + 1, grade_count)
+    width = design.width
+    share = np.clip([(design.grades > k).mean() for k in range(cuts)], 1e-3, 1 - 1e-3)
     first = -np.log(share / (1 - share))
     params = np.zeros(width + cuts)
     params[width] = first[0]
     params[width + 1 :] = np.log(np.maximum(np.diff(first), 1e-2))
     moment, spread = np.zeros_like(params), np.zeros_like(params)
-    lower, upper = y > 0, y < cuts
     for t in range(1, rounds + 1):
-        w, free = params[:width], params[width:]
-        gaps = np.exp(free[1:])
-        theta = np.concatenate([[free[0]], free[0] + np.cumsum(gaps)])
-        eta = np.add.reduceat(w[index], starts)
-        above = np.where(lower, sigmoid(eta - theta[np.maximum(y - 1, 0)]), 1.0)
-        over = np.where(upper, sigmoid(eta - theta[np.minimum(y, cuts - 1)]), 0.0)
-        p = np.maximum(above - over, 1e-12)
-        d_above, d_over = above * (1 - above) / p, over * (1 - over) / p
-        slope = -(d_above - d_over) / n
-        grad = np.zeros_like(params)
-        grad[:width] = np.bincount(index, weights=np.repeat(slope, lengths), minlength=width) + ridge * w
-        by_cut = np.zeros(cuts)
-        np.add.at(by_cut, (y - 1)[lower], d_above[lower] / n)
-        np.add.at(by_cut, y[upper], -d_over[upper] / n)
-        grad[width] = by_cut.sum()
-        grad[width + 1 :] = np.cumsum(by_cut[::-1])[::-1][1:] * gaps
+        _, grad = design.likelihood(params, ridge)
         moment = 0.9 * moment + 0.1 * grad
         spread = 0.999 * spread + 0.001 * grad * grad
         step = rate * min(1.0, 2 * (1 - t / (rounds + 1))) / (np.sqrt(spread / (1 - 0.999**t)) + 1e-8)
@@ -147,30 +162,43 @@ def grade(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, 0).when((quality == 1) & (toxic == 1), 1).when((quality == 1) & (toxic == 0), 2)
 
 
-def train(docs: DataFrame, rated: DataFrame, grade_count: int = GRADES, max_rows: int = TRAIN_ROWS) -> OrdinalModel:
-    """Fit on the whole texts of at most `max_rows` rated documents; `rated` has (doc_id, grade)."""
+def training_rows(docs: DataFrame, rated: DataFrame, grade_count: int, max_rows: int) -> tuple[list[int], list[np.ndarray]]:
+    """Grades and features of at most `max_rows` rated documents, in one order on every run.
+
+    A document is an id with a text (told by its hash), so different texts under one id each count once.
+    """
     one = rated.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, grade_count - 1)).groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_rows ids
+    named = docs.select("doc_id", F.xxhash64("text").alias("content")).distinct().join(one, "doc_id")
+    sample = named.orderBy(F.xxhash64("doc_id"), "doc_id", "content").limit(max_rows)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("content"), "text").join(F.broadcast(sample), ["doc_id", "content"])  # at most max_rows keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list(features_of(t.as_py() or "")) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "grade", "features"])
+            found = [sorted(features_of(t.as_py() or "")) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "content", "grade", "features"])
 
-    featured = texts.select("doc_id", "text", F.col("grade").cast("int").alias("grade")).mapInArrow(run, "doc_id long, grade int, features array<long>")
-    held = featured.toArrow()  # at most max_rows rows, some hundred numbers each
-    lists = held.column("features").combine_chunks()
-    flat, ends = lists.values.to_numpy().astype(np.uint32), lists.offsets.to_numpy()
-    grades = held.column("grade").to_numpy()
-    _, chosen = np.unique(held.column("doc_id").to_numpy(), return_index=True)  # an id once, in order of ids
-    return fit_ordinal([flat[ends[k] : ends[k + 1]] for k in chosen], grades[chosen].tolist(), grade_count)
+    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "content", "text", F.col("grade").cast("int").alias("grade"))
+    featured = texts.mapInArrow(run, "doc_id long, content long, grade int, features array<long>").dropDuplicates(["doc_id", "content"])
+    held = featured.toArrow().combine_chunks()  # at most max_rows rows, some hundred numbers each
+    held = held.sort_by([("doc_id", "ascending"), ("content", "ascending")])
+    return held.column("grade").to_pylist(), [np.asarray(x, np.int64) for x in held.column("features").to_pylist()]
+
+
+def train(docs: DataFrame, rated: DataFrame, grade_count: int = GRADES, max_rows: int = TRAIN_ROWS) -> OrdinalModel:
+    """Fit on the whole texts of at most `max_rows` rated documents; `rated` has (doc_id, grade)."""
+    grades, features = training_rows(docs, rated, grade_count, max_rows)
+    return fit_ordinal(features, grades, grade_count)
 
 
 #: A document is kept if it has the top grade with at least this probability.
 SELECT_PROBABILITY = 0.65
 
 
+def _tails(spread, texts: pa.Array) -> np.ndarray:
+    """Tail probabilities of texts by a broadcast model."""
+    return spread.value.tails(np.array([spread.value.score(t.as_py() or "") for t in texts], float))
+
+
 def score_documents(docs: DataFrame, model: OrdinalModel, select_grade: int = GRADES - 1, select_probability: float = SELECT_PROBABILITY) -> DataFrame:
     """doc_id, expected_grade, p_at_least_1, ..., kept for every document."""
     cuts = len(model.thresholds)
@@ -179,7 +207,7 @@ def score_documents(docs: DataFrame, model: OrdinalModel, select_grade: int = GR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tails = spread.value.tails(np.array([spread.value.score(t.as_py() or "") for t in batch.column(1)], float))
+            tails = _tails(spread, batch.column(1))
             columns = [batch.column(0), pa.array(tails.sum(axis=1)), *(pa.array(tails[:, k]) for k in range(cuts)), pa.array(tails[:, select_grade - 1] >= select_probability)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", *names, "kept"])
 
@@ -194,8 +222,7 @@ def select_documents(docs: DataFrame, model: OrdinalModel, select_grade: int = G
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tails = spread.value.tails(np.array([spread.value.score(t.as_py() or "") for t in batch.column(at)], float))
-            yield batch.filter(pa.array(tails[:, select_grade - 1] >= select_probability))
+            yield batch.filter(pa.array(_tails(spread, batch.column(at))[:, select_grade - 1] >= select_probability))
 
     return docs.mapInArrow(run, docs.schema)
 
