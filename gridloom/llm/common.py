@@ -16,6 +16,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Tables up to this many rows may be broadcast; past it, a shuffled join is used.
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 16 << 20
+#: Rows of an Arrow batch that holds whole texts.
+TEXT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(rows: DataFrame) -> DataFrame:
+    """`rows` with texts, for mapInArrow: Arrow batches are kept to TEXT_ROWS rows, so that long texts do not fill a worker."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf.set(name, str(min(TEXT_ROWS, int(conf.get(name, "10000")))))
+    return rows
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

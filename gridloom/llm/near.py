@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialize
+from .common import BROADCAST_BYTES, materialize, text_batches
 from .components import components
 from .simhash import mask_of, split_bits
 
@@ -115,7 +115,7 @@ def long_prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(fps, pa.binary())], ["doc_id", "content", "node", "fp"])
 
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, content long, node long, fp binary")
+    return text_batches(own).mapInArrow(run, "doc_id long, content long, node long, fp binary")
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

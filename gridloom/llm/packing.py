@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, text_batches
 from .ranking import number_within
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -113,7 +113,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, max_tokens: int, end_id: int =
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, PIECES)
+    return text_batches(docs.select("doc_id", F.col("text").cast("binary").alias("text"))).mapInArrow(cut, PIECES)
 
 
 def plan_bins(counts: dict[int, int], max_tokens: int, max_docs: int, max_attention: int, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> tuple[list[tuple[int, int, int, int, int]], int]:

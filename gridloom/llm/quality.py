@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_batches
 
 #: The documented bound of the training sample.
 TRAIN_ROWS = 12_000
@@ -133,10 +133,16 @@ def fit_ordinal(rows: list[np.ndarray], grades: list[int], grade_count: int = GR
     if len(set(grades)) < 2:
         top = grades[0] if grades else cuts
         return OrdinalModel({}, [-20.0 if k < top else 20.0 for k in range(cuts)])
-    found, seen = np.unique(np.concatenate([np.asarray(r, np.int64) for r in rows]), return_counts=True)
+    flat = np.concatenate([np.asarray(r, np.int64) for r in rows])
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    found, seen = np.unique(flat, return_counts=True)
     kept = found[seen >= min_docs]
-    constant = [len(kept)]  # at the end of each row, so that none is empty
-    design = Design.of([np.concatenate([np.searchsorted(kept, own[np.isin(own, kept)]), constant]) for own in (np.asarray(r, np.int64) for r in rows)], grades, len(kept) + 1, grade_count)
+    at = np.searchsorted(kept, flat)
+    known = np.isin(flat, kept)
+    # a constant stands at the end of each row, so that none is empty
+    at, owner = np.append(at[known], np.full(len(rows), len(kept))), np.append(owner[known], np.arange(len(rows)))
+    lengths = np.bincount(owner, minlength=len(rows))
+    design = Design(at[np.argsort(owner, kind="stable")], np.cumsum(lengths) - lengths, lengths, np.asarray(grades), len(kept) + 1, cuts)
     width = design.width
     share = np.clip([(design.grades > k).mean() for k in range(cuts)], 1e-3, 1 - 1e-3)
     first = -np.log(share / (1 - share))
@@ -178,7 +184,7 @@ def training_rows(docs: DataFrame, rated: DataFrame, grade_count: int, max_rows:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "content", "grade", "features"])
 
     texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "content", "text", F.col("grade").cast("int").alias("grade"))
-    featured = texts.mapInArrow(run, "doc_id long, content long, grade int, features array<long>").dropDuplicates(["doc_id", "content"])
+    featured = text_batches(texts).mapInArrow(run, "doc_id long, content long, grade int, features array<long>").dropDuplicates(["doc_id", "content"])
     held = featured.toArrow().combine_chunks()  # at most max_rows rows, some hundred numbers each
     held = held.sort_by([("doc_id", "ascending"), ("content", "ascending")])
     return held.column("grade").to_pylist(), [np.asarray(x, np.int64) for x in held.column("features").to_pylist()]
@@ -212,7 +218,7 @@ def score_documents(docs: DataFrame, model: OrdinalModel, select_grade: int = GR
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", *names, "kept"])
 
     shape = "doc_id long, expected_grade double, " + "".join(f"{n} double, " for n in names) + "kept boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, shape)
+    return text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, shape)
 
 
 def select_documents(docs: DataFrame, model: OrdinalModel, select_grade: int = GRADES - 1, select_probability: float = SELECT_PROBABILITY) -> DataFrame:
@@ -224,7 +230,7 @@ def select_documents(docs: DataFrame, model: OrdinalModel, select_grade: int = G
         for batch in batches:
             yield batch.filter(pa.array(_tails(spread, batch.column(at))[:, select_grade - 1] >= select_probability))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)
 
 
 def rated_documents(labels: DataFrame) -> DataFrame:
