@@ -59,8 +59,8 @@ def token_statistics(cells: DataFrame, h: int, w: int, weighted: bool = False, r
 def token_kind(ring: bool = True) -> Column:
     """edge_ring, line, blob, central or irregular, in this order; `ring` False leaves edge_ring out."""
     elongation = F.col("lambda_1") / F.greatest("lambda_2", F.lit(1e-6))
-    kind = F.when((elongation >= 6) | (F.col("aspect") >= 4), "line").when((F.col("fill") >= 0.45) & (F.col("compactness") <= 1.6), "blob").when(F.col("radial_mean") <= 0.35, "central").otherwise("irregular")
-    return F.when((F.col("radial_mean") >= 0.65) & (F.col("coverage") >= 0.25) & (F.col("radial_std") <= 0.14), "edge_ring").otherwise(kind) if ring else kind
+    kind = F.when((elongation >= 6) | (F.col("aspect") >= 4), "line").when((F.col("fill") >= 0.45) & (F.col("compactness") <= 1.6), "blob").when(F.col("radial") <= 0.35, "central").otherwise("irregular")
+    return F.when((F.col("radial") >= 0.65) & (F.col("coverage") >= 0.25) & (F.col("radial_std") <= 0.14), "edge_ring").otherwise(kind) if ring else kind
 
 
 def adaptive(h: int, w: int, valid: int, min_area: int = 5, top_k: int = 6) -> tuple[int, int]:
@@ -239,10 +239,11 @@ def sparse_density_tokens(maps: DataFrame, h: int, w: int, sigmas: tuple[float,
     return keep_top(kept, F.col("mass"), top_k)
 
 
-def fragmented(maps: DataFrame, h: int, w: int, share: float = 0.5) -> DataFrame:
-    """map_id and whether most of a map's defects are in regions of one or two cells; the choice of mode `auto`."""
+def fragmented(maps: DataFrame, h: int, w: int, least: int = 3, share: float = 0.5) -> DataFrame:
+    """map_id and whether a map is fragmented: `least` cells or more in two regions or more, the largest of them under `least` cells or at most a share of all."""
     cells = region_cells(maps, h, w).groupBy("map_id", "token").agg(F.count("*").alias("area"))
-    return cells.groupBy("map_id").agg((F.sum(F.when(F.col("area") <= 2, F.col("area")).otherwise(0)) > share * F.sum("area")).alias("fragmented"))
+    all_cells, largest = F.sum("area"), F.max("area")
+    return cells.groupBy("map_id").agg(((all_cells >= least) & (F.count("*") >= 2) & ((largest < least) | (largest <= share * all_cells))).alias("fragmented"))
 
 
 #: Segmentation modes by name: (maps, h, w, valid cells) -> tokens. More can be added.
@@ -254,12 +255,12 @@ MODES = {
 
 
 def segment(maps: DataFrame, mode: str, h: int, w: int, valid: int) -> DataFrame:
-    """Tokens of every map by a mode of MODES, or by `auto`: sparse density where a map is fragmented, else arcs and the rest."""
+    """Tokens of every map by a mode of MODES, or by `auto`: sparse density where a map is fragmented, else connected regions."""
     if mode == "auto":
         choice = fragmented(maps, h, w)
         sparse = maps.join(choice.where("fragmented"), "map_id", "left_semi")
         whole = maps.join(choice.where("fragmented"), "map_id", "left_anti")
-        return segment(sparse, "sparse-density", h, w, valid).unionByName(segment(whole, "arc-ring-residual", h, w, valid), allowMissingColumns=True)
+        return segment(sparse, "sparse-density", h, w, valid).unionByName(segment(whole, "cc", h, w, valid), allowMissingColumns=True)
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}; known: auto, {', '.join(MODES)}")
     return MODES[mode](maps, h, w, valid)

@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 from ..functions import grid as G
 
 
-def blocked_pairs(queries: DataFrame, candidates: DataFrame, key: str, blocks: int = 8) -> DataFrame:
-    """Every query with every other candidate, as a join of blocks: queries are dealt into blocks, candidates go to each.
+def blocked_pairs(queries: DataFrame, candidates: DataFrame, key: str, blocks: int = 4) -> DataFrame:
+    """Every query with every other candidate, as a join on a grid of blocks: both sides are dealt, `blocks` of queries by
+    as many of candidates as fill the session's shuffle partitions, so that no task holds all of a side.
 
     Columns of the two sides come out with the prefixes q_ and c_.
     """
-    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]).withColumn("_block", F.pmod(F.xxhash64(f"q_{key}"), F.lit(blocks)))
-    c = candidates.select(*[F.col(c).alias(f"c_{c}") for c in candidates.columns], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("_block"))
-    return q.join(c, "_block").where(F.col(f"q_{key}") != F.col(f"c_{key}")).drop("_block")
+    across = max(2, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], dealt(blocks).alias("_down"), every(across).alias("_across"))
+    c = candidates.select(*[F.col(c).alias(f"c_{c}") for c in candidates.columns], dealt(across).alias("_across"), every(blocks).alias("_down"))
+    return q.join(c, ["_down", "_across"]).where(F.col(f"q_{key}") != F.col(f"c_{key}")).drop("_down", "_across")
 
 
 def listed_pairs(queries: DataFrame, candidates: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
@@ -88,28 +92,42 @@ def coverage_leakage(s: Column, beta: float = 0.5) -> Column:
     return F.struct((cover - beta * leak).alias("score"), cover.alias("coverage"), leak.alias("leakage"))
 
 
-def set_cells(mask: Column, w: int) -> Column:
-    """The rows and columns of the set cells."""
-    own = F.transform(mask, lambda x, i: F.when(x > 0, F.struct(G.row_of(i, w).alias("r"), G.column_of(i, w).alias("c"))))
-    return F.filter(own, lambda p: p.isNotNull())
+def set_cells(mask: Column, status: Column | None = None) -> Column:
+    """The numbers of the set cells, of those whose status is 1 or 2 if it is given."""
+    cells = F.filter(F.transform(mask, lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
+    return cells if status is None else F.filter(cells, lambda i: F.get(status, i).isin(1, 2))
 
 
-def chamfer(reference: Column, candidate: Column, status: Column, h: int, w: int) -> Column:
-    """1 - min(both mean nearest distances / grid diagonal, 1); both empty: 1, one empty: 0."""
-    inside = lambda m: F.zip_with(m, status, lambda x, s: F.when((x > 0) & s.isin(1, 2), 1).otherwise(0))
-    far = float(h * h + w * w + 1)
+def nearest_distance(cell: Column, points: Column, h: int, w: int) -> Column:
+    """From a cell to the nearest of some cells."""
+    square = lambda i: (G.row_of(cell, w) - G.row_of(i, w)) * (G.row_of(cell, w) - G.row_of(i, w)) + (G.column_of(cell, w) - G.column_of(i, w)) * (G.column_of(cell, w) - G.column_of(i, w))
+    return F.sqrt(F.aggregate(points, F.lit(h * h + w * w + 1), lambda m, i: F.least(m, square(i).cast("int"))).cast("double"))
 
-    def mean_nearest(own: Column, others: Column) -> Column:
-        nearest = F.transform(own, lambda p: F.sqrt(F.aggregate(others, F.lit(far), lambda m, o: F.least(m, ((p["r"] - o["r"]) * (p["r"] - o["r"]) + (p["c"] - o["c"]) * (p["c"] - o["c"])).cast("double")))))
-        return F.aggregate(nearest, F.lit(0.0), lambda s, d: s + d) / F.size(own)
 
-    def score(points: Column) -> Column:
-        a, b = points["a"], points["b"]
+def with_distances(maps: DataFrame, h: int, w: int) -> DataFrame:
+    """Add `points`, the set cells of the valid area, and `distances`, every cell's distance to the nearest of them."""
+    own = maps.withColumn("points", set_cells(F.col("mask"), F.col("status")))
+    return own.withColumn("distances", G.let(F.col("points"), lambda p: F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: nearest_distance(i, p, h, w))))
+
+
+def chamfer(h: int, w: int) -> Column:
+    """1 - min(both mean nearest distances / grid diagonal, 1) of pairs of maps `with_distances`; both empty: 1, one empty: 0.
+
+    The reference's valid area counts for both. If the candidate has the same, both means are sums of its cells'
+    distances; else its cells are chosen anew and searched for each pair.
+    """
+    same = F.col("q_status") == F.col("c_status")
+    mean = lambda cells, distance: F.aggregate(cells, F.lit(0.0), lambda s, i: s + distance(i)) / F.size(cells)
+    others = F.when(same, F.col("c_points")).otherwise(set_cells(F.col("c_mask"), F.col("q_status")))
+
+    def score(b: Column) -> Column:
+        a = F.col("q_points")
+        there = F.when(same, mean(a, lambda i: F.get("c_distances", i))).otherwise(mean(a, lambda i: nearest_distance(i, b, h, w)))
+        far_off = (there + mean(b, lambda i: F.get("q_distances", i))) / math.hypot(h, w)
         none_a, none_b = F.size(a) == 0, F.size(b) == 0
-        far_off = (mean_nearest(a, b) + mean_nearest(b, a)) / math.hypot(h, w)
         return F.when(none_a & none_b, 1.0).when(none_a | none_b, 0.0).otherwise(1.0 - F.least(far_off, F.lit(1.0)))
 
-    return G.let(F.struct(set_cells(inside(reference), w).alias("a"), set_cells(inside(candidate), w).alias("b")), score)
+    return G.let(others, score)
 
 
 #: Scores from `cell_sums`, by name. More can be added.

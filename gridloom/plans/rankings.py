@@ -10,10 +10,10 @@ from ..operators import similarity as S
 from . import adapters as A
 from .raster import rounded
 
-ASKS = "vec_id % 25 = 0"
+ASKS = "vec_id % 20 = 0"
 
 SQL_RANKED = """lab as (select vec_id as id, case when vec_id % 2 = 0 and (label * 3 + vec_id) % 8 <> label % 8 then [cast(label % 8 as bigint), cast((label * 3 + vec_id) % 8 as bigint)] else [cast(label % 8 as bigint)] end as labels from embeddings),
- scored as (select a.vec_id query_id, b.vec_id candidate_id, round(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) + 0.0 as score from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 25 = 0),
+ scored as (select a.vec_id query_id, b.vec_id candidate_id, round(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) + 0.0 as score from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
  ranked as (select *, row_number() over (partition by query_id order by score desc, candidate_id) as rk from scored),
  rel as (select r.*, q.labels as ql, len(list_intersect(q.labels, c.labels)) / cast(len(list_distinct(list_concat(q.labels, c.labels))) as double) as jac from ranked r join lab q on q.id = query_id join lab c on c.id = candidate_id),
  graded as (select *, cast(jac > 0 as double) as hit, cast(jac = 1 as double) as exact, jac as gain from rel)"""
@@ -87,7 +87,7 @@ def missing_ids(spark, sf_dir):
     return K.missing_ids(wanted, known, "id")
 
 
-@query("j15_candidate_pairs", """with m as (select vec_id as query_id, vec_id + d as candidate_id from embeddings, (select unnest(range(0, 6)) as d) where vec_id % 25 = 0)
+@query("j15_candidate_pairs", """with m as (select vec_id as query_id, vec_id + d as candidate_id from embeddings, (select unnest(range(0, 6)) as d) where vec_id % 20 = 0)
  select query_id, candidate_id, q.label as q_label, c.label as c_label from m join embeddings q on q.vec_id = query_id join embeddings c on c.vec_id = candidate_id where query_id <> candidate_id""")
 def candidate_pairs(spark, sf_dir):
     """Pairs of a manifest, self pairs left out, with both sides looked up."""

@@ -100,12 +100,12 @@ def id_universe(spark, sf_dir):
 
 
 _VALUES = ", ".join(f"({k}, '{t}', '{n}')" for k, (t, n) in enumerate([("query", "query"), *[("variant", v) for v in B.VARIANTS], *[("negative", n) for n in B.NEGATIVES]]))
-_BENCH = f"""with {A.SQL_CELLS}, m as (select distinct map_id from cells where map_id % 10 = 1), o as (select map_id, row_number() over (order by map_id) - 1 as query_order from m), kinds(k, row_type, kind) as (values {_VALUES}),
+_BENCH = f"""with {A.SQL_CELLS}, m as (select distinct map_id from cells), o as (select map_id, row_number() over (order by map_id) - 1 as query_order from m), kinds(k, row_type, kind) as (values {_VALUES}),
  rows_b as (select cast(query_order * 21 + k as bigint) as sample_id, query_order, map_id as source_id, row_type, kind from o cross join kinds)"""
 
 
 def bench_rows(spark, sf_dir):
-    m = A.cells(spark, sf_dir).select("map_id").distinct().where("map_id % 10 = 1")
+    m = A.cells(spark, sf_dir).select("map_id").distinct()
     ordered = m.withColumn("query_order", (F.row_number().over(S.Window.orderBy("map_id")) - 1).cast("bigint"))
     return B.benchmark_rows(ordered)
 
@@ -123,11 +123,11 @@ def preference_rules(spark, sf_dir):
     return B.benchmark_preferences(bench_rows(spark, sf_dir))
 
 
-@query("b11_other_class_fill", f"with {SQL_SIGNATURES}, one as (select * from sig where cardinality = 1), q as (select map_id, signature from one where map_id % 200 = 0), p as (select q.map_id query_id, c.map_id candidate_id, c.signature, row_number() over (partition by q.map_id, c.signature order by {_mix('c.map_id', 37)}, c.map_id) as k from q join one c on c.signature <> q.signature) select query_id, candidate_id, signature from p where k <= 3")
+@query("b11_other_class_fill", f"with {SQL_SIGNATURES}, one as (select * from sig where cardinality = 1), q as (select map_id, signature from one where map_id % 20 = 0), p as (select q.map_id query_id, c.map_id candidate_id, c.signature, row_number() over (partition by q.map_id, c.signature order by {_mix('c.map_id', 37)}, c.map_id) as k from q join one c on c.signature <> q.signature) select query_id, candidate_id, signature from p where k <= 3")
 def other_class_fill(spark, sf_dir):
     """Three maps of each other class for each query, in hash order."""
     one = signatures(spark, sf_dir).where("cardinality = 1").select("map_id", "signature")
-    p = S.blocked_pairs(one.where("map_id % 200 = 0"), one, "map_id").where("q_signature <> c_signature")
+    p = S.blocked_pairs(one.where("map_id % 20 = 0"), one, "map_id").where("q_signature <> c_signature")
     turn = S.Window.partitionBy("q_map_id", "c_signature").orderBy(B.hash_order("c_map_id", 37), "c_map_id")
     return p.withColumn("k", F.row_number().over(turn)).where("k <= 3").select(F.col("q_map_id").alias("query_id"), F.col("c_map_id").alias("candidate_id"), F.col("c_signature").alias("signature"))
 

@@ -103,8 +103,8 @@ def bridged_runs(spark, sf_dir):
     return own.select("map_id", F.size(F.filter("bits", lambda b: b)).alias("bins"), F.size(F.filter("filled", lambda b: b)).alias("bridged"), S.longest_run(F.col("filled")).alias("longest_run"))
 
 
-_KIND_SQL = "case when (l1 / greatest(l2, 1e-6)) >= 6 or asp >= 4 then 'line' when fil >= 0.45 and com <= 1.6 then 'blob' when radial_mean <= 0.35 then 'central' else 'irregular' end"
-_KINDS = f"{_STATS}, v as (select *, round(({_STAT_SQL[2]}), 9) as l1, round({_STAT_SQL[3]}, 9) as l2, {_STAT_SQL[6]} as asp, {_STAT_SQL[5]} as fil, {_STAT_SQL[4]} as com from s)"
+_KIND_SQL = "case when (l1 / greatest(l2, 1e-6)) >= 6 or asp >= 4 then 'line' when fil >= 0.45 and com <= 1.6 then 'blob' when rad <= 0.35 then 'central' else 'irregular' end"
+_KINDS = f"{_STATS}, v as (select *, round(({_STAT_SQL[2]}), 9) as l1, round({_STAT_SQL[3]}, 9) as l2, {_STAT_SQL[6]} as asp, {_STAT_SQL[5]} as fil, {_STAT_SQL[4]} as com, {_STAT_SQL[7]} as rad from s)"
 
 
 @query("g8_component_kinds", f"{_KINDS} select map_id, cast(token as bigint) token, area, {_KIND_SQL} as kind from v")
@@ -135,7 +135,7 @@ def sparse_density(spark, sf_dir):
     return T.sparse_density_tokens(A.maps(spark, sf_dir), H, W)
 
 
-@query("g16_auto_mode", f"{_LABELLED}, a as (select map_id, token, count(*) as area from lab group by 1, 2) select map_id, sum(case when area <= 2 then area else 0 end) > 0.5 * sum(area) as fragmented from a group by 1")
+@query("g16_auto_mode", f"{_LABELLED}, a as (select map_id, token, count(*) as area from lab group by 1, 2) select map_id, sum(area) >= 3 and count(*) >= 2 and (max(area) < 3 or max(area) <= 0.5 * sum(area)) as fragmented from a group by 1")
 def auto_mode(spark, sf_dir):
     return T.fragmented(A.maps(spark, sf_dir), H, W)
 

@@ -6,19 +6,20 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import similarity as S
+from ..sources import scratch
 from . import adapters as A
 from .adapters import H, SQL_GRID, W
 from .raster import rounded
 
 _PAIRS = f"""with {SQL_GRID}, p as (
  select a.map_id as query_id, b.map_id as candidate_id, a.r, a.c, a.status, cast(a.n > 0 as double) as x, cast(b.n > 0 as double) as y, a.n * 1.0 as nx, b.n * 1.0 as ny
- from grid a join grid b on a.r = b.r and a.c = b.c and a.map_id <> b.map_id where a.map_id % 50 = 1 and a.status in (1, 2)),
+ from grid a join grid b on a.r = b.r and a.c = b.c and a.map_id <> b.map_id where a.map_id % 20 = 0 and a.status in (1, 2)),
  s as (select query_id, candidate_id, cast(count(*) as double) n, sum(x) a, sum(y) b, sum(x * y) ab, sum(x * x) aa, sum(y * y) bb, sum(least(x, y)) low, sum(greatest(x, y)) high from p group by 1, 2)"""
 
 
 def pairs(spark, sf_dir):
     own = A.maps(spark, sf_dir).select("map_id", "status", "mask", "counts")
-    return S.blocked_pairs(own.where("map_id % 50 = 1"), own, "map_id")
+    return S.blocked_pairs(own.where("map_id % 20 = 0"), own, "map_id")
 
 
 def _scored(spark, sf_dir, method):
@@ -45,13 +46,14 @@ def coverage_leakage(spark, sf_dir):
     return own.select("query_id", "candidate_id", "x.*").select("query_id", "candidate_id", *map(rounded, ("score", "coverage", "leakage")))
 
 
-@query("p5_chamfer", f"""with {SQL_GRID}, d as (select map_id, r, c from grid where n > 0), v as (select map_id, r, c from grid where status in (1, 2)), q as (select distinct map_id from cells where map_id % 50 = 1),
- x as (select a.map_id q, b.map_id c, a.r, a.c as cc, min(sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))) m from d a join d b on a.map_id <> b.map_id where a.map_id % 50 = 1 group by 1, 2, 3, 4),
- y as (select a.map_id q, b.map_id c, b.r, b.c as cc, min(sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))) m from d a join d b on a.map_id <> b.map_id where a.map_id % 50 = 1 group by 1, 2, 3, 4)
+@query("p5_chamfer", f"""with {SQL_GRID}, d as (select map_id, r, c from grid where n > 0), v as (select map_id, r, c from grid where status in (1, 2)), q as (select distinct map_id from cells where map_id % 20 = 0),
+ x as (select a.map_id q, b.map_id c, a.r, a.c as cc, min(sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))) m from d a join d b on a.map_id <> b.map_id where a.map_id % 20 = 0 group by 1, 2, 3, 4),
+ y as (select a.map_id q, b.map_id c, b.r, b.c as cc, min(sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))) m from d a join d b on a.map_id <> b.map_id where a.map_id % 20 = 0 group by 1, 2, 3, 4)
  select x.q as query_id, x.c as candidate_id, round(1.0 - least((x.m + y.m) / sqrt(512.0), 1.0), 6) + 0.0 as score
  from (select q, c, avg(m) m from x group by 1, 2) x join (select q, c, avg(m) m from y group by 1, 2) y on x.q = y.q and x.c = y.c""")
 def chamfer(spark, sf_dir):
-    own = pairs(spark, sf_dir).withColumn("score", S.chamfer(F.col("q_mask"), F.col("c_mask"), F.col("q_status"), H, W))
+    maps = scratch.written(S.with_distances(A.maps(spark, sf_dir).select("map_id", "status", "mask"), H, W), "distances")
+    own = S.blocked_pairs(maps.where("map_id % 20 = 0"), maps, "map_id").withColumn("score", S.chamfer(H, W))
     return own.select(F.col("q_map_id").alias("query_id"), F.col("c_map_id").alias("candidate_id"), rounded("score"))
 
 
@@ -76,7 +78,7 @@ def smoke_rankings(spark, sf_dir):
 
 _CENTRES = f"""with {SQL_GRID}, m as (select map_id, cast(count(*) as double) n, avg(r) r, avg(c) c from grid where n > 0 group by 1),
  p as (select q.map_id query_id, c.map_id candidate_id, least(q.n, c.n) / greatest(q.n, c.n) as size_sim, 1.0 - least(sqrt((q.r - c.r) * (q.r - c.r) + (q.c - c.c) * (q.c - c.c)) / sqrt(512.0), 1.0) as position_sim
- from m q join m c on q.map_id <> c.map_id where q.map_id % 50 = 1)"""
+ from m q join m c on q.map_id <> c.map_id where q.map_id % 20 = 0)"""
 
 
 def centres(spark, sf_dir):
@@ -87,19 +89,19 @@ def centres(spark, sf_dir):
 @query("p11_size_position", f"{_CENTRES} select query_id, candidate_id, round(size_sim, 6) + 0.0 as size_sim, round(position_sim, 6) + 0.0 as position_sim from p")
 def size_position(spark, sf_dir):
     m = centres(spark, sf_dir)
-    p = S.blocked_pairs(m.where("map_id % 50 = 1"), m, "map_id")
+    p = S.blocked_pairs(m.where("map_id % 20 = 0"), m, "map_id")
     apart = F.sqrt((F.col("q_r") - F.col("c_r")) ** 2 + (F.col("q_c") - F.col("c_c")) ** 2) / (512.0**0.5)
     p = p.withColumn("size_sim", F.least("q_n", "c_n") / F.greatest("q_n", "c_n")).withColumn("position_sim", 1.0 - F.least(apart, F.lit(1.0)))
     return p.select(F.col("q_map_id").alias("query_id"), F.col("c_map_id").alias("candidate_id"), rounded("size_sim"), rounded("position_sim"))
 
 
 @query("p12_label_gated_score", f"""with {A.SQL_LABELS}, s as (select map_id, list(label) as ls from label_rows group by 1),
- p as (select q.map_id query_id, c.map_id candidate_id, len(list_intersect(q.ls, c.ls)) / cast(len(c.ls) as double) as o, least(len(q.ls), len(c.ls)) / cast(greatest(len(q.ls), len(c.ls)) as double) as z from s q join s c on q.map_id <> c.map_id where q.map_id % 1000 = 0)
+ p as (select q.map_id query_id, c.map_id candidate_id, len(list_intersect(q.ls, c.ls)) / cast(len(c.ls) as double) as o, least(len(q.ls), len(c.ls)) / cast(greatest(len(q.ls), len(c.ls)) as double) as z from s q join s c on q.map_id <> c.map_id where q.map_id % 20 = 0)
  select query_id, candidate_id, round(case when o < 0.6 then 0.0 else (0.6 * o + 0.2 * z) / 0.8 end, 6) + 0.0 as score from p""")
 def label_gated_score(spark, sf_dir):
     """Label overlap blended with a size term; a second term is absent, so the weights of the others are rescaled."""
     s = A.label_rows(spark, sf_dir).groupBy("map_id").agg(F.collect_list("label").alias("ls"))
-    p = S.blocked_pairs(s.where("map_id % 1000 = 0"), s, "map_id")
+    p = S.blocked_pairs(s.where("map_id % 20 = 0"), s, "map_id")
     nq, nc = F.size("q_ls"), F.size("c_ls")
     terms = {"size": (F.least(nq, nc) / F.greatest(nq, nc), 0.2), "shape": (F.lit(None).cast("double"), 0.2)}
     p = p.withColumn("score", S.gated_label_score(F.col("q_ls"), F.col("c_ls"), terms))
@@ -107,9 +109,9 @@ def label_gated_score(spark, sf_dir):
 
 
 @query("p13_shift_search", f"""with {SQL_GRID}, mv as (select dr, dc, row_number() over (order by abs(dr) + abs(dc), dr, dc) as o from (select unnest(range(-2, 3)) as dr) cross join (select unnest(range(-2, 3)) as dc)),
- t as (select a.map_id q, b.map_id c, mv.o, mv.dr, mv.dc, count(*) as both_n from cells a join mv on true join cells b on b.map_id <> a.map_id and b.r + mv.dr = a.r and b.c + mv.dc = a.c where a.map_id % 50 = 1 group by 1, 2, 3, 4, 5),
+ t as (select a.map_id q, b.map_id c, mv.o, mv.dr, mv.dc, count(*) as both_n from cells a join mv on true join cells b on b.map_id <> a.map_id and b.r + mv.dr = a.r and b.c + mv.dc = a.c where a.map_id % 20 = 0 group by 1, 2, 3, 4, 5),
  nb as (select c.map_id, mv.o, count(*) n from cells c join mv on c.r + mv.dr between 0 and 15 and c.c + mv.dc between 0 and 15 group by 1, 2), na as (select map_id, count(*) n from cells group by 1),
- allp as (select a.map_id q, b.map_id c, nb.o, mv.dr, mv.dc, a.n as an, nb.n as bn from na a join na b on a.map_id <> b.map_id join nb on nb.map_id = b.map_id join mv on mv.o = nb.o where a.map_id % 50 = 1),
+ allp as (select a.map_id q, b.map_id c, nb.o, mv.dr, mv.dc, a.n as an, nb.n as bn from na a join na b on a.map_id <> b.map_id join nb on nb.map_id = b.map_id join mv on mv.o = nb.o where a.map_id % 20 = 0),
  s as (select allp.q, allp.c, allp.o, allp.dr, allp.dc, coalesce(both_n, 0) / cast(an + bn - coalesce(both_n, 0) as double) as score from allp left join t on t.q = allp.q and t.c = allp.c and t.o = allp.o),
  k as (select *, row_number() over (partition by q, c order by score desc, o) rk from s)
  select q as query_id, c as candidate_id, round(score, 6) + 0.0 as score, cast(dr as bigint) dr, cast(dc as bigint) dc from k where rk = 1""")
@@ -140,24 +142,24 @@ def map_features(spark, sf_dir):
     return rows.select("map_id", "n", "r", "c", F.col("ring").cast("bigint").alias("ring"), rounded("share"))
 
 
-@query("p15_hard_negatives", f"""{_FEATURES}, p as (select q.map_id query_id, c.map_id candidate_id, least(q.n, c.n) / greatest(q.n, c.n) as k, sqrt((q.r - c.r) * (q.r - c.r) + (q.c - c.c) * (q.c - c.c)) as d from m q join m c on q.map_id <> c.map_id where q.map_id % 50 = 1),
- h as (select a.map_id q, b.map_id c, sum(a.v * b.v) as dot from hn a join hn b on a.b = b.b where a.map_id % 50 = 1 group by 1, 2),
+@query("p15_hard_negatives", f"""{_FEATURES}, p as (select q.map_id query_id, c.map_id candidate_id, least(q.n, c.n) / greatest(q.n, c.n) as k, sqrt((q.r - c.r) * (q.r - c.r) + (q.c - c.c) * (q.c - c.c)) as d from m q join m c on q.map_id <> c.map_id where q.map_id % 20 = 0),
+ h as (select a.map_id q, b.map_id c, sum(a.v * b.v) as dot from hn a join hn b on a.b = b.b where a.map_id % 20 = 0 group by 1, 2),
  s as (select query_id, candidate_id, round(0.45 * k + 0.35 * exp(-d / 0.25) + 0.2 * coalesce(dot, 0) + case when k >= 0.5 and d <= 0.35 then 0.2 else 0.0 end, 6) + 0.0 as score from p left join h on h.q = query_id and h.c = candidate_id),
  t as (select *, row_number() over (partition by query_id order by score desc, candidate_id) as rank from s) select query_id, candidate_id, score, rank from t where rank <= 20""")
 def hard_negatives(spark, sf_dir):
     m = features(spark, sf_dir)
-    p = S.blocked_pairs(m.where("map_id % 50 = 1"), m, "map_id")
+    p = S.blocked_pairs(m.where("map_id % 20 = 0"), m, "map_id")
     side = lambda s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in ("n", "r", "c", "hist")])
     p = p.select(F.col("q_map_id").alias("query_id"), F.col("c_map_id").alias("candidate_id"), S.hard_negative_score(side("q"), side("c")).alias("score"))
     ranked = S.top_k(p.select("query_id", "candidate_id", rounded("score")), "query_id", "candidate_id", 20)
     return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("p16_cross_modal", """with p as (select a.vec_id query_id, b.vec_id candidate_id, round(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) + 0.0 as score from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0)
+@query("p16_cross_modal", """with p as (select a.vec_id query_id, b.vec_id candidate_id, round(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) + 0.0 as score from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)
  select *, row_number() over (partition by query_id order by score desc, candidate_id) as rank from p""")
 def cross_modal(spark, sf_dir):
     """All candidates of each query vector by cosine of unit vectors."""
     v = A.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    p = S.blocked_pairs(v.where("vec_id % 50 = 0"), v, "vec_id")
+    p = S.blocked_pairs(v.where("vec_id % 20 = 0"), v, "vec_id")
     p = p.select(F.col("q_vec_id").alias("query_id"), F.col("c_vec_id").alias("candidate_id"), S.dot(F.col("q_embedding"), F.col("c_embedding")).alias("score")).select("query_id", "candidate_id", rounded("score"))
     return p.withColumn("rank", F.row_number().over(S.Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id")).cast("bigint"))

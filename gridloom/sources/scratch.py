@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under `spark.checkpoint.dir` (unset, as in tests: a new local folder), deleted when the driver ends."""
+    """A new path under `spark.checkpoint.dir` (unset, in local mode as in tests: a new local folder), deleted when the driver ends."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
         if not spark.sparkContext.getCheckpointDir():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
