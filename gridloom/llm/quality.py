@@ -133,16 +133,21 @@ def fit_ordinal(rows: list[np.ndarray], grades: list[int], grade_count: int = GR
     if len(set(grades)) < 2:
         top = grades[0] if grades else cuts
         return OrdinalModel({}, [-20.0 if k < top else 20.0 for k in range(cuts)])
-    flat = np.concatenate([np.asarray(r, np.int64) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate([np.asarray(r, np.uint32) for r in rows])
+    sizes = np.array([len(r) for r in rows])
     found, seen = np.unique(flat, return_counts=True)
     kept = found[seen >= min_docs]
-    at = np.searchsorted(kept, flat)
-    known = np.isin(flat, kept)
+    at = np.searchsorted(kept, flat).astype(np.int32)
+    known = kept[np.minimum(at, len(kept) - 1)] == flat if len(kept) else np.zeros(len(flat), bool)
+    del flat, found, seen
+    held = np.add.reduceat(np.append(known, False), np.cumsum(sizes) - sizes, dtype=np.int64) * (sizes > 0)
     # a constant stands at the end of each row, so that none is empty
-    at, owner = np.append(at[known], np.full(len(rows), len(kept))), np.append(owner[known], np.arange(len(rows)))
-    lengths = np.bincount(owner, minlength=len(rows))
-    design = Design(at[np.argsort(owner, kind="stable")], np.cumsum(lengths) - lengths, lengths, np.asarray(grades), len(kept) + 1, cuts)
+    lengths = held + 1
+    index = np.full(lengths.sum(), len(kept), np.int32)
+    free = np.ones(len(index), bool)
+    free[np.cumsum(lengths) - 1] = False
+    index[free] = at[known]
+    design = Design(index, np.cumsum(lengths) - lengths, lengths, np.asarray(grades), len(kept) + 1, cuts)
     width = design.width
     share = np.clip([(design.grades > k).mean() for k in range(cuts)], 1e-3, 1 - 1e-3)
     first = -np.log(share / (1 - share))
@@ -180,14 +185,22 @@ def training_rows(docs: DataFrame, rated: DataFrame, grade_count: int, max_rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(features_of(t.as_py() or "")) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "content", "grade", "features"])
+            found = [np.fromiter(features_of(t.as_py() or ""), np.uint32) for t in batch.column(2)]
+            for own in found:
+                own.sort()
+            ends = np.concatenate([[0], np.cumsum([len(own) for own in found])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.uint32)]).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), lists], ["doc_id", "content", "grade", "features"])
 
     texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "content", "text", F.col("grade").cast("int").alias("grade"))
-    featured = text_batches(texts).mapInArrow(run, "doc_id long, content long, grade int, features array<long>").dropDuplicates(["doc_id", "content"])
-    held = featured.toArrow().combine_chunks()  # at most max_rows rows, some hundred numbers each
-    held = held.sort_by([("doc_id", "ascending"), ("content", "ascending")])
-    return held.column("grade").to_pylist(), [np.asarray(x, np.int64) for x in held.column("features").to_pylist()]
+    featured = text_batches(texts).mapInArrow(run, "doc_id long, content long, grade int, features array<int>").dropDuplicates(["doc_id", "content"])
+    rows: list[tuple[int, int, int, np.ndarray]] = []
+    for batch in featured.toArrow().to_batches():  # at most max_rows rows, some hundred numbers each
+        lists = batch.column(3)
+        flat, ends = lists.values.to_numpy().view(np.uint32), lists.offsets.to_numpy()
+        rows += [(*x, flat[ends[k] : ends[k + 1]]) for k, x in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3))))]
+    rows.sort(key=lambda x: x[:2])
+    return [x[2] for x in rows], [x[3] for x in rows]
 
 
 def train(docs: DataFrame, rated: DataFrame, grade_count: int = GRADES, max_rows: int = TRAIN_ROWS) -> OrdinalModel:
