@@ -45,8 +45,8 @@ TOLERANCE = 0.02
 THRESHOLDS = (0, 1, 2)
 PARTS = (2, 3, 4)
 ROW_COST = 8.0
-#: Buckets up to this size are compared pairwise.
-PAIRED = 64
+#: Buckets up to this size are compared pairwise; of larger ones one row a member goes on, so rows stay in proportion to the input.
+PAIRED = 8
 #: Buckets up to this size are clustered by a matrix of distances.
 DENSE = 4096
 #: Standard deviations that the word checked first may be beyond the expected distance.
