@@ -14,6 +14,20 @@ def hash_order(column: str, seed: int) -> Column:
     return (F.col(column) * 2654435761 + seed) % 4294967296
 
 
+def numbered(rows: DataFrame, order: list, bucket: Column, name: str) -> DataFrame:
+    """Add `name`: 1, 2, 3 ... in `order` over all rows, without a window over all of them.
+
+    `bucket` must not fall where `order` rises. Rows are numbered within buckets; a running sum over the buckets' counts,
+    one row a bucket, gives where each begins.
+    """
+    dealt = rows.withColumn("_bucket", bucket)
+    counts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begin"))
+    placed = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
+    return placed.join(begins, "_bucket").withColumn(name, (F.col("_begin") + F.col("_at")).cast("bigint")).drop("_bucket", "_begin", "_at")
+
+
 def split_sizes(n: Column, train: float = 0.7, val: float = 0.1) -> tuple[Column, Column]:
     """Training and validation sizes of a group of n; the rest is the test part.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import grid as G
 from ..operators import segment as T
+from ..operators.sampling import numbered
 from . import adapters as A
 from .adapters import H, SQL_GRID, W
 from .raster import rounded
@@ -159,5 +160,4 @@ def medium_subsample(spark, sf_dir):
     g = groups(spark, sf_dir).where("grp = 'medium'").select("map_id")
     n = g.agg(F.bround(F.count("*") * 0.5).cast("int").alias("keep")).first()["keep"]
     mixed = (F.col("map_id") * 2654435761 + 3) % 4294967296
-    kept = g.orderBy(mixed, "map_id").limit(n)
-    return kept.withColumn("place", F.row_number().over(T.Window.orderBy(mixed, "map_id")).cast("bigint"))
+    return numbered(g, [mixed, "map_id"], F.floor(mixed / (1 << 20)), "place").where(F.col("place") <= n)

@@ -74,26 +74,26 @@ def query_sample(spark, sf_dir):
 
 
 _POOL = f"""with {Q.SQL_RANKED}, t as (select query_id, candidate_id, jac as jaccard, case when jac >= 1 then 'exact' when jac >= 0.5 then 'high' when jac > 0 then 'low' else 'none' end as bucket from graded),
- p as (select *, row_number() over (partition by query_id, bucket order by {_mix('candidate_id', 31)}, candidate_id) as k from t), f as (select *, cast(k > case bucket when 'exact' then 10 when 'high' then 20 when 'low' then 20 else 50 end as int) as fill, case bucket when 'exact' then 0 when 'high' then 1 when 'low' then 2 else 3 end as b from p),
+ p as (select *, row_number() over (partition by query_id, bucket order by {_mix('candidate_id', 31)}, candidate_id) as k from t), f as (select *, cast(k > case bucket when 'exact' then 50 when 'high' then 100 when 'low' then 100 else 750 end as int) as fill, case bucket when 'exact' then 0 when 'high' then 1 when 'low' then 2 else 3 end as b from p),
  u as (select *, row_number() over (partition by query_id order by fill, b, k) as turn from f)"""
 
 
 def pools(spark, sf_dir):
     g = Q.graded(spark, sf_dir).select("query_id", "candidate_id", F.col("jac").alias("jaccard"))
-    return B.candidate_pools(g, 100, (("exact", 10), ("high", 20), ("low", 20), ("none", 50)), 31)
+    return B.candidate_pools(g, 1000, seed=31)
 
 
-@query("b5_candidate_pools", f"{_POOL} select query_id, candidate_id, round(jaccard, 6) + 0.0 as jaccard, bucket from u where turn <= 100")
+@query("b5_candidate_pools", f"{_POOL} select query_id, candidate_id, round(jaccard, 6) + 0.0 as jaccard, bucket from u where turn <= 1000")
 def candidate_pools(spark, sf_dir):
     return pools(spark, sf_dir).select("query_id", "candidate_id", rounded("jaccard"), "bucket")
 
 
-@query("s8_candidate_groups", f"{_POOL}, m as (select * from u where turn <= 100) select query_id, count(*) as candidates, min(candidate_id) as first_id, cast(sum(candidate_id) as bigint) as id_sum from m group by 1")
+@query("s8_candidate_groups", f"{_POOL}, m as (select * from u where turn <= 1000) select query_id, count(*) as candidates, min(candidate_id) as first_id, cast(sum(candidate_id) as bigint) as id_sum from m group by 1")
 def candidate_groups(spark, sf_dir):
     return pools(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("candidates"), F.min("candidate_id").alias("first_id"), F.sum("candidate_id").alias("id_sum"))
 
 
-@query("s8_id_universe", f"{_POOL}, m as (select * from u where turn <= 100) select query_id as id from m union select candidate_id from m")
+@query("s8_id_universe", f"{_POOL}, m as (select * from u where turn <= 1000) select query_id as id from m union select candidate_id from m")
 def id_universe(spark, sf_dir):
     m = pools(spark, sf_dir)
     return m.select(F.col("query_id").alias("id")).union(m.select("candidate_id")).distinct()
@@ -106,8 +106,8 @@ _BENCH = f"""with {A.SQL_CELLS}, m as (select distinct map_id from cells), o as
 
 def bench_rows(spark, sf_dir):
     m = A.cells(spark, sf_dir).select("map_id").distinct()
-    ordered = m.withColumn("query_order", (F.row_number().over(S.Window.orderBy("map_id")) - 1).cast("bigint"))
-    return B.benchmark_rows(ordered)
+    ordered = B.numbered(m, ["map_id"], F.floor(F.col("map_id") / 4096), "place")
+    return B.benchmark_rows(ordered.select("map_id", (F.col("place") - 1).alias("query_order")))
 
 
 @query("b6_benchmark_rows", f"{_BENCH} select * from rows_b")
