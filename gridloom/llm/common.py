@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +20,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Tables up to this many rows may be broadcast; past it, a shuffled join is used.
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 16 << 20
-#: Rows of an Arrow batch that holds whole texts.
+#: Rows and bytes of texts that a Python function works on at once.
 TEXT_ROWS = 1000
+TEXT_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +60,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(rows: DataFrame) -> DataFrame:
-    """`rows` with texts, for mapInArrow: Arrow batches are kept to TEXT_ROWS rows, so that long texts do not fill a worker."""
-    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf.set(name, str(min(TEXT_ROWS, int(conf.get(name, "10000")))))
-    return rows
+def byte_slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches of a mapInArrow function in slices of at most TEXT_ROWS rows and, past one row, TEXT_BYTES bytes of column `text`."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
+        filled, begin = np.cumsum(sizes), 0
+        while begin < len(sizes):
+            before = int(filled[begin] - sizes[begin])
+            end = min(begin + TEXT_ROWS, max(begin + 1, int(np.searchsorted(filled, before + TEXT_BYTES, "right"))))
+            yield batch.slice(begin, end - begin)
+            begin = end
 
 
 def words_of(text: Column) -> Column:

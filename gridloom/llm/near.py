@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialize, text_batches
+from .common import BROADCAST_BYTES, byte_slices, materialize
 from .components import components
 from .simhash import mask_of, split_bits
 
@@ -109,13 +109,13 @@ def long_prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        for batch in batches:
+        for batch in byte_slices(batches, 2):
             fps = [long_fingerprint(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(2)]
             nodes = np.fromiter(map(xxh3_64_intdigest, fps), np.uint64, len(fps)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(fps, pa.binary())], ["doc_id", "content", "node", "fp"])
 
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), F.col("text").cast("binary").alias("text"))
-    return text_batches(own).mapInArrow(run, "doc_id long, content long, node long, fp binary")
+    return own.mapInArrow(run, "doc_id long, content long, node long, fp binary")
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_batches
+from .common import byte_slices, materialize, table
 from .ranking import number_within
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -49,7 +49,6 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         if byte_level is None:
             with open(vocabulary, encoding="utf-8") as f:
@@ -58,12 +57,20 @@ class WordIds(dict):
             last = ((steps.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[-1]
             byte_level = kinds == ["NFC", "Replace", "Lowercase"] and last.get("type") == "ByteLevel" and not last.get("add_prefix_space")
         self.byte_level = byte_level
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit = limit
         self.parts: dict[bytes, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def of_text(self, text: bytes) -> bytes:
+        """The ids of a whole text. Added tokens reach across words, so a text that holds one goes through the tokenizer as it is."""
+        folded = text.lower()
+        if any(token in folded for token in self.added):
+            return self.encode(text.decode())
+        return b"".join(map(self.__getitem__, text.split()))
+
     def part(self, own: bytes) -> bytes:
         """The ids of a run of letters or of punctuation."""
         ids = self.parts.get(own)
@@ -102,10 +109,10 @@ def cut_pieces(docs: DataFrame, vocabulary: str, max_tokens: int, end_id: int =
         ids_of = WordIds(vocabulary)
         end = np.asarray([end_id], "<u4").tobytes()
         width = 4 * max_tokens
-        for batch in batches:
+        for batch in byte_slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = b"".join(map(ids_of.__getitem__, (text.as_py() or b"").split())) + end
+                ids = ids_of.of_text(text.as_py() or b"") + end
                 for k, at in enumerate(range(0, len(ids), width)):
                     own = ids[at : at + width]
                     for column, value in zip(out, (doc, k, at // 4, len(own) // 4, zlib.crc32(own))):
@@ -113,7 +120,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, max_tokens: int, end_id: int =
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return text_batches(docs.select("doc_id", F.col("text").cast("binary").alias("text"))).mapInArrow(cut, PIECES)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, PIECES)
 
 
 def plan_bins(counts: dict[int, int], max_tokens: int, max_docs: int, max_attention: int, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> tuple[list[tuple[int, int, int, int, int]], int]:

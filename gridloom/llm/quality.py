@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import byte_slices, table
 
 #: The documented bound of the training sample.
 TRAIN_ROWS = 12_000
@@ -184,7 +184,7 @@ def training_rows(docs: DataFrame, rated: DataFrame, grade_count: int, max_rows:
     texts = docs.select("doc_id", F.xxhash64("text").alias("content"), "text").join(F.broadcast(sample), ["doc_id", "content"])  # at most max_rows keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, 2):
             found = [np.fromiter(features_of(t.as_py() or ""), np.uint32) for t in batch.column(2)]
             for own in found:
                 own.sort()
@@ -193,7 +193,7 @@ def training_rows(docs: DataFrame, rated: DataFrame, grade_count: int, max_rows:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), lists], ["doc_id", "content", "grade", "features"])
 
     texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "content", "text", F.col("grade").cast("int").alias("grade"))
-    featured = text_batches(texts).mapInArrow(run, "doc_id long, content long, grade int, features array<int>").dropDuplicates(["doc_id", "content"])
+    featured = texts.mapInArrow(run, "doc_id long, content long, grade int, features array<int>").dropDuplicates(["doc_id", "content"])
     rows: list[tuple[int, int, int, np.ndarray]] = []
     for batch in featured.toArrow().to_batches():  # at most max_rows rows, some hundred numbers each
         lists = batch.column(3)
@@ -225,13 +225,13 @@ def score_documents(docs: DataFrame, model: OrdinalModel, select_grade: int = GR
     names = [f"p_at_least_{k}" for k in range(1, cuts + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches):
             tails = _tails(spread, batch.column(1))
             columns = [batch.column(0), pa.array(tails.sum(axis=1)), *(pa.array(tails[:, k]) for k in range(cuts)), pa.array(tails[:, select_grade - 1] >= select_probability)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", *names, "kept"])
 
     shape = "doc_id long, expected_grade double, " + "".join(f"{n} double, " for n in names) + "kept boolean"
-    return text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, shape)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, shape)
 
 
 def select_documents(docs: DataFrame, model: OrdinalModel, select_grade: int = GRADES - 1, select_probability: float = SELECT_PROBABILITY) -> DataFrame:
@@ -240,10 +240,10 @@ def select_documents(docs: DataFrame, model: OrdinalModel, select_grade: int = G
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, at):
             yield batch.filter(pa.array(_tails(spread, batch.column(at))[:, select_grade - 1] >= select_probability))
 
-    return text_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def rated_documents(labels: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table, text_batches
+from .common import byte_slices, materialize, table
 from .components import components
 
 BITS = 64
@@ -63,11 +63,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id") -> Data
     """(key, fp): the fingerprint of each whole text, ASCII letters lower-cased."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches):
             fps = [fingerprint(text.as_py(), shingle) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], [key, "fp"])
 
-    return text_batches(docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("binary").alias("text"))).mapInArrow(run, f"{key} long, fp long")
+    return docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"{key} long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
