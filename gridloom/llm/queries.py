@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .counts import op11_count_rtree
 from .forest import op7_prefix_forest
 from .middles import op12_scatter_middle
 from .outliers import op2_mcd_outliers
@@ -34,6 +35,7 @@ QUERIES: dict[str, Query] = {
         op8_vector_best_fit,
         op9_simhash_links,
         op10_association_urls,
+        op11_count_rtree,
         op12_scatter_middle,
         op13_trie_collocations,
     )
