@@ -1,4 +1,4 @@
-"""Splits, query samples, candidate pools and preference benchmarks.
+"""Splits, query samples and candidate pools.
 
 Where rows are to be drawn at random they are taken in hash order, so a draw is the same on every run and cluster.
 """
@@ -90,36 +90,6 @@ def candidate_pools(pairs: DataFrame, total: int, quotas: tuple[tuple[str, int],
     return placed.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= total).select("query_id", "candidate_id", "jaccard", "bucket")
 
 
-#: The variants and negatives of a preference benchmark, in id order.
-VARIANTS = ("identity", "rot90", "rot180", "shift_mild", "shift_strong", "scale_110", "noise_3", "noise_15", "dropout_10", "dropout_45", "extra_blob", "drop_largest")
-NEGATIVES = ("same_label_easy", "same_label_hard_negative", "diff_label_similar_morphology", "same_area", "same_position", "random_1", "random_2", "random_3")
-
-#: Preferred kind, less preferred kind, group.
-RULES = (
-    ("identity", "rot90", "rotation"), ("identity", "rot180", "rotation"), ("identity", "shift_mild", "shift"), ("shift_mild", "shift_strong", "shift"),
-    ("identity", "scale_110", "scale"), ("identity", "noise_3", "noise"), ("noise_3", "noise_15", "noise"), ("identity", "dropout_10", "dropout"),
-    ("dropout_10", "dropout_45", "dropout"), ("identity", "extra_blob", "structure"), ("identity", "drop_largest", "structure"), ("identity", "same_area", "negative"),
-    ("identity", "same_position", "negative"), ("shift_mild", "diff_label_similar_morphology", "negative"), ("dropout_10", "same_label_hard_negative", "hard_negative"), ("rot90", "random_1", "hard_negative"),
-)
-
-
-def benchmark_rows(queries: DataFrame) -> DataFrame:
-    """sample_id, query_order, source_id, row_type, kind: a query row, its variants and its negatives, numbered in turn."""
-    kinds = [("query", "query"), *[("variant", v) for v in VARIANTS], *[("negative", n) for n in NEGATIVES]]
-    rows = F.posexplode(F.array(*[F.struct(F.lit(t).alias("row_type"), F.lit(k).alias("kind")) for t, k in kinds]))
-    out = queries.select("query_order", F.col("map_id").alias("source_id"), rows.alias("k", "x"))
-    return out.select((F.col("query_order") * len(kinds) + F.col("k")).alias("sample_id"), "query_order", "source_id", "x.row_type", "x.kind")
-
-
-def benchmark_preferences(rows: DataFrame) -> DataFrame:
-    """query_id, preferred_candidate_id, less_preferred_candidate_id, rule_type, rule_group by RULES."""
-    own = rows.select("query_order", "kind", "sample_id")
-    ids = own.groupBy("query_order").agg(F.map_from_entries(F.collect_list(F.struct("kind", "sample_id"))).alias("ids"))
-    rules = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g")) for a, b, g in RULES]))
-    made = ids.select("ids", rules.alias("x"))
-    return made.select(F.col("ids")["query"].alias("query_id"), F.element_at("ids", F.col("x.a")).alias("preferred_candidate_id"), F.element_at("ids", F.col("x.b")).alias("less_preferred_candidate_id"), F.concat("x.a", F.lit("_over_"), "x.b").alias("rule_type"), F.col("x.g").alias("rule_group"))
-
-
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
     """Add weight: one over the size of the row's class."""
     return rows.join(rows.groupBy(label).agg((1.0 / F.count("*")).alias("weight")), label)

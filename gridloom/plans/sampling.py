@@ -99,30 +99,6 @@ def id_universe(spark, sf_dir):
     return m.select(F.col("query_id").alias("id")).union(m.select("candidate_id")).distinct()
 
 
-_VALUES = ", ".join(f"({k}, '{t}', '{n}')" for k, (t, n) in enumerate([("query", "query"), *[("variant", v) for v in B.VARIANTS], *[("negative", n) for n in B.NEGATIVES]]))
-_BENCH = f"""with {A.SQL_CELLS}, m as (select distinct map_id from cells), o as (select map_id, row_number() over (order by map_id) - 1 as query_order from m), kinds(k, row_type, kind) as (values {_VALUES}),
- rows_b as (select cast(query_order * 21 + k as bigint) as sample_id, query_order, map_id as source_id, row_type, kind from o cross join kinds)"""
-
-
-def bench_rows(spark, sf_dir):
-    m = A.cells(spark, sf_dir).select("map_id").distinct()
-    ordered = B.numbered(m, ["map_id"], F.floor(F.col("map_id") / 4096), "place")
-    return B.benchmark_rows(ordered.select("map_id", (F.col("place") - 1).alias("query_order")))
-
-
-@query("b6_benchmark_rows", f"{_BENCH} select * from rows_b")
-def benchmark_rows(spark, sf_dir):
-    return bench_rows(spark, sf_dir)
-
-
-_RULE_VALUES = ", ".join(f"('{a}', '{b}', '{g}')" for a, b, g in B.RULES)
-
-
-@query("b8_preference_rules", f"{_BENCH}, rules(a, b, g) as (values {_RULE_VALUES}) select q.sample_id as query_id, x.sample_id as preferred_candidate_id, y.sample_id as less_preferred_candidate_id, a || '_over_' || b as rule_type, g as rule_group from rows_b q cross join rules join rows_b x on x.query_order = q.query_order and x.kind = a join rows_b y on y.query_order = q.query_order and y.kind = b where q.row_type = 'query'")
-def preference_rules(spark, sf_dir):
-    return B.benchmark_preferences(bench_rows(spark, sf_dir))
-
-
 @query("b11_other_class_fill", f"with {SQL_SIGNATURES}, one as (select * from sig where cardinality = 1), q as (select map_id, signature from one where map_id % 20 = 0), p as (select q.map_id query_id, c.map_id candidate_id, c.signature, row_number() over (partition by q.map_id, c.signature order by {_mix('c.map_id', 37)}, c.map_id) as k from q join one c on c.signature <> q.signature) select query_id, candidate_id, signature from p where k <= 3")
 def other_class_fill(spark, sf_dir):
     """Three maps of each other class for each query, in hash order."""
