@@ -40,6 +40,12 @@ def dense(entries: Column, h: int, w: int, default) -> Column:
     return let(entries, lambda m: F.transform(cells_of(h, w), lambda i: F.coalesce(F.element_at(m, i), default)))
 
 
+def packed(mask: Column, h: int, w: int) -> Column:
+    """A grid of 0 and 1 as an array of longs of 64 cells each."""
+    part = lambda k: F.aggregate(F.slice(mask, 64 * k + 1, min(64, h * w - 64 * k)), F.lit(0).cast("bigint"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(x.cast("bigint")))
+    return F.array(*[part(k) for k in range(-(-h * w // 64))])
+
+
 def stencil(grid: Column, h: int, w: int, offsets: list[tuple[int, int]], combine: Callable[[list[Column]], Column], outside=None, clamp: bool = False) -> Column:
     """combine(values at the offsets) for every cell. Cells beyond the edge read as `outside`, or with `clamp` as the nearest edge cell."""
 

@@ -13,19 +13,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grid as G
+from ..sources.scratch import written
 
 
-def blocked_pairs(queries: DataFrame, candidates: DataFrame, key: str, blocks: int = 4) -> DataFrame:
-    """Every query with every other candidate, as a join on a grid of blocks: both sides are dealt, `blocks` of queries by
-    as many of candidates as fill the session's shuffle partitions, so that no task holds all of a side.
+#: Rows of either side in one block of pairs.
+BLOCK = 2048
 
-    Columns of the two sides come out with the prefixes q_ and c_.
+
+def blocked_pairs(queries: DataFrame, candidates: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """Every query with every other candidate, as a join on a grid of blocks of at most about `block` rows a side.
+
+    Both sides are written and counted, and the grid follows the counts, so a block's size is the same for any input; a
+    small input is cut finer, so that every core has a block. Rows travel with their values: a side is copied once for
+    each block across, far less than once for each pair. Columns come out with the prefixes q_ and c_.
     """
-    across = max(2, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    q, c = written(queries, "queries"), written(candidates, "candidates")
+    nq, nc = q.count(), c.count()
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    down, across = max(1, -(-nq // block)), max(1, -(-nc // block))
+    across = max(across, min(-(-cores // down), nc or 1))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], dealt(blocks).alias("_down"), every(across).alias("_across"))
-    c = candidates.select(*[F.col(c).alias(f"c_{c}") for c in candidates.columns], dealt(across).alias("_across"), every(blocks).alias("_down"))
+    q = q.select(*[F.col(c).alias(f"q_{c}") for c in q.columns], dealt(down).alias("_down"), every(across).alias("_across"))
+    c = c.select(*[F.col(x).alias(f"c_{x}") for x in c.columns], dealt(across).alias("_across"), every(down).alias("_down"))
     return q.join(c, ["_down", "_across"]).where(F.col(f"q_{key}") != F.col(f"c_{key}")).drop("_down", "_across")
 
 
@@ -53,6 +63,21 @@ def cell_sums(a: Column, b: Column, status: Column, names: tuple[str, ...] = SUM
     return F.aggregate(cells, zero, add)
 
 
+def with_bits(maps: DataFrame, h: int, w: int) -> DataFrame:
+    """Add `bits` and `area`, the set cells and the inspected cells (status 1 or 2), as longs of 64 cells each."""
+    return maps.withColumn("bits", G.packed(F.col("mask"), h, w)).withColumn("area", G.packed(F.transform("status", lambda s: s.isin(1, 2).cast("int")), h, w))
+
+
+def mask_sums(h: int, w: int) -> Column:
+    """The sums of `cell_sums` for pairs of maps `with_bits`: a few bit counts, without a loop over cells."""
+    words = range(-(-h * w // 64))
+    both = lambda f: G.total([F.bit_count(f(F.get("q_bits", k).bitwiseAND(F.get("q_area", k)), F.get("c_bits", k).bitwiseAND(F.get("q_area", k)))) for k in words]).cast("double")
+    a, b, low = both(lambda x, y: x), both(lambda x, y: y), both(lambda x, y: x.bitwiseAND(y))
+    n = G.total([F.bit_count(F.get("q_area", k)) for k in words]).cast("double")
+    sums = {"n": n, "a": a, "b": b, "ab": low, "aa": a, "bb": b, "low": low, "high": both(lambda x, y: x.bitwiseOR(y))}
+    return F.struct(*[sums[s].alias(s) for s in SUMS])
+
+
 def ratio(top: Column, bottom: Column, empty: float) -> Column:
     return F.when(bottom == 0, empty).otherwise(top / bottom)
 
@@ -105,18 +130,18 @@ def nearest_distance(cell: Column, points: Column, h: int, w: int) -> Column:
 
 
 def with_distances(maps: DataFrame, h: int, w: int) -> DataFrame:
-    """Add `points`, the set cells of the valid area, and `distances`, every cell's distance to the nearest of them."""
-    own = maps.withColumn("points", set_cells(F.col("mask"), F.col("status")))
+    """Add `points`, the set cells of the inspected area, `distances`, every cell's distance to the nearest of them, and `area`."""
+    own = with_bits(maps, h, w).drop("bits").withColumn("points", set_cells(F.col("mask"), F.col("status")))
     return own.withColumn("distances", G.let(F.col("points"), lambda p: F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: nearest_distance(i, p, h, w))))
 
 
 def chamfer(h: int, w: int) -> Column:
     """1 - min(both mean nearest distances / grid diagonal, 1) of pairs of maps `with_distances`; both empty: 1, one empty: 0.
 
-    The reference's valid area counts for both. If the candidate has the same, both means are sums of its cells'
-    distances; else its cells are chosen anew and searched for each pair.
+    The query's inspected area counts for both. If the candidate has the same (`area`, which defects do not change), both
+    means are sums of its cells' distances; else its cells are chosen anew and searched for each pair.
     """
-    same = F.col("q_status") == F.col("c_status")
+    same = F.col("q_area") == F.col("c_area")
     mean = lambda cells, distance: F.aggregate(cells, F.lit(0.0), lambda s, i: s + distance(i)) / F.size(cells)
     others = F.when(same, F.col("c_points")).otherwise(set_cells(F.col("c_mask"), F.col("q_status")))
 
@@ -138,8 +163,15 @@ SIMILARITIES: dict[str, Callable[[Column], Column]] = {"dice": dice, "iou": iou,
 NEEDS = {"dice": ("a", "b", "low"), "iou": ("low", "high"), "cosine": ("ab", "aa", "bb"), "coverage": ("a", "low"), "leakage-control": ("b", "low"), "coverage-leakage": ("a", "b", "low")}
 
 
+def score_masks(pairs: DataFrame, method: str, h: int, w: int) -> DataFrame:
+    """Add `score` to pairs of maps `with_bits` by a method of SIMILARITIES."""
+    if method not in SIMILARITIES:
+        raise ValueError(f"unknown similarity {method}; known: {', '.join(SIMILARITIES)}")
+    return pairs.withColumn("_sums", mask_sums(h, w)).withColumn("score", SIMILARITIES[method](F.col("_sums"))).drop("_sums")
+
+
 def score_pairs(pairs: DataFrame, method: str, grid: str = "mask") -> DataFrame:
-    """Add `score` to pairs of maps (q_ and c_ columns) by a method of SIMILARITIES."""
+    """Add `score` to pairs of maps (q_ and c_ columns) by a method of SIMILARITIES, for grids of any numbers."""
     if method not in SIMILARITIES:
         raise ValueError(f"unknown similarity {method}; known: {', '.join(SIMILARITIES)}")
     return pairs.withColumn("score", G.let(cell_sums(F.col(f"q_{grid}"), F.col(f"c_{grid}"), F.col("q_status"), NEEDS.get(method, SUMS)), SIMILARITIES[method]))

@@ -76,7 +76,7 @@ _LISTS = f"""{_PAIRED}, crit as (select query_id, candidate_id, 'random' as crit
 
 def outlines(spark, sf_dir):
     labels = A.label_rows(spark, sf_dir).groupBy("map_id").agg(F.collect_set("label").alias("labels"))
-    return scratch.written(B.map_outlines(A.maps(spark, sf_dir), labels, H, W), "outlines")
+    return B.map_outlines(A.maps(spark, sf_dir), labels, H, W)
 
 
 def negatives(spark, sf_dir):
@@ -92,7 +92,8 @@ def picked_negatives(spark, sf_dir):
 @query("o8_composite_extremes", f"""with {_PAIRED} select query_id, arg_min(candidate_id, {{'d': round(area + apart, 9), 'id': candidate_id}}) filter (jac <= 0) as nearest_other, arg_min(candidate_id, {{'d': -round(area + apart, 9), 'id': candidate_id}}) filter (jac >= 1) as farthest_same from dist group by 1""")
 def composite_extremes(spark, sf_dir):
     """Of maps without a common label the nearest, of maps with the same labels the farthest, by area delta and centroid distance together."""
-    pairs = B.blocked_pairs(outlines(spark, sf_dir).where(ASKS), outlines(spark, sf_dir), "map_id")
+    own = outlines(spark, sf_dir)
+    pairs = B.blocked_pairs(own.where(ASKS), own, "map_id")
     both = F.size(F.array_intersect("q_labels", "c_labels"))
     by = B.negative_distances()
     near = F.round(by["area"] + by["position"], 9)

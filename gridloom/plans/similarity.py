@@ -1,4 +1,4 @@
-"""Queries for similarity of whole maps: every 50th map asks, all maps answer."""
+"""Queries for similarity of whole maps: maps whose id is divisible by 20 ask, all maps answer."""
 
 from __future__ import annotations
 
@@ -18,12 +18,17 @@ _PAIRS = f"""with {SQL_GRID}, p as (
 
 
 def pairs(spark, sf_dir):
-    own = A.maps(spark, sf_dir).select("map_id", "status", "mask", "counts")
+    own = A.maps(spark, sf_dir).select("map_id", "status", "mask")
+    return S.blocked_pairs(own.where("map_id % 20 = 0"), own, "map_id")
+
+
+def bit_pairs(spark, sf_dir):
+    own = S.with_bits(A.maps(spark, sf_dir), H, W).select("map_id", "bits", "area")
     return S.blocked_pairs(own.where("map_id % 20 = 0"), own, "map_id")
 
 
 def _scored(spark, sf_dir, method):
-    return S.score_pairs(pairs(spark, sf_dir), method).select(F.col("q_map_id").alias("query_id"), F.col("c_map_id").alias("candidate_id"), rounded("score"))
+    return S.score_masks(bit_pairs(spark, sf_dir), method, H, W).select(F.col("q_map_id").alias("query_id"), F.col("c_map_id").alias("candidate_id"), rounded("score"))
 
 
 _FORMULAS = {
@@ -41,8 +46,7 @@ for _name, (_method, _sql) in _FORMULAS.items():
 @query("p8_coverage_leakage", f"""{_PAIRS}, f as (select query_id, candidate_id, low / (a + 1e-12) as coverage, (b - low) / (b + 1e-12) as leakage from s)
  select query_id, candidate_id, round(coverage - 0.5 * leakage, 6) + 0.0 as score, round(coverage, 6) + 0.0 as coverage, round(leakage, 6) + 0.0 as leakage from f""")
 def coverage_leakage(spark, sf_dir):
-    sums = S.cell_sums(F.col("q_mask"), F.col("c_mask"), F.col("q_status"))
-    own = pairs(spark, sf_dir).select(F.col("q_map_id").alias("query_id"), F.col("c_map_id").alias("candidate_id"), S.G.let(sums, S.coverage_leakage).alias("x"))
+    own = bit_pairs(spark, sf_dir).withColumn("s", S.mask_sums(H, W)).select(F.col("q_map_id").alias("query_id"), F.col("c_map_id").alias("candidate_id"), S.coverage_leakage(F.col("s")).alias("x"))
     return own.select("query_id", "candidate_id", "x.*").select("query_id", "candidate_id", *map(rounded, ("score", "coverage", "leakage")))
 
 
@@ -68,8 +72,7 @@ def top_similar(spark, sf_dir):
  k as (select *, row_number() over (partition by query_id order by iou desc, candidate_id) as rank from t) select query_id, candidate_id, iou, coverage_leakage, rank from k where rank <= 100""")
 def smoke_rankings(spark, sf_dir):
     """The plain baseline: here two empty maps score 0, unlike in p2_iou."""
-    sums = S.cell_sums(F.col("q_mask"), F.col("c_mask"), F.col("q_status"))
-    own = pairs(spark, sf_dir).select(F.col("q_map_id").alias("query_id"), F.col("c_map_id").alias("candidate_id"), sums.alias("s"))
+    own = bit_pairs(spark, sf_dir).select(F.col("q_map_id").alias("query_id"), F.col("c_map_id").alias("candidate_id"), S.mask_sums(H, W).alias("s"))
     own = own.withColumn("iou", F.col("s.low") / F.greatest("s.high", F.lit(1.0)))
     own = own.withColumn("coverage_leakage", F.when((F.col("s.a") == 0) | (F.col("s.b") == 0), 0.0).otherwise(F.col("s.low") / F.col("s.a") - 0.5 * (F.col("s.b") - F.col("s.low")) / F.col("s.b")))
     ranked = S.top_k(own.select("query_id", "candidate_id", rounded("iou"), rounded("coverage_leakage")), "query_id", "candidate_id", 100, "iou")
