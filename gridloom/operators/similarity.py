@@ -20,12 +20,12 @@ from ..sources.scratch import written
 BLOCK = 2048
 
 
-def blocked_pairs(queries: DataFrame, candidates: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
-    """Every query with every other candidate, as a join on a grid of blocks of at most about `block` rows a side.
+def block_grid(queries: DataFrame, candidates: DataFrame, key: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt to the blocks of a grid (_down, _across) of at most about `block` rows a side.
 
     Both sides are written and counted, and the grid follows the counts, so a block's size is the same for any input; a
     small input is cut finer, so that every core has a block. Rows travel with their values: a side is copied once for
-    each block across, far less than once for each pair. Columns come out with the prefixes q_ and c_.
+    each block across, far less than once for each pair.
     """
     q, c = written(queries, "queries"), written(candidates, "candidates")
     nq, nc = q.count(), c.count()
@@ -34,8 +34,17 @@ def blocked_pairs(queries: DataFrame, candidates: DataFrame, key: str, block: in
     across = max(across, min(-(-cores // down), nc or 1))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    q = q.select(*[F.col(c).alias(f"q_{c}") for c in q.columns], dealt(down).alias("_down"), every(across).alias("_across"))
-    c = c.select(*[F.col(x).alias(f"c_{x}") for x in c.columns], dealt(across).alias("_across"), every(down).alias("_down"))
+    return q.withColumn("_down", dealt(down)).withColumn("_across", every(across)), c.withColumn("_across", dealt(across)).withColumn("_down", every(down))
+
+
+def blocked_pairs(queries: DataFrame, candidates: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """Every query with every other candidate, as a join on the blocks of `block_grid`.
+
+    Columns come out with the prefixes q_ and c_.
+    """
+    q, c = block_grid(queries, candidates, key, block)
+    q = q.select(*[F.col(x).alias(f"q_{x}") for x in queries.columns], "_down", "_across")
+    c = c.select(*[F.col(x).alias(f"c_{x}") for x in candidates.columns], "_down", "_across")
     return q.join(c, ["_down", "_across"]).where(F.col(f"q_{key}") != F.col(f"c_{key}")).drop("_down", "_across")
 
 
@@ -187,14 +196,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def mutual_nearest(pairs: DataFrame, q_token: str, c_token: str, distance: str, keys: list[str]) -> DataFrame:
-    """Rows of token pairs that are each other's nearest; ties to the smaller token."""
-    a = pairs.groupBy(*keys, q_token).agg(F.min_by(c_token, F.struct(distance, c_token)).alias("_best"))
-    b = pairs.groupBy(*keys, c_token).agg(F.min_by(q_token, F.struct(distance, q_token)).alias("_back"))
-    a, b = a.withColumnRenamed("_best", c_token), b.withColumnRenamed("_back", q_token)
-    return a.join(b, [*keys, q_token, c_token])
-
-
 def gated_label_score(q_labels: Column, c_labels: Column, terms: dict[str, tuple[Column, float]], label_weight: float = 0.6, gate: float = 0.6) -> Column:
     """Overlap of label sets, zero under the gate, else a mean of it and the terms that are present, by weight."""
     overlap = F.size(F.array_intersect(q_labels, c_labels)) / F.size(c_labels)
@@ -215,14 +216,22 @@ def hard_negative_score(q: Column, c: Column) -> Column:
     return 0.45 * counts + 0.35 * F.exp(-apart / 0.25) + 0.2 * dot(q["hist"], c["hist"]) + bonus
 
 
-def shifted_overlap(a: Column, b: Column, h: int, w: int, most: int) -> Column:
-    """struct(score, dr, dc): the move of `b` by up to `most` cells that gives the largest IoU; ties to the smallest move."""
-    moves = sorted(((dr, dc) for dr in range(-most, most + 1) for dc in range(-most, most + 1)), key=lambda m: (abs(m[0]) + abs(m[1]), m))
+def moves(most: int) -> list[tuple[int, int]]:
+    """All moves by up to `most` cells, the smallest first."""
+    return sorted(((dr, dc) for dr in range(-most, most + 1) for dc in range(-most, most + 1)), key=lambda m: (abs(m[0]) + abs(m[1]), m))
+
 
-    def overlap(moved: Column) -> Column:
-        both = F.aggregate(F.zip_with(a, moved, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        either = F.aggregate(F.zip_with(a, moved, lambda x, y: F.greatest(x, y)), F.lit(0), lambda s, x: s + x)
-        return F.when(either == 0, 1.0).otherwise(both / either)
+def with_moves(maps: DataFrame, h: int, w: int, most: int) -> DataFrame:
+    """Add `bits`, the set cells as longs, and `moved`, those of every move of the map, once for each map."""
+    moved = F.array(*[G.packed(G.stencil(F.col("mask"), h, w, [(-dr, -dc)], lambda v: v[0], F.lit(0)), h, w) for dr, dc in moves(most)])
+    return maps.withColumn("bits", G.packed(F.col("mask"), h, w)).withColumn("moved", moved)
 
-    tried = F.array(*[F.struct(overlap(G.stencil(b, h, w, [(-dr, -dc)], lambda v: v[0], F.lit(0))).alias("score"), F.lit(-k).alias("order"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for k, (dr, dc) in enumerate(moves)])
-    return F.array_max(tried)
+
+def shifted_overlap(h: int, w: int, most: int) -> Column:
+    """struct(score, dr, dc) for pairs of maps `with_moves`: the move of the candidate that gives the largest IoU; ties to the smallest move."""
+    words = range(-(-h * w // 64))
+    bits = lambda f, m: G.total([F.bit_count(f(F.get("q_bits", k), F.get(m, k))) for k in words])
+    rate = lambda m: G.let(bits(lambda x, y: x.bitwiseOR(y), m), lambda either: F.when(either == 0, 1.0).otherwise(bits(lambda x, y: x.bitwiseAND(y), m) / either))
+    best = F.array_max(F.transform("c_moved", lambda m, k: F.struct(rate(m).alias("score"), (-k).alias("minus"))))
+    at = lambda part: F.array(*[F.lit(m[part]) for m in moves(most)])
+    return G.let(best, lambda b: F.struct(b["score"].alias("score"), F.get(at(0), -b["minus"]).alias("dr"), F.get(at(1), -b["minus"]).alias("dc")))

@@ -17,11 +17,6 @@ _PAIRS = f"""with {SQL_GRID}, p as (
  s as (select query_id, candidate_id, cast(count(*) as double) n, sum(x) a, sum(y) b, sum(x * y) ab, sum(x * x) aa, sum(y * y) bb, sum(least(x, y)) low, sum(greatest(x, y)) high from p group by 1, 2)"""
 
 
-def pairs(spark, sf_dir):
-    own = A.maps(spark, sf_dir).select("map_id", "status", "mask")
-    return S.blocked_pairs(own.where("map_id % 20 = 0"), own, "map_id")
-
-
 def bit_pairs(spark, sf_dir):
     own = S.with_bits(A.maps(spark, sf_dir), H, W).select("map_id", "bits", "area")
     return S.blocked_pairs(own.where("map_id % 20 = 0"), own, "map_id")
@@ -119,7 +114,9 @@ def label_gated_score(spark, sf_dir):
  k as (select *, row_number() over (partition by q, c order by score desc, o) rk from s)
  select q as query_id, c as candidate_id, round(score, 6) + 0.0 as score, cast(dr as bigint) dr, cast(dc as bigint) dc from k where rk = 1""")
 def shift_search(spark, sf_dir):
-    own = pairs(spark, sf_dir).select(F.col("q_map_id").alias("query_id"), F.col("c_map_id").alias("candidate_id"), S.shifted_overlap(F.col("q_mask"), F.col("c_mask"), H, W, 2).alias("x")).select("query_id", "candidate_id", "x.*")
+    maps = S.with_moves(A.maps(spark, sf_dir).select("map_id", "mask"), H, W, 2)
+    p = S.blocked_pairs(maps.where("map_id % 20 = 0").select("map_id", "bits"), maps.select("map_id", "moved"), "map_id")
+    own = p.select(F.col("q_map_id").alias("query_id"), F.col("c_map_id").alias("candidate_id"), S.shifted_overlap(H, W, 2).alias("x")).select("query_id", "candidate_id", "x.*")
     return own.select("query_id", "candidate_id", rounded("score"), F.col("dr").cast("bigint").alias("dr"), F.col("dc").cast("bigint").alias("dc"))
 
 
