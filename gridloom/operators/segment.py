@@ -18,6 +18,10 @@ def eigenvalues(srr: Column, scc: Column, src: Column) -> tuple[Column, Column]:
     return mean + half, F.greatest(mean - half, F.lit(0.0))
 
 
+#: Sectors whose counts tell how evenly a token is spread around the middle.
+SECTORS = 12
+
+
 def region_cells(maps: DataFrame, h: int, w: int, mask: str = "mask", offsets=G.NEIGHBOURS_8) -> DataFrame:
     """map_id, token, r, c, n, edges for every cell of every region; token is the region's first cell plus one."""
     labelled = maps.withColumn("_labels", S.components(F.col(mask), h, w, offsets)).withColumn("_edges", S.exposed_edges(F.col("_labels"), h, w))
@@ -28,18 +32,21 @@ def region_cells(maps: DataFrame, h: int, w: int, mask: str = "mask", offsets=G.
 def token_statistics(cells: DataFrame, h: int, w: int, weighted: bool = False, radius: float | None = None) -> DataFrame:
     """One row per region: area, mass, centroid, box, principal axes, perimeter, ratios, radial place, angles and pixels.
 
-    weighted: centroid, axes and radii by count (at least 1e-6 each) rather than by cell. radius: what radii are divided
-    by; by default half of the grid's diagonal.
+    weighted: centroid, axes and mean radius by count (at least 1e-6 each) rather than by cell; the radii's spread is by
+    cell always. radius: what radii are divided by; by default half of the grid's diagonal. angular_cv: how unevenly the
+    cells are spread over twelve sectors, their deviation over their mean.
     """
     weight = F.greatest("n", F.lit(1e-6)) if weighted else F.lit(1.0)
     radius = radius or math.hypot(h, w) / 2
     away = F.sqrt((F.col("r") - h / 2) ** 2 + (F.col("c") - w / 2) ** 2) / radius
+    turn = F.pmod(F.degrees(F.atan2(F.col("r") - F.lit(h / 2), F.col("c") - F.lit(w / 2))), F.lit(360.0))
+    sector = F.least(F.floor(turn / (360.0 / SECTORS)), F.lit(SECTORS - 1))
     rows = cells.withColumn("_w", weight).withColumn("_d", away)
     mean = lambda e: F.sum(F.col("_w") * e) / F.sum("_w")
     own = rows.groupBy("map_id", "token").agg(
         F.count("*").alias("area"), F.sum("n").alias("mass"), F.max("n").alias("peak"), F.sum("edges").cast("bigint").alias("perimeter"),
         mean(F.col("r")).alias("centroid_r"), mean(F.col("c")).alias("centroid_c"), mean(F.col("r") * F.col("r")).alias("_rr"), mean(F.col("c") * F.col("c")).alias("_cc"), mean(F.col("r") * F.col("c")).alias("_rc"),
-        F.min("r").alias("r_min"), F.max("r").alias("r_max"), F.min("c").alias("c_min"), F.max("c").alias("c_max"), mean(F.col("_d")).alias("_dm"), mean(F.col("_d") * F.col("_d")).alias("_dd"),
+        F.min("r").alias("r_min"), F.max("r").alias("r_max"), F.min("c").alias("c_min"), F.max("c").alias("c_max"), mean(F.col("_d")).alias("_dm"), F.stddev_pop("_d").alias("radial_std"), F.array(*[F.count_if(sector == k) for k in range(SECTORS)]).alias("_sectors"),
         F.array_sort(F.collect_list(F.struct("r", "c"))).alias("pixels"),
     )
     large, small = eigenvalues(F.col("_rr") - F.col("centroid_r") ** 2, F.col("_cc") - F.col("centroid_c") ** 2, F.col("_rc") - F.col("centroid_r") * F.col("centroid_c"))
@@ -51,11 +58,21 @@ def token_statistics(cells: DataFrame, h: int, w: int, weighted: bool = False, r
     return own.select(
         "map_id", "token", "area", "mass", "peak", "centroid_r", "centroid_c", "r_min", "c_min", "r_max", "c_max", "lambda_1", "lambda_2", "perimeter", "pixels",
         F.pmod(theta, F.lit(180.0)).alias("orientation"), (F.col("perimeter") / F.col("area")).alias("compactness"), (F.col("area") / (tall * wide)).alias("fill"), (F.greatest(tall, wide) / F.least(tall, wide)).alias("aspect"),
-        (F.sqrt((F.col("centroid_r") - h / 2) ** 2 + (F.col("centroid_c") - w / 2) ** 2) / radius).alias("radial"), F.col("_dm").alias("radial_mean"), F.sqrt(F.greatest(F.col("_dd") - F.col("_dm") ** 2, F.lit(0.0))).alias("radial_std"),
+        (F.sqrt((F.col("centroid_r") - h / 2) ** 2 + (F.col("centroid_c") - w / 2) ** 2) / radius).alias("radial"), F.col("_dm").alias("radial_mean"), "radial_std", (F.sqrt(F.aggregate("_sectors", F.lit(0.0), lambda s, x: s + (x - F.col("area") / SECTORS) * (x - F.col("area") / SECTORS)) / SECTORS) / (F.col("area") / SECTORS)).alias("angular_cv"),
         (set_bits / 72.0).alias("coverage"), (S.longest_run(F.col("_bits")) / 72.0).alias("max_run"), (S.longest_run(F.transform("_bits", lambda b: ~b)) / 72.0).alias("max_gap"),
     )
 
 
+def centre_occupancy() -> Column:
+    """The share of set cells in the disc around the middle of a token's box, three tenths of its shorter half wide, one cell at least."""
+    tall, wide = F.col("r_max") - F.col("r_min") + 1, F.col("c_max") - F.col("c_min") + 1
+    radius = F.greatest(0.30 * F.greatest(F.least(tall, wide) / 2.0, F.lit(1.0)), F.lit(1.0))
+    inside = lambda y, x: (y - (tall - 1) / 2.0) * (y - (tall - 1) / 2.0) + (x - (wide - 1) / 2.0) * (x - (wide - 1) / 2.0) <= radius * radius
+    every = F.flatten(F.transform(F.sequence(F.lit(0), tall - 1), lambda y: F.filter(F.sequence(F.lit(0), wide - 1), lambda x: inside(y, x))))
+    hit = F.filter("pixels", lambda p: inside(p["r"] - F.col("r_min"), p["c"] - F.col("c_min")))
+    return F.when(F.size(every) > 0, F.size(hit) / F.size(every)).otherwise(0.0)
+
+
 def token_kind(ring: bool = True) -> Column:
     """edge_ring, line, blob, central or irregular, in this order; `ring` False leaves edge_ring out."""
     elongation = F.col("lambda_1") / F.greatest("lambda_2", F.lit(1e-6))

@@ -6,12 +6,16 @@ from lineitem; vectors and rankings from embeddings. The SQL of the same project
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grid as G
 
 H = W = 16
+#: The farthest valid cell from the middle (8, 8) of a map.
+RADIUS = max(math.hypot(r - H / 2, c - W / 2) for r in range(H) for c in range(W) if (r - 7.5) ** 2 + (c - 7.5) ** 2 <= 64)
 
 SQL_CELLS = """cells as (
  select l_suppkey as map_id, cast(l_partkey % 16 as int) as r, cast(l_orderkey % 16 as int) as c, cast(count(*) as bigint) as n

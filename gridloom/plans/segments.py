@@ -73,16 +73,29 @@ def component_stats(spark, sf_dir):
     return own.select("map_id", F.col("token").cast("bigint").alias("token"), "area", "mass", "perimeter", *[(F.round(n, 5) + 0.0).alias(n) for n in _STAT_NAMES])
 
 
-_WEIGHTED = f"""{_LABELLED}, b as (select *, cast(least(floor((case when degrees(atan2(r - 8.0, c - 8.0)) < 0 then degrees(atan2(r - 8.0, c - 8.0)) + 360 else degrees(atan2(r - 8.0, c - 8.0)) end) / 5.0), 71) as int) as bin from lab),
- s as (select map_id, token, count(*) as area, cast(sum(n) as double) as mass, max(n) as peak, sum(n * r) / cast(sum(n) as double) mr, sum(n * c) / cast(sum(n) as double) mc, count(distinct bin) / 72.0 as coverage,
- sum(n * sqrt((r - 8) * (r - 8) + (c - 8) * (c - 8))) / sum(n) / 8.0 as rm from b group by 1, 2)"""
-
-
-@query("g6_token_stats", f"{_WEIGHTED} select map_id, cast(token as bigint) token, area, mass, cast(peak as double) as peak, round(mr, 5) + 0.0 as centroid_r, round(mc, 5) + 0.0 as centroid_c, round(coverage, 5) + 0.0 as coverage, round(rm, 5) + 0.0 as radial_mean from s")
+_TURN = "(case when degrees(atan2(r - 8.0, c - 8.0)) < 0 then degrees(atan2(r - 8.0, c - 8.0)) + 360 else degrees(atan2(r - 8.0, c - 8.0)) end)"
+#: Weighted statistics of region tokens, and what of them goes into the geometry vector.
+SQL_TOKENS = f"""{_LABELLED}, pix as (select lab.*, edges, cast(least(floor({_TURN} / 5.0), 71) as int) as bin, cast(least(floor({_TURN} / 30.0), 11) as int) as sector, sqrt((r - 8) * (r - 8) + (c - 8) * (c - 8)) / {A.RADIUS!r} as d from lab join edge using (map_id, r, c)),
+ w1 as (select map_id, token, count(*) as area, cast(sum(n) as double) as mass, max(n) as peak, cast(sum(edges) as double) as per, sum(n * r) / cast(sum(n) as double) as mr, sum(n * c) / cast(sum(n) as double) as mc, sum(n * d) / sum(n) as rm, stddev_pop(d) as radial_std, count(distinct bin) / 72.0 as coverage,
+ sum(n * r * r) / cast(sum(n) as double) as mrr, sum(n * c * c) / cast(sum(n) as double) as mcc, sum(n * r * c) / cast(sum(n) as double) as mrc, min(r) as r0, max(r) - min(r) + 1 as tall, min(c) as c0, max(c) - min(c) + 1 as wide from pix group by 1, 2),
+ w2 as (select *, (mrr - mr * mr + mcc - mc * mc) / 2 + sqrt(((mrr - mr * mr - mcc + mc * mc) / 2) * ((mrr - mr * mr - mcc + mc * mc) / 2) + (mrc - mr * mc) * (mrc - mr * mc)) as l1, greatest((mrr - mr * mr + mcc - mc * mc) / 2 - sqrt(((mrr - mr * mr - mcc + mc * mc) / 2) * ((mrr - mr * mr - mcc + mc * mc) / 2) + (mrc - mr * mc) * (mrc - mr * mc)), 0) as l2, sqrt((mr - 8) * (mr - 8) + (mc - 8) * (mc - 8)) / {A.RADIUS!r} as rad from w1),
+ sec as (select map_id, token, sum(k * k) as kk from (select map_id, token, sector, count(*) as k from pix group by 1, 2, 3) group by 1, 2),
+ b2 as (select distinct map_id, token, bin + 72 * k as x from pix cross join (select unnest(range(0, 2)) as k)), isl as (select map_id, token, x - row_number() over (partition by map_id, token order by x) as g from b2),
+ runs as (select map_id, token, least(max(len), 72) / 72.0 as max_run from (select map_id, token, g, count(*) as len from isl group by 1, 2, 3) group by 1, 2),
+ gaps as (select map_id, token, least(coalesce(max(gap), 0), 72) / 72.0 as max_gap from (select map_id, token, lead(x) over (partition by map_id, token order by x) - x - 1 as gap from b2) group by 1, 2),
+ box as (select map_id, token, r0, c0, tall, wide, greatest(0.30 * greatest(least(tall, wide) / 2.0, 1.0), 1.0) as rho from w1),
+ disc as (select map_id, token, count(*) as cells_in from (select *, unnest(range(tall)) as y from box) b cross join (select unnest(range(16)) as x) where x < wide and (y - (tall - 1) / 2.0) * (y - (tall - 1) / 2.0) + (x - (wide - 1) / 2.0) * (x - (wide - 1) / 2.0) <= rho * rho group by 1, 2),
+ occ as (select box.map_id, box.token, count(*) as hit from box join pix using (map_id, token) where (pix.r - r0 - (tall - 1) / 2.0) * (pix.r - r0 - (tall - 1) / 2.0) + (pix.c - c0 - (wide - 1) / 2.0) * (pix.c - c0 - (wide - 1) / 2.0) <= rho * rho group by 1, 2),
+ tok as (select w2.*, sqrt(kk / 12.0 - (area / 12.0) * (area / 12.0)) / (area / 12.0) as cv, max_run, max_gap, coalesce(hit, 0) / cast(cells_in as double) as occupancy from w2 join sec using (map_id, token) join runs using (map_id, token) join gaps using (map_id, token) join disc using (map_id, token) left join occ using (map_id, token)),
+ geo as (select *, list_transform([area / cast(tall * wide as double), ln(1 + greatest(tall, wide) / cast(least(tall, wide) as double)) / ln(16.0), ln(1 + l1 / greatest(l2, 1e-6)) / ln(64.0), per / area / 4, coverage, max_run, 1.0 / (1.0 + cv), 1 - max_gap, radial_std, occupancy], lambda x: least(greatest(x, 0.0), 1.0)) as geometry from tok)"""
+_TOKEN_COLUMNS = {"centroid_r": "mr", "centroid_c": "mc", "lambda_1": "l1", "radial": "rad", "radial_mean": "rm", "radial_std": "radial_std", "coverage": "coverage", "angular_cv": "cv", "max_run": "max_run", "max_gap": "max_gap"}
+
+
+@query("g6_token_stats", f"{SQL_TOKENS} select map_id, cast(token as bigint) token, area, mass, cast(peak as double) as peak, " + ", ".join(f"round({s}, 5) + 0.0 as {n}" for n, s in _TOKEN_COLUMNS.items()) + " from tok")
 def token_stats(spark, sf_dir):
-    """Statistics weighted by count, radii over the valid radius, angles in 72 bins."""
-    own = T.token_statistics(T.region_cells(A.maps(spark, sf_dir), H, W), H, W, weighted=True, radius=8.0)
-    return own.select("map_id", F.col("token").cast("bigint").alias("token"), "area", "mass", "peak", *[(F.round(n, 5) + 0.0).alias(n) for n in ("centroid_r", "centroid_c", "coverage", "radial_mean")])
+    """Centroid, axes and mean radius weighted by count, radii over that of the valid area, angles in 72 bins and 12 sectors."""
+    own = T.token_statistics(T.region_cells(A.maps(spark, sf_dir), H, W), H, W, weighted=True, radius=A.RADIUS)
+    return own.select("map_id", F.col("token").cast("bigint").alias("token"), "area", "mass", "peak", *[(F.round(n, 5) + 0.0).alias(n) for n in _TOKEN_COLUMNS])
 
 
 @query("g7_circular_runs", f"""with {SQL_GRID}, b as (select distinct map_id, cast(least(floor((case when degrees(atan2(r - 8.0, c - 8.0)) < 0 then degrees(atan2(r - 8.0, c - 8.0)) + 360 else degrees(atan2(r - 8.0, c - 8.0)) end) / 5.0), 71) as int) as bin from grid where n > 0),
