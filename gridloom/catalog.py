@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: The modules that register queries when they are imported.
-PLANS = ("raster", "cleaning", "similarity", "segments", "merge", "cluster", "matching", "dense", "rankings", "metrics", "sampling", "benchmark", "files", "streams")
+PLANS = ("raster", "cleaning", "similarity", "segments", "merge", "split", "cluster", "matching", "dense", "rankings", "metrics", "sampling", "benchmark", "files", "streams")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}

@@ -1,34 +1,61 @@
-"""Connected regions of grids held as arrays, inside the row."""
+"""Connected regions of grids held as arrays, and circles of angles."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import grid as G
 
 
-def components(mask: Column, h: int, w: int, offsets: list[tuple[int, int]] = G.NEIGHBOURS_8) -> Column:
-    """For every cell the smallest cell number of its region plus one; 0 where the mask is not set.
-
-    Each round takes the least label of the neighbourhood and then follows it once more, until nothing changes; rounds
-    after that cost one comparison.
+def label_grids(masks: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
+    """Labels of grids (maps, h, w), all at once: in each round every cell takes the least label that its neighbours reach
+    and then follows it once; grids that are settled drop out.
     """
-    start = F.transform(mask, lambda x, i: F.when(x > 0, i + 1).otherwise(0))
+    n, h, w = masks.shape
     far = h * w + 1
+    labels = np.where(masks > 0, np.arange(1, far).reshape(h, w), far).astype(np.int32)
+    reach = max((max(abs(dr), abs(dc)) for dr, dc in offsets), default=0)
+    live = np.arange(n)
+    while len(live):
+        own = labels[live]
+        wide = np.pad(own, ((0, 0), (reach, reach), (reach, reach)), constant_values=far)
+        new = own.copy()
+        for dr, dc in offsets:
+            np.minimum(new, wide[:, reach + dr : reach + dr + h, reach + dc : reach + dc + w], out=new)
+        new[own == far] = far
+        flat = np.concatenate([new.reshape(len(live), -1), np.full((len(live), 1), far, np.int32)], axis=1)
+        new = np.take_along_axis(flat, flat - 1, axis=1)[:, :-1].reshape(new.shape)
+        moved = (new != own).any(axis=(1, 2))
+        labels[live] = new
+        live = live[moved]
+    return np.where(labels == far, 0, labels)
+
+
+def with_components(maps: DataFrame, name: str, mask: str, h: int, w: int, offsets: list[tuple[int, int]] = G.NEIGHBOURS_8) -> DataFrame:
+    """Add `name`: for every cell the smallest cell number of its region plus one; 0 where `mask` is not set. A null mask stays null.
+
+    Offsets must hold the opposite of each of them. The maps of an Arrow batch are labelled together.
+    """
 
-    def round_of(labels: Column) -> Column:
-        open_labels = F.transform(labels, lambda x: F.when(x > 0, x).otherwise(far))
-        near = G.stencil(open_labels, h, w, [(0, 0), *offsets], G.smallest, F.lit(far))
-        met = F.zip_with(labels, near, lambda own, n: F.when(own > 0, n).otherwise(0))
-        return G.let(met, lambda m: F.transform(m, lambda x: F.when(x > 0, F.get(m, x - 1)).otherwise(0)))
-
-    def step(state: Column) -> Column:
-        return G.let(round_of(state["labels"]), lambda new: F.struct(new.alias("labels"), F.forall(F.zip_with(new, state["labels"], lambda a, b: a == b), lambda same: same).alias("done")))
-
-    first = F.struct(start.alias("labels"), F.lit(False).alias("done"))
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(h * w)), first, lambda s, _: F.when(s["done"], s).otherwise(step(s)))
-    return last["labels"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks = batch.column(batch.schema.names.index(mask))
+            there = np.flatnonzero(np.asarray(masks.is_valid()))
+            found = np.zeros((0, h * w), np.int32)
+            if len(there):
+                found = label_grids(np.asarray(masks.flatten()).reshape(len(there), h, w), offsets).reshape(len(there), h * w)
+            sizes = np.where(np.isin(np.arange(batch.num_rows), there), h * w, 0)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            labels = pa.ListArray.from_arrays(ends, pa.array(found.reshape(-1), pa.int32()), mask=pa.array(sizes == 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, labels], [*batch.schema.names, name])
+
+    return maps.mapInArrow(run, T.StructType([*maps.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
 
 
 def exposed_edges(labels: Column, h: int, w: int) -> Column:

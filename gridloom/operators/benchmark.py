@@ -76,18 +76,18 @@ def scaled(mask: Column, h: int, w: int, factor: float) -> Column:
     return G.let(hit, lambda own: F.transform(G.cells_of(h, w), lambda i: F.array_contains(own, i).cast("int")))
 
 
-def without_largest(mask: Column, h: int, w: int) -> Column:
-    """The set cells outside the largest region; ties to the region that starts first."""
+def without_largest(labels: Column) -> Column:
+    """The set cells outside the largest region, from the regions' labels; ties to the region that starts first."""
 
     def cleared(labels: Column) -> Column:
         sizes = F.transform(F.array_distinct(F.filter(labels, lambda x: x > 0)), lambda own: F.struct(F.size(F.filter(labels, lambda x: x == own)).alias("n"), (-own).alias("minus")))
         return G.let(-F.array_max(sizes)["minus"], lambda largest: F.transform(labels, lambda x: ((x > 0) & (x != largest)).cast("int")))
 
-    return G.let(S.components(mask, h, w), cleared)
+    return G.let(labels, cleared)
 
 
-def variant(kind: str, mask: Column, valid: Column, key: Column, h: int, w: int) -> tuple[Column, Column]:
-    """(mask, valid) of a variant. Turns move the valid area as well; everything else stays inside it."""
+def variant(kind: str, mask: Column, valid: Column, labels: Column, key: Column, h: int, w: int) -> tuple[Column, Column]:
+    """(mask, valid) of a variant; labels are those of the mask's regions. Turns move the valid area as well; everything else stays inside it."""
     cut = lambda m: F.zip_with(m, valid, lambda x, v: F.when(v > 0, x).otherwise(0))
     size = G.let(F.filter(mask, lambda x: x > 0), F.size)
     free = F.zip_with(mask, valid, lambda x, v: (x == 0) & (v > 0))
@@ -117,7 +117,7 @@ def variant(kind: str, mask: Column, valid: Column, key: Column, h: int, w: int)
         blob = G.let(middle, lambda k: F.transform(G.cells_of(h, w), lambda i: (k >= 0) & near(i, k)))
         return cut(flags(blob, 1)), valid
     if kind == "cluster_dropout":
-        rest = without_largest(mask, h, w)
+        rest = without_largest(labels)
         return G.let(rest, lambda own: F.when(F.exists(own, lambda x: x > 0), own).otherwise(dropped(0.45, SEEDS[kind]))), valid
     raise ValueError(f"unknown variant {kind}")
 
@@ -126,11 +126,12 @@ def variant_maps(maps: DataFrame, h: int, w: int) -> DataFrame:
     """map_id, transform_type, transform_strength, status (0, 1, 2) of every variant of maps (map_id, mask, valid)."""
 
     def made(kind: str, strength: str) -> Column:
-        mask, valid = variant(kind, F.col("mask"), F.col("valid"), F.col("map_id"), h, w)
+        mask, valid = variant(kind, F.col("mask"), F.col("valid"), F.col("labels"), F.col("map_id"), h, w)
         status = F.zip_with(mask, valid, lambda x, v: F.when(v == 0, 0).when(x > 0, 2).otherwise(1))
         return F.struct(F.lit(kind).alias("transform_type"), F.lit(strength).alias("transform_strength"), status.alias("status"))
 
-    return maps.select("map_id", F.explode(F.array(*[made(*v) for v in VARIANTS])).alias("x")).select("map_id", "x.*")
+    labelled = S.with_components(maps.select("map_id", "mask", "valid"), "labels", "mask", h, w)
+    return labelled.select("map_id", F.explode(F.array(*[made(*v) for v in VARIANTS])).alias("x")).select("map_id", "x.*")
 
 
 def map_outlines(maps: DataFrame, labels: DataFrame, h: int, w: int) -> DataFrame:

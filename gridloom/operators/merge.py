@@ -140,8 +140,8 @@ def geometry_merge_tokens(maps: DataFrame, h: int, w: int, gates: dict = GATES)
 def dilated_cells(maps: DataFrame, h: int, w: int, radius: int = 1) -> DataFrame:
     """Cells as in `region_cells`, but regions are those of the mask grown by `radius`; the cells stay the mask's own."""
     span = range(-radius, radius + 1)
-    grown = S.components(G.dilate(F.col("mask"), h, w, [(dr, dc) for dr in span for dc in span]), h, w)
-    labelled = maps.withColumn("_wide", F.zip_with(grown, "mask", lambda x, m: F.when(m > 0, x).otherwise(0))).withColumn("_edges", S.exposed_edges(F.col("_wide"), h, w))
+    grown = maps.select("map_id", "counts", "mask", G.dilate(F.col("mask"), h, w, [(dr, dc) for dr in span for dc in span]).alias("_grown"))
+    labelled = S.with_components(grown, "_labels", "_grown", h, w).withColumn("_wide", F.zip_with("_labels", "mask", lambda x, m: F.when(m > 0, x).otherwise(0))).withColumn("_edges", S.exposed_edges(F.col("_wide"), h, w))
     rows = labelled.select("map_id", F.posexplode(F.arrays_zip(F.col("_wide").alias("token"), F.col("counts").alias("n"), F.col("_edges").alias("edges"))).alias("i", "x")).where("x.token > 0")
     rows = rows.select("map_id", F.col("x.token").alias("wide"), G.row_of(F.col("i"), w).alias("r"), G.column_of(F.col("i"), w).alias("c"), F.col("i").alias("cell"), F.col("x.n").cast("double").alias("n"), F.col("x.edges").alias("edges"))
     first = rows.groupBy("map_id", "wide").agg((F.min("cell") + 1).alias("token"))

@@ -24,7 +24,7 @@ SECTORS = 12
 
 def region_cells(maps: DataFrame, h: int, w: int, mask: str = "mask", offsets=G.NEIGHBOURS_8) -> DataFrame:
     """map_id, token, r, c, n, edges for every cell of every region; token is the region's first cell plus one."""
-    labelled = maps.withColumn("_labels", S.components(F.col(mask), h, w, offsets)).withColumn("_edges", S.exposed_edges(F.col("_labels"), h, w))
+    labelled = S.with_components(maps.select("map_id", "counts", mask), "_labels", mask, h, w, offsets).withColumn("_edges", S.exposed_edges(F.col("_labels"), h, w))
     rows = labelled.select("map_id", F.posexplode(F.arrays_zip(F.col("_labels").alias("token"), F.col("counts").alias("n"), F.col("_edges").alias("edges"))).alias("i", "x")).where("x.token > 0")
     return rows.select("map_id", F.col("x.token").alias("token"), G.row_of(F.col("i"), w).alias("r"), G.column_of(F.col("i"), w).alias("c"), F.col("x.n").cast("double").alias("n"), F.col("x.edges").alias("edges"))
 
@@ -152,7 +152,7 @@ def arc_ring_residual_tokens(maps: DataFrame, h: int, w: int, valid: int, min_ar
     least, k = adaptive(h, w, valid, min_area, top_k)
     maps = written(maps.select("map_id", "counts", "valid", "mask"), "maps")  # read twice below
     banded = written(ring_band(maps, h, w), "banded")
-    grouped = banded.withColumn("_parts", S.components(F.col("band_mask"), h, w)).withColumn("_wide", S.components(G.dilate(F.col("band_mask"), h, w), h, w))
+    grouped = S.with_components(S.with_components(banded.select("map_id", "counts", "band_mask", G.dilate(F.col("band_mask"), h, w).alias("_grown")), "_parts", "band_mask", h, w), "_wide", "_grown", h, w)
     cell = F.arrays_zip(F.col("_parts").alias("part"), F.col("_wide").alias("token"), F.col("counts").alias("n"))
     rows = grouped.select("map_id", F.posexplode(cell).alias("i", "x")).where("x.part > 0").select("map_id", "x.*", G.row_of(F.col("i"), w).alias("r"), G.column_of(F.col("i"), w).alias("c"), F.lit(0).alias("edges"))
     parts = rows.groupBy("map_id", "token").agg(F.countDistinct("part").alias("parts"))
@@ -214,7 +214,7 @@ def dbscan(maps: DataFrame, h: int, w: int, eps: float, min_points: int) -> Data
     reach = [(dr, dc) for dr in range(-int(eps), int(eps) + 1) for dc in range(-int(eps), int(eps) + 1) if (dr or dc) and dr * dr + dc * dc <= eps * eps]
     near = G.stencil(F.col("mask"), h, w, [(0, 0), *reach], G.total, F.lit(0))
     cored = maps.withColumn("_core", F.zip_with("mask", near, lambda m, n: ((m > 0) & (n >= min_points)).cast("int")))
-    cored = cored.withColumn("_labels", S.components(F.col("_core"), h, w, reach))
+    cored = S.with_components(cored.select("map_id", "mask", "_core"), "_labels", "_core", h, w, reach)
     far = h * w + 1
     beside = G.stencil(F.transform("_labels", lambda x: F.when(x > 0, x).otherwise(far)), h, w, [(0, 0), *reach], G.smallest, F.lit(far))
     cluster = F.zip_with("_labels", beside, lambda own, b: F.when(own > 0, own).when(b < far, b))
@@ -230,7 +230,7 @@ def density_peaks(maps: DataFrame, h: int, w: int, sigma: float, support: float
     heat = G.blur(F.transform("counts", lambda x: x.cast("double")), h, w, sigma, edge=False)
     heated = maps.withColumn("_heat", F.zip_with(heat, "valid", lambda x, v: x * v))
     heated = heated.withColumn("_support", F.transform("_heat", lambda x: ((x > 0) & (x >= support * F.array_max("_heat"))).cast("int")))
-    labelled = heated.withColumn("_labels", S.components(F.col("_support"), h, w))
+    labelled = S.with_components(heated.select("map_id", "counts", "_support"), "_labels", "_support", h, w)
     rows = labelled.select("map_id", F.posexplode(F.arrays_zip(F.col("_labels").alias("token"), "counts")).alias("i", "x")).where("x.token > 0 AND x.counts > 0")
     cells = rows.select("map_id", F.col("x.token").alias("token"), G.row_of(F.col("i"), w).alias("r"), G.column_of(F.col("i"), w).alias("c"), F.col("x.counts").cast("double").alias("n"), F.lit(0).alias("edges"))
     own = token_statistics(cells, h, w, weighted=True, radius=min(h, w) / 2)

@@ -46,7 +46,7 @@ def test_components_against_a_flood_fill(spark, offsets):
     snake = [1 if (k // 9) % 2 == 0 or k % 9 == (8 if (k // 9) % 4 == 1 else 0) else 0 for k in range(81)]
     masks = [[int(r.random() < d) for _ in range(81)] for d in (0.2, 0.4, 0.6, 1.0, 0.0)] + [snake]
     table = spark.createDataFrame([(k, m) for k, m in enumerate(masks)], "k int, mask array<int>")
-    for row in table.select("k", S.components(F.col("mask"), 9, 9, offsets).alias("labels")).collect():
+    for row in S.with_components(table, "labels", "mask", 9, 9, offsets).collect():
         assert row.labels == regions(masks[row.k], 9, 9, offsets)
 
 
