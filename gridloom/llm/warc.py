@@ -31,6 +31,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 GZIP_MAGIC = b"\x1f\x8b\x08"
 RECORD_URN = "urn:x-page:"
 END = b"\r\n\r\n"
+BLANK_LINE = re.compile(rb"\n\r?\n")
 NOT_PRINTABLE = re.compile(r"[^\x21-\x7e]+")
 
 #: Compressed bytes after which a task starts its next archive; a larger record has an archive of its own.
@@ -50,7 +51,12 @@ class Piece:
 
 
 class Damaged(ValueError):
-    pass
+    """A check failed. Of a gzip member: what could be inflated, how far that reaches, whether it may be wrong, and the records in it."""
+
+    def __init__(self, reason: str, raw: bytes = b"", end: int = 0, doubtful: bool = False):
+        super().__init__(reason)
+        self.raw, self.end, self.doubtful = raw, end, doubtful
+        self.pieces: list[Piece] = []
 
 
 def base32_sha1(data: bytes) -> str:
@@ -121,7 +127,8 @@ def parse_record(data: bytes, at: int = 0) -> Piece:
     end = start + length + (4 if tail == END else 2)
     payload = block
     if fields.get("content-type", "").startswith("application/http"):
-        payload = block.partition(END)[2]
+        blank = BLANK_LINE.search(block)  # servers end lines with CR LF or with LF alone
+        payload = block[blank.end() :] if blank else b""
     for name, held in (("warc-block-digest", block), ("warc-payload-digest", payload)):
         kind, _, digest = fields.get(name, "").partition(":")
         if kind.lower() == "sha1" and not (name == "warc-payload-digest" and fields.get("warc-type") == "revisit") and digest.upper() != base32_sha1(held):
@@ -130,17 +137,27 @@ def parse_record(data: bytes, at: int = 0) -> Piece:
 
 
 def _inflate(view: memoryview, at: int, most: int | None = None) -> tuple[bytes, int]:
-    """The member at `at` and where it ends; with `most`, only its first bytes."""
+    """The member at `at` and where it ends; with `most`, only its first bytes. Damaged holds what could be inflated (`raw`),
+    how far that reaches (`end`) and whether the bytes before it may be wrong (`doubtful`).
+    """
     unpacker, out, pos = zlib.decompressobj(31), [], at
     got = 0
     while not unpacker.eof:
         chunk = view[pos : pos + CHUNK]
         if not len(chunk):
-            raise Damaged("member is cut short")
+            raise Damaged("member is cut short", b"".join(out), pos)
+        before = unpacker.copy() if most is None else None
         try:
             piece = unpacker.decompress(chunk, most or 0)
         except zlib.error as bad:
-            raise Damaged("member fails its checks") from bad
+            if before is not None:  # the chunk once more, byte by byte, up to the error
+                for k in range(len(chunk)):
+                    try:
+                        out.append(before.decompress(chunk[k : k + 1]))
+                    except zlib.error:
+                        break
+                    pos += 1
+            raise Damaged("member fails its checks", b"".join(out), pos, doubtful=True) from bad
         out.append(piece)
         got += len(piece)
         pos += len(chunk)
@@ -149,17 +166,51 @@ def _inflate(view: memoryview, at: int, most: int | None = None) -> tuple[bytes,
     return b"".join(out), pos - len(unpacker.unused_data)
 
 
-def _read_at(data: bytes, view: memoryview, at: int) -> list[Piece]:
-    """The record or the records of the gzip member that start at `at`."""
-    if data[at : at + 2] != GZIP_MAGIC[:2]:
-        return [parse_record(data, at)]
-    raw, end = _inflate(view, at)
-    pieces, pos = [], 0
-    while pos < len(raw) or not pieces:
-        piece = parse_record(raw, pos)
+def _pieces_in(raw: bytes, at: int, end: int, doubtful: bool = False) -> list[Piece]:
+    """The records of inflated bytes, and gaps where a check fails; the search goes on at the next version line.
+
+    From doubtful bytes only records are taken whose digest proves them.
+    """
+    found: list[Piece] = []
+    pos, gap, reason = 0, None, ""
+    while pos < len(raw):
+        try:
+            piece = parse_record(raw, pos)
+            if doubtful and not {"warc-block-digest", "warc-payload-digest"} & set(piece.headers):
+                raise Damaged("no digest in a damaged member")
+        except Damaged as bad:
+            if gap is None:
+                gap, reason = pos, str(bad)
+            line = VERSION_LINE.search(raw, pos + 1)
+            pos = line.start() if line else len(raw)
+            continue
+        if gap is not None:
+            found.append(Piece(at, end, reason=f"bytes {gap} to {pos} of the member: {reason}"))
+            gap = None
+        found.append(Piece(at, end, piece.headers, piece.payload))
         pos = piece.end
-        pieces.append(Piece(at, end, piece.headers, piece.payload))
-    return pieces
+    if gap is not None:
+        found.append(Piece(at, end, reason=f"bytes {gap} to {pos} of the member: {reason}"))
+    return found
+
+
+def _read_at(data: bytes, view: memoryview, at: int) -> tuple[list[Piece], int]:
+    """What starts at `at`, a record or the records and gaps of a gzip member, and where it ends.
+
+    Damaged, if there is no record; of a member that is cut or broken it holds the records before that (`pieces`).
+    """
+    if data[at : at + 2] != GZIP_MAGIC[:2]:
+        piece = parse_record(data, at)
+        return [piece], piece.end
+    try:
+        raw, end = _inflate(view, at)
+    except Damaged as bad:
+        bad.pieces = [p for p in _pieces_in(bad.raw, at, bad.end, bad.doubtful) if p.reason is None]
+        raise
+    pieces = _pieces_in(raw, at, end)
+    if all(p.reason is not None for p in pieces):
+        raise Damaged(pieces[0].reason if pieces else "empty member")
+    return pieces, end
 
 
 class Starts:
@@ -191,23 +242,31 @@ class Starts:
 
 
 def salvage(data: bytes) -> Iterator[Piece]:
-    """Every valid record in order, and a gap for each run of bytes that belongs to none."""
+    """Every valid record in order, and a gap for each run of bytes that belongs to none.
+
+    A member may hold several records: one of them damaged, the others are still returned, with a gap that names its bytes
+    in the member. Of a member that is cut or broken the records before that are returned, then its bytes are a gap.
+    """
     view, pos = memoryview(data), 0
     starts = Starts(data, view)
     gap, reason = None, ""
     while pos < len(data):
         try:
-            pieces = _read_at(data, view, pos)
+            pieces, end = _read_at(data, view, pos)
         except Damaged as bad:
+            if bad.pieces and gap is not None:
+                yield Piece(gap, pos, reason=reason)
+                gap = None
+            yield from bad.pieces
             if gap is None:
-                gap, reason = pos, str(bad)
+                gap, reason = pos, f"{bad}, {len(bad.pieces)} records recovered" if bad.pieces else str(bad)
             pos = starts.after(pos + 1)
             continue
         if gap is not None:
             yield Piece(gap, pos, reason=reason)
             gap = None
         yield from pieces
-        pos = pieces[-1].end
+        pos = end
     if gap is not None:
         yield Piece(gap, len(data), reason=reason)
 

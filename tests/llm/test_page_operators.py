@@ -58,13 +58,50 @@ def test_salvage_tiles_the_file(seed, hits):
     data = bytearray(b"".join(warc.gzip_member(m) if r.random() < 0.7 else m for m in members(5)))
     for _ in range(hits):
         data[r.randrange(len(data))] ^= 1 << r.randrange(8)
-    at = 0
+    at = last = 0
     for p in warc.salvage(bytes(data)):
-        assert p.start == at and p.end > p.start
-        at = p.end
+        assert p.start == at or p.reason and p.start == last  # the gap of a broken member whose record was recovered
+        assert p.end > p.start
+        at, last = p.end, p.start
     assert at == len(data)
 
 
+def test_records_beside_a_damaged_one_in_a_member_come_back():
+    plain = members(5)
+    wrong = plain[3].replace(b"line 3 ", b"LINE 3 ", 1)
+    member = warc.gzip_member(b"".join([*plain[:3], wrong, plain[4]]))
+    found = list(warc.salvage(member))
+    assert [p.headers["warc-record-id"] for p in found if p.reason is None] == [urn(0), urn(1), urn(2), urn(4)]
+    gap = next(p for p in found if p.reason)
+    first = sum(map(len, plain[:3]))
+    assert gap.reason.startswith(f"bytes {first} to {first + len(wrong)} of the member: ") and (gap.start, gap.end) == (0, len(member))
+
+
+def test_whole_records_of_a_cut_or_broken_member_come_back():
+    r = random.Random(5)
+    plain = [warc.record_bytes(k, f"http://a/{k}", bytes(r.randrange(256) for _ in range(400)), None, False) for k in range(20)]
+    member = warc.gzip_member(b"".join(plain))
+    cut = list(warc.salvage(member[: int(0.7 * len(member))] + warc.gzip_member(members(1)[0])))
+    back = [p.headers["warc-record-id"] for p in cut if p.reason is None]
+    assert back[:-1] == [urn(k) for k in range(len(back) - 1)] and len(back) >= 13 and back[-1] == urn(0)
+    assert [p.reason for p in cut if p.reason] and "records recovered" in next(p.reason for p in cut if p.reason)
+    checksum = bytearray(member)
+    checksum[-6] ^= 1  # only the trailer is wrong: every record's digest proves it
+    assert [p.headers["warc-record-id"] for p in warc.salvage(bytes(checksum)) if p.reason is None] == [urn(k) for k in range(20)]
+    without = [x.replace(b"WARC-Payload-Digest", b"X-Payload").replace(b"WARC-Block-Digest", b"X-Block") for x in plain]
+    checksum = bytearray(warc.gzip_member(b"".join(without)))
+    checksum[-6] ^= 1
+    assert all(p.reason for p in warc.salvage(bytes(checksum)))
+
+
+def test_http_headers_may_end_lines_with_lf_alone():
+    payload = b"hello\n\nworld"
+    block = b"HTTP/1.1 200 OK\nContent-Type: text/html\n\n" + payload
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http\r\nWARC-Payload-Digest: sha1:{warc.base32_sha1(payload)}\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+    (piece,) = warc.salvage(head + block + warc.END)
+    assert piece.reason is None and piece.payload == payload
+
+
 def test_written_archives(spark):
     rows = [(1, "u", None), (2, "u\n", ""), (3, None, "x"), (None, "q", "x"), (3, None, "x"), (4, "z", "y" * 50_000), (5, "", "y" * 50_000)]
     pages = spark.createDataFrame([(*r, "h", 1, "d") for r in rows], f"page_id long, url string, html string, {EXTRA}")
