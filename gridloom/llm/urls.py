@@ -7,14 +7,14 @@ of it reach the bounds are rules, and a rule is dropped if a shorter rule inside
 all tokens of a rule is blocked. Rules are matched by an inverted index: each is filed under its rarest token, so a URL
 meets the rules filed under its tokens.
 
-Tokens that stand in exactly the same labelled URLs count as one item, and a rule asks for all of them. A rule has
-MAX_RULE items at most. FP-growth's work grows with all subsets of a URL's items, so it mines the URLs of up to LONG
-items; longer ones are mined level by level, up to MAX_RULE. A combination that is frequent over both is frequent in one
-of them at half the support, so these candidates hold every rule; they are counted again over all labelled URLs.
+Tokens that stand in exactly the same labelled URLs count as one item, and a rule asks for all of them. A rule may have
+any number of items. FP-growth's work grows with all subsets of a URL's items, so it mines the URLs of up to LONG items;
+longer ones are mined level by level, until no combination is left; what holds for bad URLs only is not made longer. A combination that is frequent over both is frequent
+in one of them at half the support, so these candidates hold every rule; they are counted again over all labelled URLs.
 
-Labels come from the labels table (page_id = doc_id; bad: low quality or toxic). SEEDS, host words of known bad kinds,
-are weak labels of pages without a label: a given label always wins. Each rule tells how many given labels stand behind
-it. Rules are mined over all labelled pages.
+Labels come from the labels table (page_id = doc_id; bad: low quality or toxic). A caller may hand in `seeds`, host words
+of known bad kinds, as weak labels of pages without a label: a given label always wins. Each rule tells how many given
+labels stand behind it. Rules are mined over all labelled pages.
 
 Nulls and odd rows: a null url, or one without "://", has an empty host and path, no rule and no tokens, and is allowed;
 a null label counts as none; a page with several labels is bad if any of them is; repeated rows are judged alike; of
@@ -31,9 +31,6 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, table
 
-#: Words of hosts that sell pills, bets, adult pages, or pass on adverts and spam.
-SEEDS = ("adult", "ads", "bets", "casino", "pills", "spam")
-
 #: A rule's share of bad URLs, and the least that this share may truly be (Wilson's lower bound at Z standard errors).
 MIN_CONFIDENCE = 0.8
 MIN_LOWER_BOUND = 0.7
@@ -41,8 +38,7 @@ Z = 1.96
 #: A rule holds for this many bad URLs at least, and for this share of the labelled ones.
 MIN_COUNT = 10
 MIN_SUPPORT = 0.0005
-#: Items of a rule, and items of a URL up to which FP-growth mines it.
-MAX_RULE = 3
+#: Items of a URL up to which FP-growth mines it.
 LONG = 12
 
 
@@ -102,7 +98,7 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(every)
 
 
-def labelled(pages: DataFrame, labels: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+def labelled(pages: DataFrame, labels: DataFrame, seeds: tuple[str, ...] = ()) -> DataFrame:
     """tokens, bad, given of all pages (page_id, tokens) that the table labels, or else a seed does."""
     known = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).where("page_id IS NOT NULL AND bad IS NOT NULL")
     known = known.groupBy("page_id").agg(F.max("bad").alias("bad"))
@@ -122,19 +118,31 @@ def token_items(sets: DataFrame, floor: int) -> DataFrame:
     return counted.groupBy("seen", "bad", "d0", "d1").agg(F.min("token").alias("item"), F.sort_array(F.collect_list("token")).alias("members")).select("item", "members", "seen")
 
 
-def level_wise(sets: DataFrame, least: int) -> DataFrame:
-    """items: combinations of up to MAX_RULE that are in `least` bad URLs or more, of (items sorted, bad), level by level."""
-    keep = lambda found: materialize(found.groupBy("rule").agg(F.sum("bad").alias("bad")).where(F.col("bad") >= least).select("rule"), "level")
-    at = sets.select("items", "bad", F.posexplode("items").alias("i", "x")).select("items", "bad", F.col("i").alias("last"), F.array("x").alias("rule"))
+def lower_bound(confidence: Column, n: Column) -> Column:
+    """Wilson's lower bound of a share that was seen among n."""
+    c = confidence
+    return (c + Z * Z / (2 * n) - Z * F.sqrt(c * (1 - c) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+
+
+def level_wise(sets: DataFrame, least: int, floor: int) -> DataFrame:
+    """rule: combinations that are in `least` long bad URLs or more, of all (items sorted, n, bad), level by level until none is left.
+
+    A rule that holds for bad URLs only is not made longer: no rule around it can be more confident.
+    """
+    long = (F.size("items") > LONG).cast("int")
+    at = sets.select("items", "n", "bad", long.alias("long"), F.posexplode("items").alias("last", "x")).withColumn("rule", F.array("x")).drop("x")
     out = None
-    for size in range(1, MAX_RULE + 1):
-        frequent = keep(at)
-        out = frequent if out is None else out.unionByName(frequent)
-        if size < MAX_RULE:
-            grown = at.join(broadcast_if_small(frequent, F.length(F.array_join("rule", ""))), "rule")
-            grown = grown.withColumn("i", F.explode(F.when(F.col("last") + 1 < F.size("items"), F.sequence(F.col("last") + 1, F.size("items") - 1))))
-            at = grown.select("items", "bad", F.col("i").alias("last"), F.concat("rule", F.array(F.get("items", F.col("i")))).alias("rule"))
-    return out
+    while True:
+        counted = at.groupBy("rule").agg(F.sum("n").alias("seen"), F.sum("bad").alias("support"), F.sum(F.col("bad") * F.col("long")).alias("here"))
+        frequent = materialize(counted.where(F.col("here") >= least), "level")
+        out = frequent.select("rule") if out is None else out.unionByName(frequent.select("rule"))
+        perfect = (F.col("support") == F.col("seen")) & (F.col("support") >= floor) & (lower_bound(F.lit(1.0), F.col("seen")) >= MIN_LOWER_BOUND)
+        more = frequent.where(~perfect).select("rule")
+        if not more.limit(1).count():
+            return out
+        grown = at.join(broadcast_if_small(more, F.length(F.array_join("rule", ""))), "rule")
+        grown = grown.withColumn("i", F.explode(F.when(F.col("last") + 1 < F.size("items"), F.sequence(F.col("last") + 1, F.size("items") - 1))))
+        at = grown.select("items", "n", "bad", "long", F.col("i").alias("last"), F.concat("rule", F.array(F.get("items", F.col("i")))).alias("rule"))
 
 
 def contained(sets: DataFrame, tokens: str, rules: DataFrame) -> DataFrame:
@@ -175,21 +183,20 @@ def mine_rules(cases: DataFrame, min_support: float = MIN_SUPPORT, min_confidenc
     found = spark.createDataFrame([], "rule array<string>")
     if rows >= least:
         model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / rows), minConfidence=1.0).fit(short)
-        found = model.freqItemsets.where(F.size("items") <= MAX_RULE).select(F.sort_array("items").alias("rule"))
+        found = model.freqItemsets.select(F.sort_array("items").alias("rule"))
     if any_long:
-        found = found.unionByName(level_wise(long, least)).distinct()
+        found = found.unionByName(level_wise(carried, least, floor)).distinct()
     seen = items.select(F.col("item").alias("token"), "seen")
     candidates = materialize(anchored(materialize(found, "itemsets"), seen), "candidates")
 
     counted = contained(carried, "items", candidates).groupBy("rule").agg(F.sum("n").alias("seen"), F.sum("bad").alias("support"), F.sum("given_bad").alias("given_bad"), F.sum("given_seen").alias("given_seen"))
     rules = counted.withColumn("confidence", F.col("support") / F.col("seen"))
-    n, c = F.col("seen"), F.col("confidence")
-    bound = (c + Z * Z / (2 * n) - Z * F.sqrt(c * (1 - c) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
-    rules = materialize(rules.where((F.col("support") >= floor) & (c >= min_confidence) & (bound >= MIN_LOWER_BOUND)), "rules")
+    sure = lower_bound(F.col("confidence"), F.col("seen")) >= MIN_LOWER_BOUND
+    rules = materialize(rules.where((F.col("support") >= floor) & (F.col("confidence") >= min_confidence) & sure), "rules")
     # drop a rule if a shorter one inside it is at least as confident
-    parts = F.transform(F.sequence(F.lit(1), F.lit(2**MAX_RULE - 2)), lambda m: F.filter("rule", lambda _, k: F.getbit(m, k) == 1))
-    inner = rules.select("rule", "confidence", F.explode(F.filter(F.array_distinct(parts), lambda x: (F.size(x) > 0) & (F.size(x) < F.size("rule")))).alias("inner"))
-    covered = inner.join(rules.select(F.col("rule").alias("inner"), F.col("confidence").alias("simple")), "inner").where("simple >= confidence").select("rule").distinct()
+    whole = rules.select(F.col("rule").alias("longer"), F.col("confidence").alias("own"))
+    inside = contained(whole, "longer", anchored(rules, seen)).where((F.size("rule") < F.size("longer")) & (F.col("confidence") >= F.col("own")))
+    covered = inside.select(F.col("longer").alias("rule")).distinct()
     kept = rules.join(covered, "rule", "left_anti")
     # items back to tokens; every token of an item is seen as often as the item
     members = kept.select("*", F.explode("rule").alias("item")).drop("seen").join(items, "item")
@@ -205,7 +212,7 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("tokens", F.col("b.confidence").alias("confidence"), F.array_join("b.rule", " ").alias("matched"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[PathRule, ...] = RULES, seeds: tuple[str, ...] = SEEDS, **bounds: float) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[PathRule, ...] = RULES, seeds: tuple[str, ...] = (), **bounds: float) -> DataFrame:
     """page_id, host, path, rule, verdict, and the mined rule and its confidence where one matched."""
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
