@@ -5,14 +5,16 @@ split for. So a fingerprint has WORDS words of 64 bits here. Each word's correla
 and a dynamic programme gives every partition a threshold of its own (-1: not probed) from estimated candidate counts:
 the cheapest thresholds at which a pair of the asked similarity is within the threshold of some partition with
 probability RECALL. A threshold of t is probed by exact keys that leave out each choice of t bits. Candidates are
-checked on another word first and then verified on the whole fingerprint, whose distance tells the similarity to about
-0.02; a pair links up to TOLERANCE below the asked similarity, so that pairs at it are not lost by chance.
+checked on another word first and then on the whole fingerprint, whose distance tells the similarity to about 0.02; a
+pair may be up to TOLERANCE below the asked similarity there. What these pairs connect is a cluster, and in each cluster
+the sets of shingles themselves decide: texts are read once more, and the exact Jaccard similarity of the asked size or
+more makes a link.
 
-Equal fingerprints are one node. Keys that up to PAIRED nodes share are compared pairwise. Larger buckets, as made by
-groups of many near copies, are clustered on whole fingerprints in their task, up to DENSE rows by a matrix of distances
-and beyond that by leaders: members of two clusters are compared only while nothing joins the clusters and their leaders
-are within three times the distance, beyond which no member of one can link to one of the other. So no link between
-different components is lost, and no bucket's pairs are written.
+Equal fingerprints are one node: fingerprints are those of sets, each shingle counted once. Keys that up to PAIRED nodes
+share are compared pairwise. Larger buckets, as made by groups of many near copies, are handed on as (least node, member):
+a group's many buckets have few least nodes, so a member is sent a few times, not once for each probe. The members of one
+least node are dealt into blocks, each pair of blocks is one task, and it returns links in proportion to its rows, never
+all pairs.
 
 Nulls and odd rows: a null text has no words, and texts without words are copies of each other; fewer words than a
 shingle make one shingle; rows with the same id and the same text count once; different texts under one id are
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, byte_slices, materialize
 from .components import components
+from .sets import digest_of, distinct_shingles, mix, verified_links
 from .simhash import mask_of, split_bits
 
 BITS = 64
@@ -40,15 +43,15 @@ WORDS = 32
 SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.96
-TOLERANCE = 0.02
+TOLERANCE = 0.04
 #: Thresholds tried, partitions of a word tried, and the cost of a probed row against that of a candidate pair.
 THRESHOLDS = (0, 1, 2)
 PARTS = (2, 3, 4)
 ROW_COST = 8.0
 #: Buckets up to this size are compared pairwise; of larger ones one row a member goes on, so rows stay in proportion to the input.
 PAIRED = 8
-#: Buckets up to this size are clustered by a matrix of distances.
-DENSE = 4096
+#: Members of a block; two blocks are compared by a matrix of distances.
+BLOCK = 2048
 #: Standard deviations that the word checked first may be beyond the expected distance.
 FIRST_CHECK = 3.5
 #: Shingle hashes counted at once.
@@ -57,27 +60,6 @@ SLICE = 1 << 13
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, size=(WORDS, 1), dtype=np.uint64) | np.uint64(1)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """A 64-bit hash of each run of `shingle` words, repeats included; of the whole sequence if it is shorter."""
-    from xxhash import xxh3_64_intdigest
-
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    own = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-    n = max(len(words) - shingle + 1, 1)
-    out = np.full(n, min(len(words), shingle), np.uint64)
-    for k in range(min(len(words), shingle)):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n])
-    return out
-
-
 def bit_counts(words: np.ndarray) -> np.ndarray:
     """(rows, 64): how often each bit (0: highest) is set in each row of 64-bit numbers, by carry-save addition of whole columns."""
     total, weight = np.zeros((len(words), BITS), np.int64), 1
@@ -99,23 +81,25 @@ def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """WORDS words of 64 bits: a bit is 1 if it is set in over half of the shingles' hashes for that word."""
     counts = np.zeros((WORDS, BITS), np.int64)
     for at in range(0, len(hashes), SLICE):
-        counts += bit_counts(_mix(hashes[None, at : at + SLICE] * _ODD))
+        counts += bit_counts(mix(hashes[None, at : at + SLICE] * _ODD))
     return np.packbits(counts * 2 > len(hashes), axis=1).view(">u8").astype(np.uint64).reshape(-1)
 
 
 def long_prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, content (hash of the text), node (hash of the fingerprint), fp (binary) of every row with an id."""
+    """doc_id, content (hash of the text), row (hash of both), n, digest of the set, node (hash of the fingerprint), fp of every row with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        for batch in byte_slices(batches, 2):
-            fps = [long_fingerprint(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(2)]
+        for batch in byte_slices(batches, 3):
+            sets = [distinct_shingles(t.as_py(), shingle) for t in batch.column(3)]
+            fps = [long_fingerprint(own).tobytes() for own in sets]
             nodes = np.fromiter(map(xxh3_64_intdigest, fps), np.uint64, len(fps)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(fps, pa.binary())], ["doc_id", "content", "node", "fp"])
+            columns = [*(batch.column(k) for k in range(3)), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(digest_of, sets)), pa.binary()), pa.array(nodes), pa.array(fps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "row", "n", "digest", "node", "fp"])
 
-    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, content long, node long, fp binary")
+    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text"))
+    return own.mapInArrow(run, "doc_id long, content long, row long, n long, digest binary, node long, fp binary")
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -211,19 +195,6 @@ def distance_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _close(part: np.ndarray, other: np.ndarray, most: int) -> np.ndarray:
-    """For each of `part`, whether and where the first of `other` is within `most`: its position, else -1."""
-    out = np.full(len(part), -1)
-    for at in range(0, len(other), 64):
-        left = np.flatnonzero(out < 0)
-        if not len(left):
-            break
-        near = distance_of(part[left, None, :], other[None, at : at + 64, :]) <= most
-        hit = near.any(axis=1)
-        out[left[hit]] = at + near[hit].argmax(axis=1)
-    return out
-
-
 def dense_links(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     """(first position, position) for all rows that links within distance `most` join, by one product of sign matrices."""
     signs = np.unpackbits(fps.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
@@ -245,47 +216,8 @@ def dense_links(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def cluster_links(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links (positions) within distance `most` that join whatever such links join, without trying all pairs.
-
-    Leaders are taken in order; each other row links to the first leader in reach. Clusters that nothing joins yet are
-    compared row by row if their leaders are within 3 * `most`.
-    """
-    leader = np.full(len(fps), -1)
-    leaders: list[int] = []
-    links: list[tuple[int, int]] = []
-    free = np.arange(len(fps))
-    while len(free):
-        head = free[0]
-        near = np.concatenate([distance_of(fps[free[k : k + SLICE]], fps[head]) for k in range(0, len(free), SLICE)]) <= most
-        leaders.append(int(head))
-        leader[free[near]] = len(leaders) - 1
-        links += [(int(head), int(x)) for x in free[near][1:]]
-        free = free[~near]
-    root = list(range(len(leaders)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    members = [np.flatnonzero(leader == k) for k in range(len(leaders))] if len(leaders) < 50 else np.split(np.argsort(leader, kind="stable"), np.cumsum(np.bincount(leader))[:-1])
-    heads = fps[leaders]
-    for i in range(len(leaders)):
-        for j in np.flatnonzero(distance_of(heads[i + 1 :], heads[i]) <= 3 * most) + i + 1:
-            if find(i) == find(j):
-                continue
-            hit = _close(fps[members[i]], fps[members[j]], most)
-            at = np.flatnonzero(hit >= 0)[:1]
-            if len(at):
-                links.append((int(members[i][at[0]]), int(members[j][hit[at[0]]])))
-                root[find(j)] = find(i)
-    return links
-
-
-def _bucket_pairs(keys: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows sorted by key: positions of pairs to verify in small buckets, and positions of the rows of large ones."""
+def _bucket_pairs(keys: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by key: positions of pairs to verify in small buckets, positions of the rows of large ones, and the first row of each of those rows' buckets."""
     n = len(keys)
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, n))
@@ -300,7 +232,7 @@ def _bucket_pairs(keys: np.ndarray, first: np.ndarray, most: int) -> tuple[np.nd
         right.append(at[near] + step)
         step += 1
     join = lambda own: np.concatenate(own) if own else np.zeros(0, np.int64)
-    return join(left), join(right), np.flatnonzero(large)
+    return join(left), join(right), np.flatnonzero(large), np.repeat(begin, size)[large]
 
 
 def near_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -315,71 +247,83 @@ def near_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "node", "first"]
-        salts = _mix(np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        salts = mix(np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for batch in batches:
             nodes, fps = batch.column(0).to_numpy(), _matrix(batch.column(1))
             for at in range(0, len(nodes), 512):
                 own = fps[at : at + 512]
-                bucket = _mix((own[:, words] & masks) ^ salts)  # 64 bits for the probe and its key together
+                bucket = mix((own[:, words] & masks) ^ salts)  # 64 bits for the probe and its key together
                 first = own[:, (words + 1) % WORDS]
                 parts = [bucket.reshape(-1).view(np.int64), np.repeat(nodes[at : at + 512], len(words)), first.reshape(-1).view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []  # batches since the begin of the last bucket
 
-        def send(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            keys, nodes, first = own
-            left, right, large = _bucket_pairs(keys, first.view(np.uint64), first_most)
-            none = np.zeros(len(large), bool)
-            a = pa.array(np.concatenate([np.minimum(nodes[left], nodes[right]), nodes[large]]))
-            b = pa.array(np.concatenate([np.maximum(nodes[left], nodes[right]), nodes[large]]))
-            bucket = pa.array(np.concatenate([np.zeros(len(left), np.int64), keys[large]]), mask=np.concatenate([np.ones(len(left), bool), none]))
-            yield pa.RecordBatch.from_arrays([a, b, bucket], ["a", "b", "bucket"])
+        def send(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            keys, nodes, first = (np.concatenate(x) for x in zip(*parts))
+            left, right, large, begin = _bucket_pairs(keys, first.view(np.uint64), first_most)
+            a = np.concatenate([np.minimum(nodes[left], nodes[right]), nodes[begin]])  # nodes of a bucket are in order
+            b = np.concatenate([np.maximum(nodes[left], nodes[right]), nodes[large]])
+            pair = np.arange(len(a)) < len(left)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(pair)], ["a", "b", "pair"])
 
         for batch in batches:
             own = [batch.column(k).to_numpy() for k in range(3)]
-            if held is not None:
-                own = [np.concatenate(x) for x in zip(held, own)]
-            last = int(np.searchsorted(own[0], own[0][-1], "left")) if len(own[0]) else 0  # the last bucket may go on
-            if last:
-                yield from send([x[:last] for x in own])
-            held = [x[last:] for x in own]
-        if held is not None and len(held[0]):
+            if not len(own[0]):
+                continue
+            last = int(np.searchsorted(own[0], own[0][-1], "left"))  # the last bucket may go on
+            if last or held and held[0][0][0] != own[0][0]:
+                held.append([x[:last] for x in own])
+                yield from send(held)
+                held = []
+            held.append([x[last:] for x in own])
+        if held:
             yield from send(held)
 
     keyed = nodes.select("node", "fp").mapInArrow(probe, "bucket long, node long, first long")
-    met = materialize(keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, bucket long"), "met")
+    met = keyed.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(meet, "a long, b long, pair boolean")
+    met = materialize(met.distinct(), "met")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = distance_of(_matrix(batch.column(2)), _matrix(batch.column(3))) <= most
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
 
-    def cluster(part: pa.Table) -> pa.Table:
+    def compare(part: pa.Table) -> pa.Table:
         order = np.argsort(part.column("node").to_numpy(), kind="stable")
         nodes, fps = part.column("node").to_numpy()[order], _matrix(part.column("fp"))[order]
-        links = np.array((dense_links if len(fps) <= DENSE else cluster_links)(fps, most), np.int64).reshape(-1, 2)
+        links = np.array(dense_links(fps, most), np.int64).reshape(-1, 2)
         return pa.table({"a": nodes[links[:, 0]], "b": nodes[links[:, 1]]})
 
-    pairs = met.where("bucket IS NULL").select("a", "b").distinct()
     named = lambda n, fp: nodes.select(F.col("node").alias(n), F.col("fp").alias(fp))
-    small = pairs.join(named("a", "fa"), "a").join(named("b", "fb"), "b").select("a", "b", "fa", "fb").mapInArrow(verify, "a long, b long")
-    members = met.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("node")).join(nodes.select("node", "fp"), "node")
-    return small.unionByName(members.select("bucket", "node", "fp").groupBy("bucket").applyInArrow(cluster, "a long, b long"))
+    small = met.where("pair").join(named("a", "fa"), "a").join(named("b", "fb"), "b").select("a", "b", "fa", "fb").mapInArrow(verify, "a long, b long")
+    members = met.where("NOT pair").select(F.col("a").alias("least"), F.col("b").alias("node"))
+    sized = members.groupBy("least").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sized, "least").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.join(nodes.select("node", "fp"), "node").select("least", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "fp")
+    return small.unionByName(dealt.groupBy("least", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
+def clusters_of(links: DataFrame) -> DataFrame:
+    """cluster, node of all nodes that links connect."""
+    found = components(links).select(F.col("root").alias("cluster"), "node")
+    return found.unionByName(found.select("cluster", F.col("cluster").alias("node")).distinct())
 
 
-def near_groups(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, content, root of written `prints`: rows of one root are linked, directly or through others."""
-    nodes = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp")), "nodes")
-    roots = components(near_links(nodes, similarity))
-    return prints.select("doc_id", "content", "node").join(roots, "node", "left").select("doc_id", "content", F.coalesce("root", "node").alias("root"))
+def near_groups(docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, content, root of written `prints` of `docs`: rows of one root are linked, directly or through others."""
+    first = [F.first(c).alias(c) for c in ("fp", "row", "n", "digest")]
+    nodes = materialize(prints.groupBy("node").agg(*first), "nodes")
+    clusters = materialize(clusters_of(near_links(nodes.select("node", "fp"), similarity)), "clusters")
+    links = verified_links(docs, nodes, clusters, shingle, round(100 * similarity))
+    return prints.select("doc_id", "content", "node").join(components(links), "node", "left").select("doc_id", "content", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of `docs` with the smallest doc_id of each group of near copies, with their own columns."""
     prints = materialize(long_prints(docs, shingle), "prints")
-    groups = materialize(near_groups(prints, similarity).groupBy("doc_id", "content", "root").agg(F.count("*").alias("n")), "groups")
+    groups = materialize(near_groups(docs, prints, shingle, similarity).groupBy("doc_id", "content", "root").agg(F.count("*").alias("n")), "groups")
     least = groups.groupBy("root").agg(F.min(F.struct("doc_id", "content")).alias("kept"))
     joined = groups.join(least, "root").withColumn("stays", F.struct("doc_id", "content") == F.col("kept"))
     odd = materialize(joined.where("NOT stays OR n > 1").select("doc_id", F.col("content").alias("_content"), "stays"), "odd")

@@ -43,7 +43,7 @@ class WordIds(dict):
     LAST_PLAIN = "\u017f"
     DOTTED = "\u0130"
 
-    def __init__(self, vocabulary: str, limit: int = 800_000, byte_level: bool | None = None):
+    def __init__(self, vocabulary: str, limit: int = 200_000, byte_level: bool | None = None):
         import json
 
         from tokenizers import Tokenizer

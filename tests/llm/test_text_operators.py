@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridloom.llm import near, outliers, packing, pieces, quality, sharding, simhash
+from gridloom.llm import near, outliers, packing, pieces, quality, sets, sharding, simhash
 from gridloom.llm.components import components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho".split()
@@ -26,7 +26,7 @@ def text_of(seed: int, n: int) -> str:
 def docs(spark):
     long = text_of(1, 30_000)
     rows = [(k, text_of(k, 40 + 3 * k)) for k in range(40)]
-    rows += [(100, None), (101, ""), (102, "  \n "), (103, "one"), (104, "one two"), (105, rows[3][1]), (106, rows[3][1] + " tail"), (107, long), (108, long), (None, "no id here"), (7, rows[7][1]), (109, "naïve café — 日本 don't can't I'll 12345 <|endoftext|>")]
+    rows += [(100, None), (101, ""), (102, "  \n "), (103, "one"), (104, "one two"), (105, rows[3][1]), (106, rows[3][1] + " tail"), (107, long), (108, long), (None, "no id here"), (7, rows[7][1]), (109, "naïve café — 日本 don't can't I'll 12345 <|endoftext|>"), (110, "foo <|endoftext|> bar"), (111, "x<|startoftext|>y <|ENDOFTEXT|> z")]
     own = [(k, t, None if k == 5 else "en", None if k == 6 else "src", len(t or ""), 1, "x", "y", 2, "z") for k, t in rows]
     return spark.createDataFrame(own, f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}")
 
@@ -88,7 +88,6 @@ def test_packed_ids_and_places(docs, nothing):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     out = packing.pack_documents(docs, path, max_tokens=256).toPandas()
     expected = []
     for r in docs.collect():
@@ -258,7 +257,7 @@ def test_near_copies_against_every_pair(spark):
     texts = base + [edited(t, 0.02 * (k % 4), k) for k, t in enumerate(base)] + [edited(base[0], 0.004 * j, 90 + j) for j in range(8)]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     prints = near.long_prints(table).cache()
-    got = {x.doc_id: x.root for x in near.near_groups(prints).collect()}
+    got = {x.doc_id: x.root for x in near.near_groups(table, prints).collect()}
     root = list(range(len(texts)))
 
     def find(x):
@@ -266,21 +265,25 @@ def test_near_copies_against_every_pair(spark):
             x = root[x]
         return x
 
-    sure, maybe = [], set()
-    for i in range(len(texts)):
-        for j in range(i):
-            s = jaccard(texts[i], texts[j])
-            if s >= 0.8:
-                sure.append((i, j))
-            if s >= 0.7:
-                maybe.add((i, j))
-                root[find(i)] = find(j)
+    sure = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    for i, j in sure:
+        root[find(i)] = find(j)
     assert len(sure) > 40 and sum(got[i] == got[j] for i, j in sure) >= 0.95 * len(sure)
-    assert all(find(i) == find(j) for i in range(len(texts)) for j in range(i) if got[i] == got[j])
+    assert all(find(i) == find(j) for i in range(len(texts)) for j in range(i) if got[i] == got[j])  # no link below 0.8
+
+
+def test_many_near_copies_in_blocks(spark, monkeypatch):
+    """A large bucket goes on by its least node and meets block by block; one copy of each of two texts stays."""
+    monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(sets, "BLOCK_MEMBERS", 16)
+    base = [text_of(900, 400), text_of(901, 400)]
+    texts = [edited(base[k % 2], 0.01, k) for k in range(90)] + [text_of(950 + k, 200) for k in range(10)]
+    kept = near.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, *range(90, 100)]
 
 
 def test_large_buckets_lose_no_link():
-    """Chains and clusters of fingerprints; what cluster_links joins is what all pairs join."""
+    """Chains and clusters of fingerprints; what dense_links joins is what all pairs join."""
     r = np.random.default_rng(7)
     rows = [r.integers(0, 1 << 63, size=near.WORDS, dtype=np.uint64)]
     for k in range(260):
@@ -304,9 +307,8 @@ def test_large_buckets_lose_no_link():
         return [top(x) for x in range(len(fps))]
 
     every = [(i, j) for i in range(len(fps)) for j in np.flatnonzero(near.distance_of(fps[i + 1 :], fps[i]) <= most) + i + 1]
-    found = near.cluster_links(fps, most)
-    assert all(near.distance_of(fps[a], fps[b]) <= most for a, b in found) and len(found) < len(fps)
-    assert roots(found) == roots(every) == roots(near.dense_links(fps, most)) and len(set(roots(every))) > 3
+    found = near.dense_links(fps, most)
+    assert len(found) < len(fps) and roots(found) == roots(every) and len(set(roots(every))) > 3
 
 
 def test_thresholds_reach_the_recall():
