@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import benchmark as B
+from ..operators import transforms as X
 from ..operators.sampling import numbered
 from ..sources import scratch
 from . import adapters as A
@@ -132,3 +133,11 @@ def benchmark_maps(spark, sf_dir):
     """The map behind every sample of the benchmark."""
     made = B.benchmark_maps(bench_rows(spark, sf_dir), A.maps(spark, sf_dir), H, W)
     return made.select("sample_id", "kind", "source_id", F.size(F.filter("status", lambda s: s == 2)).cast("bigint").alias("area"), _digits("status").alias("cells"))
+
+
+@query("b10_changed_copies")
+def changed_copies(spark, sf_dir):
+    """A copy of each asking map by each kind of change, drawn until it is different enough, as a map."""
+    made = X.changed_copies(asking(spark, sf_dir), H, W)
+    inside = F.transform(F.sequence(F.lit(0), F.lit(H * W - 1)), lambda i: F.array_contains("cells", i).cast("int"))
+    return made.select("map_id", "wanted", "kind", "accepted", "dx", "dy", "angle", "scale", "dropout", "noise", F.size("cells").alias("area"), F.round("iou", 6).alias("iou"), _digits(inside).alias("cells"))

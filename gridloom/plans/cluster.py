@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import cluster as C
+from ..operators import mixture as X
 from . import adapters as A
 from .adapters import SQL_CELLS, W
 from .raster import rounded
@@ -36,3 +37,12 @@ def elbow_radius(spark, sf_dir):
 def auto_dbscan(spark, sf_dir):
     """DBSCAN of every map at its own radius."""
     return C.dbscan_by_radius(sized(spark, sf_dir), W).select("map_id", *[F.col(x).cast("bigint").alias(x) for x in ("r", "c", "cluster")])
+
+
+@query("g26_mixture")
+def mixture(spark, sf_dir):
+    """The Gaussian components of every map's points, with the points that fall to each."""
+    maps = A.maps(spark, sf_dir).select("map_id", F.filter(F.transform("mask", lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull()).alias("points"))
+    points, components = X.mixtures(maps, W)
+    areas = X.mixture_labels(points, components).groupBy("map_id", F.col("component").alias("k")).agg(F.count("*").alias("area"))
+    return components.join(areas, ["map_id", "k"], "left").select("map_id", F.col("k").alias("component"), *map(rounded, ("weight", "mr", "mc", "srr", "scc", "src")), F.coalesce("area", F.lit(0).cast("bigint")).alias("area"))
