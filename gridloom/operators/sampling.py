@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 
 def hash_order(column: str, seed: int) -> Column:
-    """A mixed order of ids by plain arithmetic."""
-    return (F.col(column) * 2654435761 + seed) % 4294967296
+    """A mixed order of ids by plain arithmetic, within 64 bits for any id."""
+    return (F.pmod(column, F.lit(2147483648)) * 2654435761 + seed) % 4294967296
 
 
 def numbered(rows: DataFrame, order: list, bucket: Column, name: str) -> DataFrame:

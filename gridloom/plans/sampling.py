@@ -21,7 +21,7 @@ def signatures(spark, sf_dir):
 
 
 def _mix(column: str, seed: int) -> str:
-    return f"({column} * 2654435761 + {seed}) % 4294967296"
+    return f"(({column} % 2147483648) * 2654435761 + {seed}) % 4294967296"
 
 
 @query("m11_label_statistics", f"with {SQL_SIGNATURES} select signature, cardinality, count(*) as maps, round(count(*) / cast((select count(*) from sig) as double), 6) + 0.0 as share from sig group by 1, 2")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: Adaptive execution re-plans joins and splits skewed partitions at run time; UTC keeps times comparable.
+#: Adaptive execution re-plans joins and splits skewed partitions at run time; UTC keeps times comparable; Python data sources get filters.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 

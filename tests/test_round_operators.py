@@ -277,3 +277,20 @@ def test_canvas_and_moments_by_the_formula():
     bar = np.array([(0, c) for c in range(6)], float)
     a, b = moments.zernike(bar[:, 0], bar[:, 1]), moments.zernike(bar[:, 1] + 4, bar[:, 0] + 2)
     assert np.abs(a - b).max() < 0.02 and not moments.zernike(np.zeros(0), np.zeros(0)).any()
+
+
+@pytest.mark.parametrize("save", [np.savez, np.savez_compressed])
+def test_collections_are_read_by_ranges(spark, tmp_path, save):
+    from gridloom.sources import arrays, collections
+
+    r = np.random.default_rng(0)
+    for k, n in enumerate((1000, 30)):
+        save(tmp_path / f"c{k}.npz", maps=r.integers(0, 3, (n, 5, 4)).astype(np.uint8), labels=r.integers(0, 2, (n, 3)).astype(np.int32))
+    whole = sorted(map(tuple, ((x.path.rsplit("/", 1)[-1], *x[1:]) for x in arrays.read_npz(spark, str(tmp_path)).collect())))
+    found = collections.read_collections(spark, str(tmp_path), rows=64)
+    assert found.rdd.getNumPartitions() == 16 + 1
+    assert sorted((x.path.rsplit("/", 1)[-1], *x[1:]) for x in found.collect()) == whole
+    some = found.where("original_index >= 500 AND original_index < 600 AND h = 5")
+    assert some.rdd.getNumPartitions() == 2  # of 17: the bounds reached the source
+    assert sorted((x.path.rsplit("/", 1)[-1], *x[1:]) for x in some.collect()) == [x for x in whole if 500 <= x[1] < 600]
+    assert found.where("original_index = 7").count() == sum(x[1] == 7 for x in whole)
