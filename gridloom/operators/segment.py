@@ -89,7 +89,7 @@ def adaptive(h: int, w: int, valid: int, min_area: int = 5, top_k: int = 6) -> t
 
 #: What each kind adds to a token's importance.
 CC_BONUS = {"edge_ring": 2.0, "central": 1.5, "blob": 1.2, "line": 1.0, "irregular": 0.8}
-RESIDUAL_BONUS = {"edge_ring": 3.0, "ring_arc": 2.5, "central": 2.0, "blob": 1.5, "line": 1.2, "irregular": 0.8}
+RESIDUAL_BONUS = {"edge_ring": 3.0, "central": 2.5, "ring_arc": 2.0, "blob": 1.5, "line": 1.2, "irregular": 0.8}
 DISPLAY_ORDER = {"edge_ring": 5.5, "central": 5.0, "ring_arc": 4.5, "blob": 4.0, "line": 3.5, "irregular": 3.0}
 
 
@@ -105,7 +105,7 @@ def importance() -> Column:
 
 
 def residual_importance() -> Column:
-    return F.sqrt("area") + F.when(F.col("radial_mean") <= 0.35, 2.0).otherwise(0.0) + _by_kind(RESIDUAL_BONUS) + F.least("fill", F.lit(1.0))
+    return F.sqrt("area") + F.when(F.col("radial") <= 0.35, 2.0).otherwise(0.0) + _by_kind(RESIDUAL_BONUS) + F.least("fill", F.lit(1.0))
 
 
 def display_order() -> Column:
@@ -118,6 +118,29 @@ def keep_top(tokens: DataFrame, score: Column, k: int, min_area: int = 1) -> Dat
     return tokens.where(F.col("area") >= min_area).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 
+def select_diverse(tokens: DataFrame, k: int, kinds: int = 3) -> DataFrame:
+    """At most k tokens of each map with `place`: first the best token of each of up to `kinds` kinds, the kinds in display
+    order, then the best of all others; in display order. Best is by importance, ties to the token that starts first.
+    """
+    score = F.round(residual_importance(), 9)
+    best = lambda *by: Window.partitionBy("map_id", *by).orderBy(F.desc("_score"), "token")
+    own = tokens.withColumn("_score", score).withColumn("_leads", F.row_number().over(best("kind")) == 1)
+    order = F.round(_by_kind(DISPLAY_ORDER) + 0.01 * F.col("_score"), 9)
+    own = own.withColumn("_turn", F.row_number().over(Window.partitionBy("map_id", "_leads").orderBy(order.desc(), "token")))
+    own = own.withColumn("_first", F.col("_leads") & (F.col("_turn") <= min(k, kinds)))
+    own = own.withColumn("_firsts", F.count_if("_first").over(Window.partitionBy("map_id"))).withColumn("_rest", F.row_number().over(best("_first")))
+    kept = own.where(F.col("_first") | (F.col("_rest") + F.col("_firsts") <= k))
+    shown = Window.partitionBy("map_id").orderBy(F.round(display_order(), 9).desc(), "token")
+    return kept.withColumn("place", F.row_number().over(shown)).drop("_score", "_leads", "_turn", "_first", "_firsts", "_rest")
+
+
+def diverse_tokens(maps: DataFrame, h: int, w: int, valid: int, min_area: int = 5, top_k: int = 6, radius: float | None = None) -> DataFrame:
+    """Mode `diverse`: regions of at least min_area cells, spread over kinds before score counts."""
+    least, k = adaptive(h, w, valid, min_area, top_k)
+    own = token_statistics(region_cells(maps, h, w), h, w, weighted=True, radius=radius or min(h, w) / 2).where(F.col("area") >= least)
+    return select_diverse(own.withColumn("kind", token_kind()), k)
+
+
 def cc_tokens(maps: DataFrame, h: int, w: int, valid: int, min_area: int = 5, top_k: int = 6) -> DataFrame:
     """Mode `cc`: regions of at least min_area cells, by importance."""
     least, k = adaptive(h, w, valid, min_area, top_k)
@@ -266,6 +289,7 @@ def fragmented(maps: DataFrame, h: int, w: int, least: int = 3, share: float = 0
 #: Segmentation modes by name: (maps, h, w, valid cells) -> tokens. More can be added.
 MODES = {
     "cc": cc_tokens,
+    "diverse": diverse_tokens,
     "arc-ring-residual": arc_ring_residual_tokens,
     "sparse-density": lambda maps, h, w, valid: sparse_density_tokens(maps, h, w),
 }

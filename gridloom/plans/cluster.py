@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..operators import cluster as C
 from ..operators import mixture as X
+from ..operators import spectral as P
 from . import adapters as A
 from .adapters import SQL_CELLS, W
 from .raster import rounded
@@ -46,3 +47,9 @@ def mixture(spark, sf_dir):
     points, components = X.mixtures(maps, W)
     areas = X.mixture_labels(points, components).groupBy("map_id", F.col("component").alias("k")).agg(F.count("*").alias("area"))
     return components.join(areas, ["map_id", "k"], "left").select("map_id", F.col("k").alias("component"), *map(rounded, ("weight", "mr", "mc", "srr", "scc", "src")), F.coalesce("area", F.lit(0).cast("bigint")).alias("area"))
+
+
+@query("g27_spectral")
+def spectral(spark, sf_dir):
+    """Spectral clusters of every map's points, as many as its eigenvalues tell."""
+    return P.spectral_clusters(sized(spark, sf_dir), W)

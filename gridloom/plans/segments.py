@@ -132,6 +132,22 @@ def cc_tokens(spark, sf_dir):
     return T.cc_tokens(A.maps(spark, sf_dir), H, W, VALID)
 
 
+def _by_kind(values):
+    return "case kind " + " ".join(f"when '{k}' then {v}" for k, v in values.items()) + " end"
+
+
+@query("g11_diverse_tokens", f"""{SQL_TOKENS}, kd as (select *, area / cast(tall * wide as double) as fill, greatest(tall, wide) / cast(least(tall, wide) as double) as asp from tok where area >= 3),
+ kk as (select *, case when rad >= 0.65 and coverage >= 0.25 and radial_std <= 0.14 then 'edge_ring' when l1 / greatest(l2, 1e-6) >= 6 or asp >= 4 then 'line' when fill >= 0.45 and per / area <= 1.6 then 'blob' when rad <= 0.35 then 'central' else 'irregular' end as kind from kd),
+ im as (select *, round(sqrt(area) + case when rad <= 0.35 then 2.0 else 0.0 end + {_by_kind(T.RESIDUAL_BONUS)} + least(fill, 1.0), 9) as score from kk), ld as (select *, row_number() over (partition by map_id, kind order by score desc, token) = 1 as leads from im),
+ tn as (select *, row_number() over (partition by map_id, leads order by round({_by_kind(T.DISPLAY_ORDER)} + 0.01 * score, 9) desc, token) as turn from ld), fs as (select *, leads and turn <= 3 as first_pick from tn),
+ rt as (select *, count(*) filter (first_pick) over (partition by map_id) as firsts, row_number() over (partition by map_id, first_pick order by score desc, token) as rest from fs)
+ select map_id, cast(token as bigint) as token, kind, area, row_number() over (partition by map_id order by round({_by_kind(T.DISPLAY_ORDER)} + 0.01 * area, 9) desc, token) as place from rt where first_pick or rest + firsts <= 6""")
+def diverse_tokens(spark, sf_dir):
+    """Six regions of a map at most, of three kinds if there are as many."""
+    own = T.diverse_tokens(A.maps(spark, sf_dir), H, W, VALID, radius=A.RADIUS)
+    return own.select("map_id", F.col("token").cast("bigint").alias("token"), "kind", "area", F.col("place").cast("bigint").alias("place"))
+
+
 @query("g24_largest_regions", f"{_LABELLED}, a as (select map_id, token, count(*) as area from lab group by 1, 2), k as (select *, row_number() over (partition by map_id order by area desc, token) as place from a) select map_id, cast(token as bigint) token, area, place from k where place <= 3")
 def largest_regions(spark, sf_dir):
     own = T.region_cells(A.maps(spark, sf_dir), H, W).groupBy("map_id", "token").agg(F.count("*").alias("area"))

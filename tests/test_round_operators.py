@@ -294,3 +294,39 @@ def test_collections_are_read_by_ranges(spark, tmp_path, save):
     assert some.rdd.getNumPartitions() == 2  # of 17: the bounds reached the source
     assert sorted((x.path.rsplit("/", 1)[-1], *x[1:]) for x in some.collect()) == [x for x in whole if 500 <= x[1] < 600]
     assert found.where("original_index = 7").count() == sum(x[1] == 7 for x in whole)
+
+
+def test_spectral_clusters_against_the_matrix(spark):
+    from gridloom.operators import spectral as P
+
+    blobs = [(r, c) for r in range(3) for c in range(3)] + [(r, c) for r in range(9, 12) for c in range(16, 19)] + [(18, 1), (18, 2), (19, 1), (19, 2)]
+    points = np.array(blobs + [(0, 19)], float)
+    own = P.laplacian(points)
+    for i in range(len(points)):
+        for j in range(len(points)):
+            d = [sum(math.exp(-math.dist(points[k], q) ** 2 / 18) for m, q in enumerate(points) if m != k and math.dist(points[k], q) <= 15) for k in (i, j)]
+            w = math.exp(-math.dist(points[i], points[j]) ** 2 / 18) if i != j and math.dist(points[i], points[j]) <= 15 else 0.0
+            assert abs(own[i, j] - ((i == j) - (w / math.sqrt(d[0] * d[1]) if w else 0.0))) < 1e-9
+    lonely = P.laplacian(np.array([(0, 0), (0, 1), (90, 90)], float))
+    assert lonely[2].tolist() == [0, 0, 1]  # no neighbour: a row of its own 1
+    assert P.gap_size(np.array([0.0, 0.1, 0.2, 0.9, 1.0])) == 3 and P.gap_size(np.array([0.0, 1.0])) == 2
+    cells = [r * 20 + c for r, c in sorted(blobs)]
+    maps = spark.createDataFrame([(1, cells), (2, [3, 4]), (3, [])], "map_id long, points array<int>")
+    rows = P.spectral_clusters(maps, 20, sigma=2.0, clusters=3).collect()
+    assert len(rows) == len(cells) + 2 and all(x.cluster is None for x in rows if x.map_id == 2)
+    found = {}
+    for x in rows:
+        if x.map_id == 1:
+            found.setdefault(x.cluster, set()).add((x.r, x.c))
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, (blobs[:9], blobs[9:18], blobs[18:])))
+    assert set(found) == {min(r * 20 + c for r, c in own) + 1 for own in found.values()}
+
+
+def test_selection_spreads_over_kinds_first(spark):
+    from gridloom.operators import segment as T
+
+    rows = [(1, t, k, a, 0.9, 0.5) for t, k, a in ((1, "irregular", 100), (2, "irregular", 81), (3, "irregular", 64), (4, "line", 4), (5, "blob", 4), (6, "central", 4), (7, "irregular", 49))]
+    tokens = spark.createDataFrame(rows, "map_id long, token int, kind string, area int, radial double, fill double")
+    picked = lambda k: [x.token for x in T.select_diverse(tokens, k).orderBy("place").collect()]
+    assert picked(2) == [6, 5] and picked(3) == [6, 5, 4]
+    assert picked(5) == [6, 5, 1, 2, 4]  # central, blob and line lead, then the two largest; shown by kind and a hundredth of the area
