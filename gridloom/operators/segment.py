@@ -112,6 +112,17 @@ def display_order() -> Column:
     return _by_kind(DISPLAY_ORDER) + 0.01 * F.col("area")
 
 
+def token_signature(method: str, kind: Column | None = None, source: str = "") -> Column:
+    """SHA-1 of a token's canonical JSON: map, sorted pixels, method, source, kind and token, keys in order, no spaces.
+
+    The names must be plain ASCII without quotes or backslashes, as those of modes and kinds are.
+    """
+    kind = F.lit("") if kind is None else kind
+    pixels = F.array_join(F.transform(F.array_sort("pixels"), lambda p: F.concat(F.lit("["), p["r"].cast("string"), F.lit(","), p["c"].cast("string"), F.lit("]"))), ",")
+    text = F.concat(F.lit('{"map_id":'), F.col("map_id").cast("string"), F.lit(',"pixels":['), pixels, F.lit(f'],"proposal_method":"{method}","proposal_source":"{source}","proposal_type":"'), kind, F.lit('","token_id":'), F.col("token").cast("string"), F.lit("}"))
+    return F.sha1(text.cast("binary"))
+
+
 def keep_top(tokens: DataFrame, score: Column, k: int, min_area: int = 1) -> DataFrame:
     """The k best tokens of each map with `place`; ties to the token that starts first."""
     best = Window.partitionBy("map_id").orderBy(F.round(score, 9).desc(), "token")

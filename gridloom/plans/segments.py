@@ -132,6 +132,13 @@ def cc_tokens(spark, sf_dir):
     return T.cc_tokens(A.maps(spark, sf_dir), H, W, VALID)
 
 
+@query("d7_token_signatures", f"""{_LABELLED}, t as (select map_id, token, string_agg('[' || r || ',' || c || ']', ',' order by r, c) as pixels from lab group by 1, 2)
+ select map_id, cast(token as bigint) as token, sha1('{{"map_id":' || map_id || ',"pixels":[' || pixels || '],"proposal_method":"cc","proposal_source":"regions","proposal_type":"","token_id":' || token || '}}') as signature from t""")
+def token_signatures(spark, sf_dir):
+    own = T.token_statistics(T.region_cells(A.maps(spark, sf_dir), H, W), H, W)
+    return own.select("map_id", F.col("token").cast("bigint").alias("token"), T.token_signature("cc", source="regions").alias("signature"))
+
+
 def _by_kind(values):
     return "case kind " + " ".join(f"when '{k}' then {v}" for k, v in values.items()) + " end"
 

@@ -330,3 +330,14 @@ def test_selection_spreads_over_kinds_first(spark):
     picked = lambda k: [x.token for x in T.select_diverse(tokens, k).orderBy("place").collect()]
     assert picked(2) == [6, 5] and picked(3) == [6, 5, 4]
     assert picked(5) == [6, 5, 1, 2, 4]  # central, blob and line lead, then the two largest; shown by kind and a hundredth of the area
+
+
+def test_signatures_are_those_of_canonical_json(spark):
+    import hashlib
+    import json
+
+    from gridloom.operators import segment as T
+
+    df = spark.createDataFrame([(3, 7, [(2, 1), (0, 5), (0, 4)], "line")], "map_id long, token int, pixels array<struct<r:int,c:int>>, kind string")
+    text = json.dumps({"map_id": 3, "token_id": 7, "proposal_method": "cc", "proposal_type": "line", "proposal_source": "x", "pixels": [(0, 4), (0, 5), (2, 1)]}, sort_keys=True, separators=(",", ":"))
+    assert df.select(T.token_signature("cc", F.col("kind"), "x").alias("s")).first().s == hashlib.sha1(text.encode()).hexdigest()
