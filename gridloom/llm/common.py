@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -60,6 +61,16 @@ def materialize(df: DataFrame, name: str, **options: int | str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, as of tables that are written.
+
+    Spark does so when the driver collects its garbage, which a driver with a large heap does too seldom for a job of
+    several large shuffles.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def byte_slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
     """The batches of a mapInArrow function in slices of at most TEXT_ROWS rows and, past one row, TEXT_BYTES bytes of column `text`."""
     for batch in batches:

@@ -4,11 +4,12 @@ Words and phrases are counted for each language. A phrase can be frequent only i
 are, so candidates are found level by level: frequent words; pairs of frequent words whose hash is tallied often enough;
 triples of two such pairs, tallied likewise. Each level's frequent hashes reach the tasks as one bitmap of fixed size,
 which may let some more through but never loses one. The candidates then stand in double-array tries of at most
-`phrases` each. For every trie the texts are read once: all positions of a batch walk it together, one word further at
+`phrases` each. For every trie the words are read once: all positions of a batch walk it together, one word further at
 each level, states that end a candidate are counted by bincount, and Spark sums the tasks' counts. Those counts are the
 result; tallies of hashes only choose candidates.
 
-Words are known by a 64-bit hash of language and word. That no two words of the corpus share one is checked as they are
+Texts are split once. Each slice of texts is then written as numbers into its own list of words, and every later pass
+reads these in place of texts. Words are known by a 64-bit hash of language and word. That no two words of the corpus share one is checked as they are
 counted; if two do, the next seed is taken.
 
 Nulls and odd rows: a null text is empty, a null language is `und`; ids are not looked at, so repeated rows count each;
@@ -26,19 +27,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tries
-from .common import broadcast_if_small, byte_slices, materialize, table
+from .common import broadcast_if_small, byte_slices, materialize, release_shuffles, table
 
 LEAST = 10
 INSIDE = 50
 TOP = 2000
 SCALE = 1_000_000
 #: Phrases of one trie; a corpus with more candidates is read once for each trie.
-PHRASES = 1 << 20
+PHRASES = 1 << 18
 #: Bits of the bitmaps that tell frequent hashes.
 BITMAP_BITS = 27
-#: Hashes tallied, and words known, before a task hands its tallies on and starts anew.
-TALLIED = 1 << 22
-KNOWN = 1 << 21
+#: Positions tallied, and words known, before a task hands its tallies on and starts anew.
+TALLIED = 1 << 20
+KNOWN = 1 << 18
+
+#: Bytes of a row group of split texts: what a reading task holds at once.
+ROW_GROUP = 8 << 20
 
 #: Pieces end at these characters; words at blanks and tabs.
 _TABLE = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
@@ -66,7 +70,8 @@ class _Ids(dict):
         own = self[word] = len(self.lexicon.hashes)
         h = xxh64_intdigest(self.lang + b"\n" + word, self.lexicon.seed)
         self.lexicon.hashes.append(h - (1 << 64) if h >> 63 else h)
-        self.lexicon.names.append((self.lang, word))
+        self.lexicon.langs.append(self.lang)
+        self.lexicon.words.append(word)
         return own
 
 
@@ -78,7 +83,7 @@ class Lexicon:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.names, self.by_lang = [0], [(b"", b"")], {}
+        self.hashes, self.langs, self.words, self.by_lang = [0], [b""], [b""], {}
         self._array = np.zeros(1, np.int64)
 
     def array(self) -> np.ndarray:
@@ -103,32 +108,57 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("text IS NOT NULL").select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).cast("binary").alias("lang"), F.col("text").cast("binary").alias("text"))
 
 
-def word_counts(docs: DataFrame, seed: int) -> DataFrame:
-    """w, lang, word, n, clash (whether other words share the hash) of every word."""
+def split_words(docs: DataFrame, seed: int) -> DataFrame:
+    """Two kinds of rows: w, lang, word, n of words counted by the tasks; and own, numbers of a slice of texts.
+
+    own: the hashes of the slice's words, 0 (the end of a piece) first; numbers: all its words in order, as positions in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, counts = Lexicon(seed), np.zeros(0, np.int64)
+        schema = pa.schema([("w", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("own", pa.binary()), ("numbers", pa.binary())])
 
         def send() -> pa.RecordBatch:
             own = np.flatnonzero(counts[1:]) + 1
-            names = [lexicon.names[k] for k in own]
-            columns = [pa.array(lexicon.array()[own]), *(pa.array([x[k] for x in names], pa.binary()).cast(pa.string()) for k in (0, 1)), pa.array(counts[own])]
-            return pa.RecordBatch.from_arrays(columns, ["w", "lang", "word", "n"])
+            none = pa.nulls(len(own), pa.binary())
+            names = [pa.array([x[k] for k in own], pa.binary()).cast(pa.string()) for x in (lexicon.langs, lexicon.words)]
+            return pa.RecordBatch.from_arrays([pa.array(lexicon.array()[own]), *names, pa.array(counts[own]), none, none], schema=schema)
 
         for batch in byte_slices(batches):
-            own = np.bincount(lexicon.numbers(batch), minlength=len(lexicon.hashes))
-            own[: len(counts)] += counts
-            counts = own
+            found = lexicon.numbers(batch)
+            used = np.bincount(found, minlength=len(lexicon.hashes))
+            there = used > 0
+            there[0] = True
+            own = lexicon.array()[there]
+            numbers = (np.cumsum(there) - 1)[found].astype(number_type(len(own)))
+            used[: len(counts)] += counts
+            counts = used
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, schema.field(k).type) for k in range(4)), pa.array([own.tobytes()], pa.binary()), pa.array([numbers.tobytes()], pa.binary())], schema=schema)
             if len(counts) > KNOWN:
                 yield send()
                 lexicon.clear()
                 counts = np.zeros(0, np.int64)
         yield send()
+        pa.default_memory_pool().release_unused()  # the worker goes on to the next passes
+
+    return _texts(docs).mapInArrow(run, "w long, lang string, word string, n long, own binary, numbers binary")
+
+
+def number_type(words: int) -> type:
+    return np.uint16 if words <= 1 << 16 else np.uint32
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of the words, numbers) of each slice that `split_words` wrote."""
+    for batch in batches:
+        for own, numbers in zip(batch.column(0), batch.column(1)):
+            hashes = np.frombuffer(own.as_buffer(), np.int64)
+            yield hashes, np.frombuffer(numbers.as_buffer(), number_type(len(hashes)))
+
 
-    found = _texts(docs).mapInArrow(run, "w long, lang string, word string, n long")
-    one = [F.min(c).alias(c) for c in ("lang", "word")]
-    clash = F.max(F.struct("lang", "word")) != F.min(F.struct("lang", "word"))
-    return found.groupBy("w").agg(*one, F.sum("n").alias("n"), clash.alias("clash"))
+def word_counts(written: DataFrame) -> DataFrame:
+    """w, lang, word, n of every word."""
+    return written.where("w IS NOT NULL").groupBy("w", "lang", "word").agg(F.sum("n").alias("n"))
 
 
 def bitmap_of(hashes: DataFrame, column: str) -> np.ndarray:
@@ -147,107 +177,121 @@ def _in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0
 
 
-def _tallies(docs: DataFrame, seed: int, find: Callable[[np.ndarray], list[np.ndarray]], names: list[str]) -> DataFrame:
-    """`names` and n: how often each combination occurs of what `find` gets from the word hashes of a batch (0: end of a piece)."""
+def _tallies(texts: DataFrame, find: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], names: list[str]) -> DataFrame:
+    """`names` and n: how often each combination occurs of what `find` gets from the hashes and numbers of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, held, size = Lexicon(seed), [], 0
+        held, size = [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(x) for x in zip(*held)]
-            order = np.lexsort(columns[::-1])
-            columns = [c[order] for c in columns]
-            new = reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])
+            held.clear()
+            order = np.argsort(reduce(_blend, columns))  # equal rows are neighbours; a shared hash only parts some of them
+            new = np.zeros(max(len(order) - 1, 0), bool)
+            for c in columns:
+                own = c[order]
+                new |= own[1:] != own[:-1]
             first = np.flatnonzero(np.concatenate([[True], new])) if len(order) else order
             n = np.diff(np.append(first, len(order)))
-            for at in range(0, len(first), 1 << 18):
-                own = first[at : at + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[own]) for c in columns), pa.array(n[at : at + (1 << 18)], pa.int64())], [*names, "n"])
-
-        for batch in byte_slices(batches):
-            numbers = lexicon.numbers(batch)
-            own = find(lexicon.array()[numbers])
-            held.append(own)
-            size += len(own[0])
+            columns = [c[order[first]] for c in columns]
+            for at in range(0, len(n), 1 << 17):
+                part = slice(at, at + (1 << 17))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[part]) for c in columns), pa.array(n[part], pa.int64())], [*names, "n"])
+
+        for own, numbers in slices(batches):
+            held.append(find(own, numbers))
+            size += len(held[-1][0])
             if size >= TALLIED:
                 yield from send()
-                held, size = [], 0
-            if len(lexicon.hashes) > KNOWN:
-                lexicon.clear()
+                size = 0
         if held:
             yield from send()
 
-    return _texts(docs).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
 
 
-def candidates(docs: DataFrame, words: DataFrame, seed: int, least: int = LEAST) -> DataFrame:
+def candidates(texts: DataFrame, words: DataFrame, least: int = LEAST) -> DataFrame:
     """w1, w2, w3 (0 for pairs): all phrases that can occur `least` times or more, and few others."""
-    context = docs.sparkSession.sparkContext
+    context = texts.sparkSession.sparkContext
     often = context.broadcast(bitmap_of(words.where(F.col("n") >= least), "w"))  # 16 MB at any size
 
-    def frequent_pairs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        good = (h != 0) & _in_bitmap(often.value, h)
+    def frequent_pairs(own: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        good = ((own != 0) & _in_bitmap(often.value, own))[numbers]
         at = np.flatnonzero(good[1:] & good[:-1])
-        return at, _blend(h[at], h[at + 1])
+        h = own[numbers]
+        return h, at, _blend(h[at], h[at + 1])
 
-    pairs = _tallies(docs, seed, lambda h: [frequent_pairs(h)[1]], ["pair"]).groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    pairs = _tallies(texts, lambda own, numbers: [frequent_pairs(own, numbers)[2]], ["pair"]).groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     known = context.broadcast(bitmap_of(pairs, "pair"))
+    del pairs
+    release_shuffles(texts.sparkSession)
 
-    def phrases(h: np.ndarray) -> list[np.ndarray]:
-        at, pair = frequent_pairs(h)
+    def phrases(own: np.ndarray, numbers: np.ndarray) -> list[np.ndarray]:
+        h, at, pair = frequent_pairs(own, numbers)
         at = at[_in_bitmap(known.value, pair)]
         triple = at[:-1][np.diff(at) == 1]
         third = np.concatenate([np.zeros(len(at), np.int64), h[triple + 2]])
         at = np.concatenate([at, triple])
         return [h[at], h[at + 1], third]
 
-    tallied = _tallies(docs, seed, phrases, ["w1", "w2", "w3"]).groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n"))
+    tallied = _tallies(texts, phrases, ["w1", "w2", "w3"]).groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n"))
     return tallied.where(F.col("n") >= least).select("w1", "w2", "w3")
 
 
-def trie_counts(docs: DataFrame, seed: int, trie: tries.DoubleArray) -> DataFrame:
-    """w1, w2, w3 (0 for pairs), a: occurrences of the phrases of one trie, all positions of a batch walking it together."""
-    spread = docs.sparkSession.sparkContext.broadcast(trie)  # at most PHRASES phrases
+def trie_counts(texts: DataFrame, trie: tries.DoubleArray) -> DataFrame:
+    """w1, w2, w3 (0 for pairs), a: occurrences of the phrases of one trie, all positions of a slice walking it together."""
+    spread = texts.sparkSession.sparkContext.broadcast(trie)  # at most PHRASES phrases
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, lexicon = spread.value, Lexicon(seed)
-        counts, codes = np.zeros(len(own.check), np.int64), np.zeros(0, np.int64)
-        for batch in byte_slices(batches):
-            numbers = lexicon.numbers(batch)
-            if len(codes) < len(lexicon.hashes):
-                codes = np.concatenate([codes, own.codes(lexicon.array()[len(codes) :])])
-            word = codes[numbers]
-            at, states = own.at(np.zeros(len(word), np.int64), word)
+        known, counts = spread.value, np.zeros(len(spread.value.check), np.int32)
+        held, size = [], 0
+
+        def count() -> None:
+            states = np.concatenate(held)
+            low = int(states.min())
+            ended = np.bincount(states - low)
+            counts[low : low + len(ended)] += ended.astype(np.int32)
+            held.clear()
+
+        for own, numbers in slices(batches):
+            word = known.codes(own)[numbers]
+            at, states = known.at(np.zeros(len(word), np.int64), word)
             for k in (1, 2):
                 at, states = at[at + k < len(word)], states[at + k < len(word)]
-                on, states = own.at(states, word[at + k])
+                on, states = known.at(states, word[at + k])
                 at = at[on]
                 if len(states):
-                    low = int(states.min())
-                    ended = np.bincount(states - low)
-                    counts[low : low + len(ended)] += ended
-            if len(lexicon.hashes) > KNOWN:
-                lexicon.clear()
-                codes = np.zeros(0, np.int64)
+                    held.append(states)
+                    size += len(states)
+            if size >= TALLIED:
+                count()
+                size = 0
+        if held:
+            count()
         found = np.flatnonzero(counts)
         for k in range(0, len(found), 1 << 17):
             states = found[k : k + (1 << 17)]
-            path = own.path(states)
+            yield pa.RecordBatch.from_arrays([pa.array(states, pa.int32()), pa.array(counts[states].astype(np.int64))], ["state", "n"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            path = spread.value.path(batch.column(0).to_numpy().astype(np.int64))
             path = np.pad(path, ((0, 0), (0, 3 - path.shape[1])))
-            yield pa.RecordBatch.from_arrays([*(pa.array(path[:, c]) for c in range(3)), pa.array(counts[states])], ["w1", "w2", "w3", "a"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(path[:, c]) for c in range(3)), batch.column(1)], ["w1", "w2", "w3", "a"])
 
-    counted = _texts(docs).mapInArrow(run, "w1 long, w2 long, w3 long, a long")
-    return counted.groupBy("w1", "w2", "w3").agg(F.sum("a").alias("a"))
+    counted = texts.mapInArrow(run, "state int, n long").groupBy("state").agg(F.sum("n").alias("a"))
+    return counted.mapInArrow(spell, "w1 long, w2 long, w3 long, a long")
 
 
-def phrase_counts(docs: DataFrame, found: DataFrame, seed: int, phrases: int = PHRASES) -> DataFrame:
-    """w1, w2, w3, a of written candidates, one pass over the texts for each trie of about `phrases`."""
+def phrase_counts(texts: DataFrame, found: DataFrame, phrases: int = PHRASES) -> DataFrame:
+    """w1, w2, w3, a of written candidates, one pass over the words for each trie of about `phrases`."""
     rounds = -(-found.count() // phrases) or 1
     parts = []
     for k in range(rounds):
         own = found.where(F.pmod(F.xxhash64("w1"), F.lit(rounds)) == k).select("w1", "w2", "w3").toArrow()  # about `phrases` rows of 24 bytes
         trie = tries.build(np.stack([own.column(c).to_numpy() for c in range(3)], axis=1).reshape(-1, 3))
-        parts.append(materialize(trie_counts(docs, seed, trie), "phrases"))
+        parts.append(materialize(trie_counts(texts, trie), "phrases"))
+        release_shuffles(found.sparkSession)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -260,13 +304,17 @@ def score(a: Column, left: Column, right: Column) -> Column:
 def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, top: int = TOP, phrases: int = PHRASES, seed: int = 0) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the `top` phrases of each language."""
     while True:
-        words = materialize(word_counts(docs, seed), "words")
-        if not words.where("clash").limit(1).count():
+        written = materialize(split_words(docs, seed), "split", **{"parquet.block.size": ROW_GROUP})
+        words = materialize(word_counts(written), "words")
+        release_shuffles(docs.sparkSession)
+        if not words.groupBy("w").count().where("count > 1").limit(1).count():  # no two words share a hash
             break
         seed += 1
+    texts = written.where("numbers IS NOT NULL").select("own", "numbers")
     langs = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    found = materialize(candidates(docs, words, seed, least), "candidates")
-    counted = phrase_counts(docs, found, seed, phrases).where(F.col("a") >= least)
+    found = materialize(candidates(texts, words, least), "candidates")
+    release_shuffles(docs.sparkSession)
+    counted = phrase_counts(texts, found, phrases).where(F.col("a") >= least)
     common = words.where(F.col("n") >= least).select("w", "lang", "word", F.col("n").alias("f"))
     named = lambda k: common.select(F.col("w").alias(f"w{k}"), F.col("word").alias(f"word{k}"), F.col("f").alias(f"f{k}"), *([F.col("lang")] if k == 1 else []))
 

@@ -2,8 +2,8 @@
 
 A state's children lie at its base plus their symbol, and `check` names the state that owns a slot. Words of the trie's
 own vocabulary are numbered; a number is written as two symbols below RADIX, so a state has at most RADIX children and
-their slots are close together. All states of one size of family are placed at once: each tries a random base, those
-without a clash stay, and the arrays grow when too few find room.
+their slots are close together. Large families are laid one behind the other; of the others all of about one size are
+placed at once: each tries a random base, those without a clash stay, and the arrays grow when too few find room.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 RADIX = 2048
+#: Families of more children are laid one behind the other.
+LARGE = RADIX // 8
 #: Vocabularies up to this size fit two symbols; symbol 0 stands for no word.
 MOST_WORDS = RADIX * RADIX - 1
 
@@ -95,14 +97,24 @@ def build(phrases: np.ndarray, seed: int = 7) -> DoubleArray:
 def _place(parent: np.ndarray, symbol: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """base and check of the nodes (0: the root); nodes of one family stand together, ordered by symbol."""
     total = len(parent)
-    size = 2 * total + 2 * RADIX
-    used = np.zeros(size, bool)
-    used[0] = True
     slot = np.zeros(total, np.int64)
     chosen = np.zeros(total, np.int64)  # the base of each parent
     first, count = _families(parent[1:])
     first = first + 1
     tier = np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64)
+    end = 1 + RADIX  # bases stay positive
+    taken = [np.zeros(1, np.int64)]
+    for k in np.flatnonzero(count > LARGE):
+        own = slice(first[k], first[k] + count[k])
+        base = end - symbol[first[k]]
+        slot[own] = base + symbol[own]
+        chosen[parent[first[k]]] = base
+        taken.append(slot[own])
+        end = int(slot[own][-1]) + 1
+        tier[k] = -1
+    size = end + 2 * int(count[tier >= 0].sum()) + RADIX
+    used = np.zeros(size, bool)
+    used[np.concatenate(taken)] = True
     for level in range(int(tier.max(initial=-1)), -1, -1):
         waiting = np.flatnonzero(tier == level)
         while len(waiting):
