@@ -14,8 +14,10 @@ def query_metrics(ranked: DataFrame, pool: DataFrame, ks: tuple[int, ...]) -> Da
     """One row per query: ap_hit, ap_exact, n_ranked and for every k ndcg, precision, recall, hit rate, mean Jaccard, exact rate.
 
     ranked: query_id, rk (1, 2, ... without gaps), hit, exact, jac, gain. pool: the same for all allowed candidates,
-    ranks aside; ideal gains and totals come from it. An empty list scores 0; an ideal of 0 gives a null ndcg.
+    ranks aside; ideal gains and totals come from it. Its column n, if there is one, tells how many candidates a row stands
+    for. An empty list scores 0; an ideal of 0 gives a null ndcg.
     """
+    pool = pool if "n" in pool.columns else pool.withColumn("n", F.lit(1))
     upto = Window.partitionBy("query_id").orderBy("rk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = ranked.withColumn("_hits", F.sum("hit").over(upto)).withColumn("_exacts", F.sum("exact").over(upto))
     by_k = []
@@ -24,8 +26,15 @@ def query_metrics(ranked: DataFrame, pool: DataFrame, ks: tuple[int, ...]) -> Da
         in_k = lambda c, t=top: F.when(t, F.col(c))
         by_k += [F.sum(F.when(top, discounted(F.col("gain"), F.col("rk")))).alias(f"_dcg{k}"), F.avg(in_k("hit")).alias(f"precision_{k}"), F.sum(in_k("hit")).alias(f"_top{k}"), F.max(in_k("hit")).alias(f"hit_rate_{k}"), F.avg(in_k("jac")).alias(f"mean_jaccard_{k}"), F.max(in_k("exact")).alias(f"exact_rate_{k}")]
     own = running.groupBy("query_id").agg(F.count("*").alias("n_ranked"), F.sum(F.when(F.col("hit") > 0, F.col("_hits") / F.col("rk"))).alias("_ap_hit"), F.sum(F.when(F.col("exact") > 0, F.col("_exacts") / F.col("rk"))).alias("_ap_exact"), *by_k)
-    ideal = pool.withColumn("_place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain"))))
-    ideal = ideal.groupBy("query_id").agg(F.sum("hit").alias("_all_hit"), F.sum("exact").alias("_all_exact"), *[F.sum(F.when(F.col("_place") <= k, discounted(F.col("gain"), F.col("_place")))).alias(f"_ideal{k}") for k in ks])
+    grouped = pool.groupBy("query_id", "gain").agg(F.sum("n").alias("n"), F.sum(F.col("hit") * F.col("n")).alias("hit"), F.sum(F.col("exact") * F.col("n")).alias("exact"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("gain"))
+    placed = grouped.withColumn("_last", F.sum("n").over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_first", F.col("_last") - F.col("n") + 1)
+
+    def ideal_gain(k: int) -> Column:
+        places = F.sequence("_first", F.least("_last", F.lit(k)))
+        return F.when(F.col("_first") <= k, F.aggregate(places, F.lit(0.0), lambda s, place: s + discounted(F.col("gain"), place)))
+
+    ideal = placed.groupBy("query_id").agg(F.sum("hit").alias("_all_hit"), F.sum("exact").alias("_all_exact"), *[F.sum(ideal_gain(k)).alias(f"_ideal{k}") for k in ks])
     both = ideal.join(own, "query_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     out = [
