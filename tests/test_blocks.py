@@ -72,3 +72,17 @@ def test_blocked_pairs_are_not_broadcast(spark):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and pairs.where("q_kind <> c_kind").count() == 0
     assert pairs.count() == sum(1 for q in range(0, 200, 20) for c in range(200) if q != c and q % 3 == c % 3)
+
+
+def test_best_of_blocks_ties_and_self(spark):
+    """Keys with many ties: the first of all are those of a plain sort, the query itself is never one of them."""
+    own = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("x"))
+
+    def orders(left, right):
+        a, b = S.column_matrix(left, "x"), S.column_matrix(right, "x")
+        return {"near": abs(a[:, None] - b[None, :])}
+
+    best = S.ranked_best(S.best_of_blocks(own.where("id % 50 = 0"), own, "id", 6, orders), 6)
+    found = {(r.query_id, r.rank): r.candidate_id for r in best.collect()}
+    for q in range(0, 300, 50):
+        assert [found[q, k] for k in range(1, 7)] == sorted((c for c in range(300) if c != q), key=lambda c: (abs(q % 7 - c % 7), c))[:6]
