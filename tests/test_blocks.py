@@ -86,3 +86,17 @@ def test_best_of_blocks_ties_and_self(spark):
     found = {(r.query_id, r.rank): r.candidate_id for r in best.collect()}
     for q in range(0, 300, 50):
         assert [found[q, k] for k in range(1, 7)] == sorted((c for c in range(300) if c != q), key=lambda c: (abs(q % 7 - c % 7), c))[:6]
+
+
+def test_token_pairs_meet_in_blocks(spark):
+    """The same pairs as by joins on map ids, and after the sides are dealt out no exchange is left."""
+    from gridloom.operators import matching as M
+
+    tokens = spark.range(120).select((F.col("id") % 40).alias("map_id"), F.col("id").alias("token"))
+    ids = tokens.select("map_id").distinct()
+    asks = tokens.where("map_id % 20 = 0")
+    maps = asks.select(F.col("map_id").alias("query_id")).distinct().crossJoin(ids.select(F.col("map_id").alias("candidate_id"))).where("query_id <> candidate_id")
+    take = ("query_id", "candidate_id", "q_token", "c_token")
+    own = M.block_token_pairs(asks, tokens)
+    assert sorted(own.select(*take).collect()) == sorted(M.token_pairs(tokens, tokens, maps).select(*take).collect())
+    assert own._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
