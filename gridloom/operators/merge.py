@@ -38,14 +38,14 @@ def token_sums(cells: DataFrame) -> DataFrame:
 
 
 def with_shape(sums: DataFrame, h: int, w: int) -> DataFrame:
-    """Add centroid, principal axes, axis (degrees from the row axis, 0 to 180) and radial (share of half the diagonal) to sums."""
+    """Add centroid, principal axes, axis (degrees from the row axis, 0 to 180; 0 if no direction is longer) and radial (share of half the diagonal) to sums."""
     n = F.col("area").cast("double")
     own = sums.withColumn("centroid_r", F.col("sum_r") / n).withColumn("centroid_c", F.col("sum_c") / n)
     rr, cc = F.col("sum_rr") / n - F.col("centroid_r") ** 2, F.col("sum_cc") / n - F.col("centroid_c") ** 2
     rc = F.col("sum_rc") / n - F.col("centroid_r") * F.col("centroid_c")
     large, small = eigenvalues(rr, cc, rc)
     own = own.withColumn("lambda_1", large).withColumn("lambda_2", small)
-    axis = F.pmod(F.round(0.5 * F.degrees(F.atan2(F.round(2 * rc, 9), F.round(rr - cc, 9))), 9), F.lit(180.0))
+    axis = F.pmod(F.round(0.5 * F.degrees(F.atan2(F.round(2 * rc, 9) + 0.0, F.round(rr - cc, 9) + 0.0)), 9), F.lit(180.0))
     away = F.sqrt((F.col("centroid_r") - h / 2) ** 2 + (F.col("centroid_c") - w / 2) ** 2) / max(math.hypot(h, w) / 2, 1)
     return own.withColumn("axis", F.when(F.col("lambda_1") > 1e-10, axis).otherwise(0.0)).withColumn("radial", away)
 
@@ -59,7 +59,7 @@ def ring_fits(g: dict = GATES) -> Column:
     """Both tokens lie off the middle, about as far out as each other, and near in angle."""
     turn = lambda x, y: F.least(F.abs(x - y), F.lit(THETA_BINS) - F.abs(x - y))
     near = _gap(F.col("a_bins"), F.col("b_bins"), turn) * (360.0 / THETA_BINS) <= g["ring_theta_gap"]
-    return (F.least("a_radial", "b_radial") >= g["ring_least_radius"]) & (F.round(F.abs(F.col("a_radial") - F.col("b_radial")), 9) <= g["ring_radial_gap"]) & near
+    return (F.round(F.least("a_radial", "b_radial"), 9) >= g["ring_least_radius"]) & (F.round(F.abs(F.col("a_radial") - F.col("b_radial")), 9) <= g["ring_radial_gap"]) & near
 
 
 def line_fits(g: dict = GATES) -> Column:
@@ -69,7 +69,7 @@ def line_fits(g: dict = GATES) -> Column:
     dr, dc = F.col("b_centroid_r") - F.col("a_centroid_r"), F.col("b_centroid_c") - F.col("a_centroid_c")
     theta = F.radians((F.col("a_axis") + F.col("b_axis")) / 2)
     off = F.abs(dr * F.sin(theta) - dc * F.cos(theta))
-    return (F.least("a_area", "b_area") >= g["line_least_area"]) & (turn <= g["line_angle_gap"]) & (F.round(long, 9) >= g["line_elongation"]) & (F.round(F.sqrt(dr * dr + dc * dc), 9) <= g["line_gap"]) & (F.round(off, 9) <= g["line_perp_gap"])
+    return (F.least("a_area", "b_area") >= g["line_least_area"]) & (F.round(turn, 9) <= g["line_angle_gap"]) & (F.round(long, 9) >= g["line_elongation"]) & (F.round(F.sqrt(dr * dr + dc * dc), 9) <= g["line_gap"]) & (F.round(off, 9) <= g["line_perp_gap"])
 
 
 def blob_fits(g: dict = GATES) -> Column:

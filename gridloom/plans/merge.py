@@ -15,14 +15,14 @@ _G = M.GATES
 _SUMS = "count(*) as area, cast(sum(n) as double) as mass, cast(sum(edges) as bigint) as perimeter, sum(r) as sr, sum(c) as sc, sum(r * r) as srr, sum(c * c) as scc, sum(r * c) as src, min(r) as r0, max(r) as r1, min(c) as c0, max(c) as c1"
 _SHAPED = """select *, sr / cast(area as double) as mr, sc / cast(area as double) as mc, srr / cast(area as double) - (sr / cast(area as double)) * (sr / cast(area as double)) as vr, scc / cast(area as double) - (sc / cast(area as double)) * (sc / cast(area as double)) as vc,
  src / cast(area as double) - (sr / cast(area as double)) * (sc / cast(area as double)) as vx"""
-_AXES = """select *, (vr + vc) / 2 + sqrt(((vr - vc) / 2) * ((vr - vc) / 2) + vx * vx) as l1, greatest((vr + vc) / 2 - sqrt(((vr - vc) / 2) * ((vr - vc) / 2) + vx * vx), 0) as l2, sqrt((mr - 8) * (mr - 8) + (mc - 8) * (mc - 8)) / sqrt(128.0) as rad, round(0.5 * degrees(atan2(round(2 * vx, 9), round(vr - vc, 9))), 9) as raw_axis"""
+_AXES = """select *, (vr + vc) / 2 + sqrt(((vr - vc) / 2) * ((vr - vc) / 2) + vx * vx) as l1, greatest((vr + vc) / 2 - sqrt(((vr - vc) / 2) * ((vr - vc) / 2) + vx * vx), 0) as l2, sqrt((mr - 8) * (mr - 8) + (mc - 8) * (mc - 8)) / sqrt(128.0) as rad, round(0.5 * degrees(atan2(round(2 * vx, 9) + 0.0, round(vr - vc, 9) + 0.0)), 9) as raw_axis"""
 _MERGED = f"""{_LABELLED}, ts as (select map_id, token, {_SUMS} from lab join edge using (map_id, r, c) group by 1, 2 having count(*) >= {_G['min_area']}), t1 as ({_SHAPED} from ts), t2 as ({_AXES} from t1),
  tk as (select *, case when l1 > 1e-10 then case when raw_axis < 0 then raw_axis + 180 else raw_axis end else 0.0 end as axis, row_number() over (partition by map_id order by token) as pos from t2),
  bins as (select distinct lab.map_id, tk.pos, cast(least(floor((case when degrees(atan2(lab.r - 8.0, lab.c - 8.0)) < 0 then degrees(atan2(lab.r - 8.0, lab.c - 8.0)) + 360 else degrees(atan2(lab.r - 8.0, lab.c - 8.0)) end) / 5.0), 71) as int) as bin from lab join tk using (map_id, token)),
  tg as (select a.map_id, a.pos as i, b.pos as j, min(least(abs(a.bin - b.bin), 72 - abs(a.bin - b.bin))) * 5.0 as gap from bins a join bins b on a.map_id = b.map_id and a.pos < b.pos group by 1, 2, 3),
  px as (select lab.map_id, lab.r, lab.c, tk.pos from lab join tk using (map_id, token)), pd as (select a.map_id, a.pos as i, b.pos as j, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) as d2 from px a join px b on a.map_id = b.map_id and a.pos < b.pos group by 1, 2, 3),
- pr as (select a.map_id, a.pos as i, b.pos as j, least(a.rad, b.rad) >= {_G['ring_least_radius']} and round(abs(a.rad - b.rad), 9) <= {_G['ring_radial_gap']} and tg.gap <= {_G['ring_theta_gap']} as ring,
- least(a.area, b.area) >= {_G['line_least_area']} and abs((case when a.axis - b.axis + 90.0 < 0 then a.axis - b.axis + 270.0 else (a.axis - b.axis + 90.0) % 180.0 end) - 90.0) <= {_G['line_angle_gap']} and round(greatest(a.l1 / greatest(a.l2, 1e-6), b.l1 / greatest(b.l2, 1e-6)), 9) >= {_G['line_elongation']}
+ pr as (select a.map_id, a.pos as i, b.pos as j, round(least(a.rad, b.rad), 9) >= {_G['ring_least_radius']} and round(abs(a.rad - b.rad), 9) <= {_G['ring_radial_gap']} and tg.gap <= {_G['ring_theta_gap']} as ring,
+ least(a.area, b.area) >= {_G['line_least_area']} and round(abs((case when a.axis - b.axis + 90.0 < 0 then a.axis - b.axis + 270.0 else (a.axis - b.axis + 90.0) % 180.0 end) - 90.0), 9) <= {_G['line_angle_gap']} and round(greatest(a.l1 / greatest(a.l2, 1e-6), b.l1 / greatest(b.l2, 1e-6)), 9) >= {_G['line_elongation']}
  and round(sqrt((b.mr - a.mr) * (b.mr - a.mr) + (b.mc - a.mc) * (b.mc - a.mc)), 9) <= {_G['line_gap']} and round(abs((b.mr - a.mr) * sin(radians((a.axis + b.axis) / 2)) - (b.mc - a.mc) * cos(radians((a.axis + b.axis) / 2))), 9) <= {_G['line_perp_gap']} as line,
  (greatest(a.r1, b.r1) - least(a.r0, b.r0) + 1) * (greatest(a.c1, b.c1) - least(a.c0, b.c0) + 1) <= {_G['blob_bbox']} and pd.d2 <= {_G['blob_gap'] ** 2} as blob
  from tk a join tk b on a.map_id = b.map_id and a.pos < b.pos join tg on tg.map_id = a.map_id and tg.i = a.pos and tg.j = b.pos join pd on pd.map_id = a.map_id and pd.i = a.pos and pd.j = b.pos),
