@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from gridloom.operators import matching as T
 from gridloom.operators import metrics as M
 from gridloom.operators import ranking as K
 from gridloom.operators import similarity as S
@@ -100,3 +101,28 @@ def test_token_pairs_meet_in_blocks(spark):
     own = M.block_token_pairs(asks, tokens)
     assert sorted(own.select(*take).collect()) == sorted(M.token_pairs(tokens, tokens, maps).select(*take).collect())
     assert own._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+
+
+def test_token_blocks_give_what_the_rows_give(spark):
+    """Maps 0 to 39 of up to six tokens, some without any: scores, greedy matches and map scores of blocks against those of joined rows; no row for a pair is joined or shuffled."""
+    draw = random.Random(5)
+    fields = ["area", "lambda_1", "lambda_2", "centroid_r", "centroid_c", "radial", "max_run", "coverage"]
+    rows = [(m, t, draw.randint(3, 9), *(draw.choice([0.5, 1.0, 4.0, 9.0]) for _ in range(2)), *(draw.uniform(0, 16) for _ in range(2)), draw.choice([0.3, 0.7, 0.9]), draw.choice([0.1, 0.3, 0.6]), 0.5, [draw.choice([0.0, 0.5, 1.0]) for _ in range(3)], [draw.uniform(0, 1) for _ in range(2)]) for m in range(40) for t in range(1, 1 + m % 7)]
+    t = spark.createDataFrame(rows, ["map_id", "token", *fields, "geometry", "moments"]).withColumn("token", F.col("token").cast("int")).localCheckpoint()
+    maps = spark.range(40).select(F.col("id").alias("map_id"))
+    asks = F.col("map_id") % 7 < 3
+    plain = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    pairs = maps.where(asks).select(F.col("map_id").alias("query_id")).crossJoin(maps.select(F.col("map_id").alias("candidate_id"))).where("query_id <> candidate_id")
+    for moments in (False, True):
+        scored = T.score_token_pairs(T.token_pairs(t.where(asks), t, pairs), 16, 16, moments)
+        names = ["query_id", "candidate_id", "q_token", "c_token", "shape_sim", "position_affinity", "scale_affinity", "score"]
+        lists = T.token_lists(t, maps).localCheckpoint()
+        sides = lists.where(asks), lists
+        assert plain(T.block_pair_scores(*sides, 16, 16, moments).select(names)) == plain(scored.select(names))
+        matches = T.greedy_matches(scored).localCheckpoint()
+        assert plain(T.block_matches(*sides, 16, 16, moments)) == plain(matches)
+        own = T.map_scores(pairs, t, matches)
+        assert plain(T.block_map_scores(*sides, 16, 16, moments)) == plain(own)
+        best = S.top_k(T.block_map_scores(*sides, 16, 16, moments, k=4), "query_id", "candidate_id", 4)
+        assert plain(best.select("query_id", "rank", "candidate_id")) == plain(S.top_k(own, "query_id", "candidate_id", 4).select("query_id", "rank", "candidate_id"))
+    assert "Join" not in T.block_map_scores(*sides, 16, 16)._jdf.queryExecution().executedPlan().toString()
