@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from gridloom.functions import grid as G
 from gridloom.operators import matching as T
 from gridloom.operators import metrics as M
 from gridloom.operators import ranking as K
@@ -103,6 +104,13 @@ def test_token_pairs_meet_in_blocks(spark):
     assert own._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
 
 
+def test_hashed_shares_of_large_keys(spark):
+    """The stated arithmetic, past the keys whose product leaves a long."""
+    keys = [0, 7, 999, 53_000, 60_000, 5_999_999, 2**40 + 3, 2**62 + 12345]
+    own = spark.createDataFrame([(k, c) for k in keys for c in (0, 17, 255)], "k long, c long").select("k", "c", G.hashed_share(F.col("k"), F.col("c"), 5).alias("x"))
+    assert all(r.x == ((r.k * 65536 + r.c) * 2654435761 + 5) % 2**32 / 2**32 for r in own.collect())
+
+
 def test_token_blocks_give_what_the_rows_give(spark):
     """Maps 0 to 39 of up to six tokens, some without any: scores, greedy matches and map scores of blocks against those of joined rows; no row for a pair is joined or shuffled."""
     draw = random.Random(5)
