@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Texts that mean pass; any other non-empty text means fail.
@@ -10,6 +10,22 @@ PASS_TEXTS = ("P", "PASS", "1", "TRUE", "Y", "YES", "OK")
 MISSING_TEXTS = ("", "N/A", "NA", "NONE", "NULL")
 
 
+#: Rows that a task groups at once.
+TASK_ROWS = 1 << 19
+
+
+def with_bounds(rows: DataFrame, keys: list[str], **bounds: Column) -> DataFrame:
+    """Add aggregates over each group of `keys`, whose rows come to lie in one partition; rows without a key are left out.
+
+    There are as many partitions as the counted rows ask for, so what a task sorts and groups does not grow with the input, and
+    grouping by the keys and more needs no other shuffle.
+    """
+    known = rows.dropna(subset=keys)
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    own = Window.partitionBy(*keys)
+    return known.repartition(parts, *keys).select("*", *[b.over(own).alias(name) for name, b in bounds.items()])
+
+
 def index_cell(value: Column, low: Column, high: Column, size: int, inverted: bool = False) -> Column:
     """The cell of a value between low and high: its share of the range times size, floored and cut to the grid.
 
@@ -30,11 +46,10 @@ def map_by_range(defects: DataFrame, key: str, x: str, y: str, h: int, w: int) -
 
 def map_physical(defects: DataFrame, key: str, h: int, w: int, pitch_x: float, pitch_y: float) -> DataFrame:
     """key, r, c by die index and place in the die; defects that fall off the grid are dropped, and so are wafers of one die."""
-    bounds = defects.groupBy(key).agg(F.min("xindex").alias("_x0"), F.max("xindex").alias("_x1"), F.min("yindex").alias("_y0"), F.max("yindex").alias("_y1"))
-    bounds = bounds.where("NOT (_x0 = _x1 AND _y0 = _y1)")
+    own = with_bounds(defects.select(key, "xindex", "yindex", "xrel", "yrel"), [key], _x0=F.min("xindex"), _x1=F.max("xindex"), _y0=F.min("yindex"), _y1=F.max("yindex")).where("NOT (_x0 = _x1 AND _y0 = _y1)")
     xn = (F.col("xindex") - F.col("_x0") + F.col("xrel") / pitch_x) / (F.col("_x1") - F.col("_x0") + 1)
     yn = (F.col("yindex") - F.col("_y0") + F.col("yrel") / pitch_y) / (F.col("_y1") - F.col("_y0") + 1)
-    placed = defects.join(bounds, key).select(key, F.floor((1 - yn) * h).cast("int").alias("r"), F.floor(xn * w).cast("int").alias("c"))
+    placed = own.select(key, F.floor((1 - yn) * h).cast("int").alias("r"), F.floor(xn * w).cast("int").alias("c"))
     return placed.where(F.col("r").between(0, h - 1) & F.col("c").between(0, w - 1))
 
 
@@ -57,9 +72,8 @@ def pass_fail(text: Column) -> Column:
 
 def die_grid(rows: DataFrame) -> DataFrame:
     """lot_id, wafer_number, r, c, and the status of each test row; rows count down from the highest y."""
-    bounds = rows.groupBy("lot_id", "wafer_number").agg(F.min("die_x").alias("_x0"), F.max("die_y").alias("_y1"))
-    joined = rows.join(bounds, ["lot_id", "wafer_number"])
-    return joined.select("lot_id", "wafer_number", (F.col("_y1") - F.col("die_y")).alias("r"), (F.col("die_x") - F.col("_x0")).alias("c"), pass_fail(F.col("pf")).alias("status"), "hardbin")
+    own = with_bounds(rows.select("lot_id", "wafer_number", "die_x", "die_y", "pf", "hardbin"), ["lot_id", "wafer_number"], _x0=F.min("die_x"), _y1=F.max("die_y"))
+    return own.select("lot_id", "wafer_number", (F.col("_y1") - F.col("die_y")).alias("r"), (F.col("die_x") - F.col("_x0")).alias("c"), pass_fail(F.col("pf")).alias("status"), "hardbin")
 
 
 def worst_status(dies: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from gridloom.functions import grid as G
 from gridloom.operators import matching as T
 from gridloom.operators import metrics as M
 from gridloom.operators import ranking as K
+from gridloom.operators import raster as R
 from gridloom.operators import similarity as S
 
 
@@ -134,3 +135,13 @@ def test_token_blocks_give_what_the_rows_give(spark):
         best = S.top_k(T.block_map_scores(*sides, 16, 16, moments, k=4), "query_id", "candidate_id", 4)
         assert plain(best.select("query_id", "rank", "candidate_id")) == plain(S.top_k(own, "query_id", "candidate_id", 4).select("query_id", "rank", "candidate_id"))
     assert "Join" not in T.block_map_scores(*sides, 16, 16)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bounds_are_dealt_by_counted_rows(spark, monkeypatch):
+    """As many partitions as the rows ask for, each group whole in one; a group without key is left out."""
+    monkeypatch.setattr(R, "TASK_ROWS", 10)
+    rows = spark.createDataFrame([(k % 20 if k else None, k) for k in range(400)], "w long, x long")
+    own = R.with_bounds(rows, ["w"], low=F.min("x"), high=F.max("x"))
+    assert own.rdd.getNumPartitions() == 40
+    found = own.withColumn("p", F.spark_partition_id()).groupBy("w").agg(F.countDistinct("p").alias("p"), F.count("*").alias("n"), F.max("low").alias("low"), F.max("high").alias("high")).collect()
+    assert sorted((r.w, r.p, r.n, r.low, r.high) for r in found) == [(w, 1, 20 - (w == 0), w or 20, 380 + w) for w in range(20)]
