@@ -145,3 +145,16 @@ def test_bounds_are_dealt_by_counted_rows(spark, monkeypatch):
     assert own.rdd.getNumPartitions() == 40
     found = own.withColumn("p", F.spark_partition_id()).groupBy("w").agg(F.countDistinct("p").alias("p"), F.count("*").alias("n"), F.max("low").alias("low"), F.max("high").alias("high")).collect()
     assert sorted((r.w, r.p, r.n, r.low, r.high) for r in found) == [(w, 1, 20 - (w == 0), w or 20, 380 + w) for w in range(20)]
+
+
+def test_chamfer_and_shifts_of_blocks(spark):
+    """Maps of 9 x 9 cells with two inspected areas and one empty map: block scores against those of each pair; no pair is joined."""
+    draw = random.Random(9)
+    rows = [(m, [int(m != 3 and draw.random() < 0.2) for _ in range(81)], [0 if m % 3 == 0 and k < 20 else 1 for k in range(81)]) for m in range(12)]
+    maps = S.with_moves(S.with_distances(spark.createDataFrame(rows, "map_id long, mask array<int>, status array<int>"), 9, 9), 9, 9, 1).localCheckpoint()
+    asks = F.col("map_id") % 4 < 2
+    pairs = S.blocked_pairs(maps.where(asks), maps, "map_id").select(F.col("q_map_id").alias("query_id"), F.col("c_map_id").alias("candidate_id"), F.round(S.chamfer(9, 9), 6).alias("score"), S.shifted_overlap(9, 9, 1).alias("x"))
+    plain = lambda df: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect())
+    own = S.block_chamfer(maps.where(asks), maps, 9, 9)
+    assert plain(own) == plain(pairs.select("query_id", "candidate_id", "score")) and "Join" not in own._jdf.queryExecution().executedPlan().toString()
+    assert plain(S.block_shift_search(maps.where(asks), maps, 9, 9, 1)) == plain(pairs.select("query_id", "candidate_id", "x.score", "x.dr", "x.dc"))
