@@ -47,9 +47,13 @@ def with_radius(maps: DataFrame, w: int, min_points: int = MIN_POINTS) -> DataFr
 
 
 def neighbours(points: Column, radius: Column, w: int) -> Column:
-    """For each point of a map, the places in `points` of those within the radius, its own included."""
-    near = lambda a, b: F.sqrt(((G.row_of(a, w) - G.row_of(b, w)) * (G.row_of(a, w) - G.row_of(b, w)) + (G.column_of(a, w) - G.column_of(b, w)) * (G.column_of(a, w) - G.column_of(b, w))).cast("double")) <= radius
-    return F.transform(points, lambda a: F.filter(F.transform(points, lambda b, j: F.when(near(a, b), j)), lambda j: j.isNotNull()))
+    """For each point of a map, the places in `points` of those within the radius, its own included.
+
+    Both are bound once for a map: the optimizer puts a column that is used once in place, in a loop over pairs of points too.
+    """
+    near = lambda a, b, radius: F.sqrt(((G.row_of(a, w) - G.row_of(b, w)) * (G.row_of(a, w) - G.row_of(b, w)) + (G.column_of(a, w) - G.column_of(b, w)) * (G.column_of(a, w) - G.column_of(b, w))).cast("double")) <= radius
+    own = lambda a, p, far: F.filter(F.transform(p, lambda b, j: F.when(near(a, b, far), j)), lambda j: j.isNotNull())
+    return G.let(radius, lambda far: G.let(points, lambda p: F.transform(p, lambda a: own(a, p, far))))
 
 
 def least_near(labels: Column, near: Column) -> Column:
