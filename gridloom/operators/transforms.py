@@ -81,5 +81,7 @@ def changed_copies(maps: DataFrame, h: int, w: int, retries: int = 5) -> DataFra
     fits = (F.size("cells") >= least) & (F.size("cells") <= MOST_SHARE * F.size("ground")) & (F.col("iou") < MOST_IOU)
     rows = rows.withColumn("accepted", fits & (F.col("order") < len(KINDS) * retries))
     kept = ["kind", "accepted", "order", "dx", "dy", "angle", "scale", "dropout", "noise", "cells", "iou"]
-    first = F.min_by(F.struct(*kept), "order")
-    return rows.where(F.col("accepted") | (F.col("order") == len(KINDS) * retries)).groupBy("map_id", "wanted").agg(first.alias("x")).select("map_id", "wanted", "x.*")
+    # orders that do not count are null: a filter would be pushed down to the points, with the copy worked out again wherever it is named
+    counts = F.when(F.col("accepted") | (F.col("order") == len(KINDS) * retries), F.col("order"))
+    first = F.min_by(F.struct(*kept), counts)
+    return rows.groupBy("map_id", "wanted").agg(first.alias("x")).select("map_id", "wanted", "x.*")
