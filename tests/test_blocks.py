@@ -42,6 +42,17 @@ def test_vector_pairs_best_and_all(spark):
         assert {q: x[:k] for q, x in found.items()} == {q: x[:k] for q, x in _lists(rows).items()}
 
 
+def test_pairs_off_the_list_do_not_leave_a_block(spark):
+    rows, v = _vectors(spark)
+    allowed = lambda q, c: (q + c) % 3 == 0
+    for k in (4, None):
+        own, found = K.by_score(S.vector_pairs(v.where("id % 10 = 0"), v, "id", "v", k, only=allowed)), {}
+        for r in own.orderBy("query_id", "rk").collect():
+            found.setdefault(r.query_id, []).append((r.candidate_id, r.score))
+        assert {q: x[:k] for q, x in found.items()} == {q: x[:k] for q, x in _lists(rows, allowed).items()}
+        assert all(allowed(q, c) for q, x in found.items() for c, _ in x)
+
+
 def test_a_block_gives_no_more_than_k_of_equal_scores(spark):
     v = spark.range(500).select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("v"))
     counts = S.vector_pairs(v.where("id = 20"), v, "id", "v", 5).groupBy("query_id").count().collect()
