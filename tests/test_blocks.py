@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from gridloom.functions import grid as G
@@ -169,3 +171,38 @@ def test_chamfer_and_shifts_of_blocks(spark):
     own = S.block_chamfer(maps.where(asks), maps, 9, 9)
     assert plain(own) == plain(pairs.select("query_id", "candidate_id", "score")) and "Join" not in own._jdf.queryExecution().executedPlan().toString()
     assert plain(S.block_shift_search(maps.where(asks), maps, 9, 9, 1)) == plain(pairs.select("query_id", "candidate_id", "x.score", "x.dr", "x.dc"))
+
+
+def _by_hand(values, k):
+    """The k best of each row by value rounded half up at six places, ties to the left."""
+    rounded = S.half_up(values, 6)
+    return [sorted((c for c in range(values.shape[1]) if values[r, c] > -np.inf), key=lambda c: (-rounded[r, c], c))[:k] for r in range(len(values))]
+
+
+def test_best_of_scores_that_differ_past_the_sixth_place():
+    draw = np.random.default_rng(5)
+    values = draw.integers(-40, 40, (30, 900)) / 16 + draw.integers(-4, 5, (30, 900)) * 2e-7
+    values[3], values[4, :890], values[5] = 0.25, -np.inf, -np.inf  # all equal, few, none
+    for k in (1, 5, 20):
+        i, j = S.first_k_rounded(values, k, 6)
+        assert [[int(c) for c in sorted(j[i == r], key=_by_hand(values, k)[r].index)] for r in range(30)] == _by_hand(values, k)
+    some, best = S.leftmost_best(values, 6)
+    assert [(int(a), int(b)) for a, b in zip(some, best)] == [(r, x[0]) for r, x in enumerate(_by_hand(values, 1)) if x]
+
+
+def test_scores_are_rounded_only_near_the_best(monkeypatch):
+    seen, rounded = [], S.half_up
+    monkeypatch.setattr(S, "half_up", lambda v, places: seen.append(v.size) or rounded(v, places))
+    values = np.random.default_rng(7).normal(size=(50, 8000))
+    S.first_k_rounded(values, 10, 6)
+    S.leftmost_best(values, 6)
+    assert sum(seen) < values.size / 50
+
+
+def test_ends_of_vectors_that_are_not_finite(spark):
+    inf, nan = float("inf"), float("nan")
+    v = spark.createDataFrame([(0, [1.0, 1.0]), (1, [inf, 0.0]), (2, [nan, 0.0]), (3, [-inf, 0.0]), (4, None), (5, [2.0, 0.0])], "id long, v array<double>").withColumn("kind", F.lit("a"))
+    rows = S.vector_ends(v.where("id = 0"), v, "id", "v", "kind").collect()
+    assert 2 in {r.first_id for r in rows} and 4 in {r.last_id for r in rows}
+    best = K.by_score(S.vector_pairs(v.where("id = 0"), v.drop("kind"), "id", "v", 5)).orderBy("rk").collect()
+    assert [r.candidate_id for r in best] == [2, 1, 5, 3, 4]
