@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,24 +53,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Of what is built and run inside, Spark deletes the shuffle files as soon as a run ends; the session's own setting comes back after.
+
+    For results that are written or fetched once. Waiting for the driver to collect its garbage leaves the files of several large shuffles on disk together.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str, **options: int | str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors, prunes columns."""
+    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors, prunes columns. Its shuffle files are deleted then."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.options(**options).parquet(path)
+    with shuffles_removed(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, as of tables that are written.
-
-    Spark does so when the driver collects its garbage, which a driver with a large heap does too seldom for a job of
-    several large shuffles.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def byte_slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
     """The batches of a mapInArrow function in slices of at most TEXT_ROWS rows and, past one row, TEXT_BYTES bytes of column `text`."""
     for batch in batches:

@@ -23,11 +23,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tries
-from .common import broadcast_if_small, byte_slices, materialize, release_shuffles, table
+from .common import broadcast_if_small, byte_slices, materialize, shuffles_removed, table
 
 LEAST = 10
 INSIDE = 50
@@ -164,9 +165,11 @@ def word_counts(written: DataFrame) -> DataFrame:
 def bitmap_of(hashes: DataFrame, column: str) -> np.ndarray:
     """The bitmap of the low BITMAP_BITS of all hashes: built by Spark, one row for each 32,768 bits."""
     bit = F.pmod(F.col(column), F.lit(1 << BITMAP_BITS)) + 1
-    chunks = hashes.groupBy(F.bitmap_bucket_number(bit).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    with shuffles_removed(hashes.sparkSession):
+        chunks = hashes.groupBy(F.bitmap_bucket_number(bit).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+        rows = chunks.collect()  # 4,096 rows of 4 KB at most, at any size
     whole = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    for row in chunks.collect():  # 4,096 rows of 4 KB at most, at any size
+    for row in rows:
         at = (row["chunk"] - 1) * 4096
         whole[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
     return whole
@@ -223,8 +226,6 @@ def candidates(texts: DataFrame, words: DataFrame, least: int = LEAST) -> DataFr
 
     pairs = _tallies(texts, lambda own, numbers: [frequent_pairs(own, numbers)[2]], ["pair"]).groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     known = context.broadcast(bitmap_of(pairs, "pair"))
-    del pairs
-    release_shuffles(texts.sparkSession)
 
     def phrases(own: np.ndarray, numbers: np.ndarray) -> list[np.ndarray]:
         h, at, pair = frequent_pairs(own, numbers)
@@ -238,9 +239,8 @@ def candidates(texts: DataFrame, words: DataFrame, least: int = LEAST) -> DataFr
     return tallied.where(F.col("n") >= least).select("w1", "w2", "w3")
 
 
-def trie_counts(texts: DataFrame, trie: tries.DoubleArray) -> DataFrame:
+def trie_counts(texts: DataFrame, spread: Broadcast[tries.DoubleArray]) -> DataFrame:
     """w1, w2, w3 (0 for pairs), a: occurrences of the phrases of one trie, all positions of a slice walking it together."""
-    spread = texts.sparkSession.sparkContext.broadcast(trie)  # at most PHRASES phrases
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = spread.value, np.zeros(len(spread.value.check), np.int32)
@@ -290,8 +290,9 @@ def phrase_counts(texts: DataFrame, found: DataFrame, phrases: int = PHRASES) ->
     for k in range(rounds):
         own = found.where(F.pmod(F.xxhash64("w1"), F.lit(rounds)) == k).select("w1", "w2", "w3").toArrow()  # about `phrases` rows of 24 bytes
         trie = tries.build(np.stack([own.column(c).to_numpy() for c in range(3)], axis=1).reshape(-1, 3))
-        parts.append(materialize(trie_counts(texts, trie), "phrases"))
-        release_shuffles(found.sparkSession)
+        spread = texts.sparkSession.sparkContext.broadcast(trie)  # at most about `phrases` phrases
+        parts.append(materialize(trie_counts(texts, spread), "phrases"))
+        spread.destroy()  # its files would stay on every disk, one for each trie
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -306,14 +307,12 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, top:
     while True:
         written = materialize(split_words(docs, seed), "split", **{"parquet.block.size": ROW_GROUP})
         words = materialize(word_counts(written), "words")
-        release_shuffles(docs.sparkSession)
         if not words.groupBy("w").count().where("count > 1").limit(1).count():  # no two words share a hash
             break
         seed += 1
     texts = written.where("numbers IS NOT NULL").select("own", "numbers")
     langs = words.groupBy("lang").agg(F.sum("n").alias("n"))
     found = materialize(candidates(texts, words, least), "candidates")
-    release_shuffles(docs.sparkSession)
     counted = phrase_counts(texts, found, phrases).where(F.col("a") >= least)
     common = words.where(F.col("n") >= least).select("w", "lang", "word", F.col("n").alias("f"))
     named = lambda k: common.select(F.col("w").alias(f"w{k}"), F.col("word").alias(f"word{k}"), F.col("f").alias(f"f{k}"), *([F.col("lang")] if k == 1 else []))

@@ -4,14 +4,16 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from gridloom.llm import counts, middles, phrases, sets, tries
+from gridloom.llm import common, counts, middles, phrases, sets, tries
 
 #: Extra columns whose names the operators use inside.
 EXTRA = "n long, digest string, node string, output int, w1 string, key string"
@@ -245,3 +247,15 @@ def test_tries_walk_as_dictionaries_do(seed, phrases_in, vocabulary):
         assert at.tolist() == [i for i in range(500 - k) if tuple(text[i : i + k + 1].tolist()) in known]
         paths = trie.path(states)
         assert all(tuple(p[: k + 1]) == tuple(text[i : i + k + 1].tolist()) and not any(p[k + 1 :]) for p, i in zip(paths.tolist(), at))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """The words' tallies and those of pairs and triples must not lie on disk together."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(name)
+    numbers = spark.range(5000).select(F.xxhash64("id").alias("k")).groupBy("k").count()
+    assert common.materialize(numbers, "numbers").count() == 5000
+    assert phrases.bitmap_of(numbers, "k").any()
+    assert not files() - before and spark.conf.get(name) == setting
