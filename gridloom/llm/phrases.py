@@ -42,6 +42,9 @@ BITMAP_BITS = 27
 TALLIED = 1 << 20
 KNOWN = 1 << 18
 
+#: Passes that a level's tallies are made in, each over its share of the hashes: only one share's shuffle is on disk at a time.
+SHARES = 3
+
 #: Bytes of a row group of split texts: what a reading task holds at once.
 ROW_GROUP = 8 << 20
 
@@ -175,6 +178,10 @@ def bitmap_of(hashes: DataFrame, column: str) -> np.ndarray:
     return whole
 
 
+def _of_share(hashes: np.ndarray, share: int) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(40)) % np.uint64(SHARES) == share
+
+
 def _in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     low = hashes & ((1 << BITMAP_BITS) - 1)
     return (bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0
@@ -214,7 +221,7 @@ def _tallies(texts: DataFrame, find: Callable[[np.ndarray, np.ndarray], list[np.
 
 
 def candidates(texts: DataFrame, words: DataFrame, least: int = LEAST) -> DataFrame:
-    """w1, w2, w3 (0 for pairs): all phrases that can occur `least` times or more, and few others."""
+    """w1, w2, w3 (0 for pairs): all phrases that can occur `least` times or more, and few others; written."""
     context = texts.sparkSession.sparkContext
     often = context.broadcast(bitmap_of(words.where(F.col("n") >= least), "w"))  # 16 MB at any size
 
@@ -224,19 +231,30 @@ def candidates(texts: DataFrame, words: DataFrame, least: int = LEAST) -> DataFr
         h = own[numbers]
         return h, at, _blend(h[at], h[at + 1])
 
-    pairs = _tallies(texts, lambda own, numbers: [frequent_pairs(own, numbers)[2]], ["pair"]).groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    known = context.broadcast(bitmap_of(pairs, "pair"))
+    def pairs(share: int) -> DataFrame:
+        def own_pairs(own: np.ndarray, numbers: np.ndarray) -> list[np.ndarray]:
+            pair = frequent_pairs(own, numbers)[2]
+            return [pair[_of_share(pair, share)]]
+
+        return _tallies(texts, own_pairs, ["pair"]).groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+    known = context.broadcast(reduce(np.bitwise_or, (bitmap_of(pairs(k), "pair") for k in range(SHARES))))
+
+    def phrases(share: int) -> DataFrame:
+        def own_phrases(own: np.ndarray, numbers: np.ndarray) -> list[np.ndarray]:
+            h, at, pair = frequent_pairs(own, numbers)
+            good = _in_bitmap(known.value, pair)
+            at, here = at[good], _of_share(pair[good], share)  # a triple goes with its first pair
+            triple = at[:-1][(np.diff(at) == 1) & here[:-1]]
+            at = at[here]
+            third = np.concatenate([np.zeros(len(at), np.int64), h[triple + 2]])
+            at = np.concatenate([at, triple])
+            return [h[at], h[at + 1], third]
 
-    def phrases(own: np.ndarray, numbers: np.ndarray) -> list[np.ndarray]:
-        h, at, pair = frequent_pairs(own, numbers)
-        at = at[_in_bitmap(known.value, pair)]
-        triple = at[:-1][np.diff(at) == 1]
-        third = np.concatenate([np.zeros(len(at), np.int64), h[triple + 2]])
-        at = np.concatenate([at, triple])
-        return [h[at], h[at + 1], third]
+        tallied = _tallies(texts, own_phrases, ["w1", "w2", "w3"]).groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n"))
+        return tallied.where(F.col("n") >= least).select("w1", "w2", "w3")
 
-    tallied = _tallies(texts, phrases, ["w1", "w2", "w3"]).groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n"))
-    return tallied.where(F.col("n") >= least).select("w1", "w2", "w3")
+    return reduce(DataFrame.unionByName, [materialize(phrases(k), "candidates") for k in range(SHARES)])
 
 
 def trie_counts(texts: DataFrame, spread: Broadcast[tries.DoubleArray]) -> DataFrame:
@@ -305,14 +323,14 @@ def score(a: Column, left: Column, right: Column) -> Column:
 def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, top: int = TOP, phrases: int = PHRASES, seed: int = 0) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the `top` phrases of each language."""
     while True:
-        written = materialize(split_words(docs, seed), "split", **{"parquet.block.size": ROW_GROUP})
+        written = materialize(split_words(docs, seed), "split", compression="zstd", **{"parquet.block.size": ROW_GROUP})
         words = materialize(word_counts(written), "words")
         if not words.groupBy("w").count().where("count > 1").limit(1).count():  # no two words share a hash
             break
         seed += 1
     texts = written.where("numbers IS NOT NULL").select("own", "numbers")
     langs = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    found = materialize(candidates(texts, words, least), "candidates")
+    found = candidates(texts, words, least)
     counted = phrase_counts(texts, found, phrases).where(F.col("a") >= least)
     common = words.where(F.col("n") >= least).select("w", "lang", "word", F.col("n").alias("f"))
     named = lambda k: common.select(F.col("w").alias(f"w{k}"), F.col("word").alias(f"word{k}"), F.col("f").alias(f"f{k}"), *([F.col("lang")] if k == 1 else []))
