@@ -206,3 +206,11 @@ def test_ends_of_vectors_that_are_not_finite(spark):
     assert 2 in {r.first_id for r in rows} and 4 in {r.last_id for r in rows}
     best = K.by_score(S.vector_pairs(v.where("id = 0"), v.drop("kind"), "id", "v", 5)).orderBy("rk").collect()
     assert [r.candidate_id for r in best] == [2, 1, 5, 3, 4]
+
+
+def test_a_block_without_queries_gives_nothing(spark):
+    i, j = S.first_k_rounded(np.zeros((0, 900)), 5, 6)
+    assert len(i) == len(j) == 0
+    v = spark.range(1200).select("id", F.array(F.col("id") * 1.0, F.lit(1.0)).alias("v"))
+    rows = K.by_score(S.vector_pairs(v.where("id < 3"), v, "id", "v", 2)).where("rk = 1").collect()  # three queries, dealt to three blocks down
+    assert {(r.query_id, r.candidate_id) for r in rows} == {(0, 1), (1, 1199), (2, 1199)}
