@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,28 @@ def query_metrics(ranked: DataFrame, pool: DataFrame, ks: tuple[int, ...]) -> Da
     return both.select(*out)
 
 
+#: Of every query and of every k, in the order of `query_metrics`.
+LIST_METRICS, METRICS_AT = ("ap_hit", "ap_exact"), ("ndcg", "precision", "recall", "hit_rate", "mean_jaccard", "exact_rate")
+
+
+def list_schema(ks: tuple[int, ...]) -> str:
+    """The columns of `list_metrics`."""
+    return ", ".join(["query_id long", "n_ranked long", *[f"{n} double" for n in LIST_METRICS], *[f"{n}_{k} double" for k in ks for n in METRICS_AT]])
+
+
+def list_metrics(query_id: int, jac: np.ndarray, ks: tuple[int, ...]) -> dict[str, pa.Array]:
+    """`query_metrics` of one whole list, which is its own pool, from the similarities (and gains) of its candidates in order."""
+    rk = np.arange(1, len(jac) + 1)
+    good = {"hit": jac > 0, "exact": jac == 1.0}
+    total = {x: max(int(g.sum()), 1) for x, g in good.items()}
+    out = {f"ap_{x}": (np.cumsum(g)[g] / rk[g]).sum() / total[x] for x, g in good.items()}
+    for k in ks:
+        places, best = np.log2(rk[:k] + 1), np.sort(np.partition(jac, len(jac) - k)[-k:] if len(jac) > k else jac)[::-1]
+        ideal, top = (best / places).sum(), int(good["hit"][:k].sum())
+        out |= {f"ndcg_{k}": (jac[:k] / places).sum() / ideal if ideal > 0 else None, f"precision_{k}": top / len(places), f"recall_{k}": top / total["hit"], f"hit_rate_{k}": float(top > 0), f"mean_jaccard_{k}": jac[:k].mean(), f"exact_rate_{k}": float(good["exact"][:k].any())}
+    return {"query_id": pa.array([query_id], pa.int64()), "n_ranked": pa.array([len(jac)], pa.int64()), **{n: pa.array([x], pa.float64()) for n, x in out.items()}}
+
+
 def mean_all(per_query: DataFrame, *names: str) -> DataFrame:
     """The mean of each column; nulls are left out, and a column of nulls has a null mean."""
     return per_query.agg(*[F.avg(n).alias(n) for n in names])
