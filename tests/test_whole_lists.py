@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom import catalog
@@ -58,3 +59,10 @@ def test_flat_metrics_are_those_of_whole_lists(spark, sf):
     means = M.mean_all(M.query_metrics(whole, whole, P.KS), *P.NAMES).first().asDict()
     own = {r.metric: r.value for r in catalog.queries()["k3_flat_metrics"](spark, sf).collect()}
     assert set(own) == set(means) and all(abs(own[n] - means[n]) < 1e-6 for n in means)
+
+
+@pytest.mark.parametrize("name", ["o2_rank_by_score", "o3_rank_by_text_id"])
+def test_lists_are_made_where_they_are_scored(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(S, "vector_pairs", None)
+    monkeypatch.setattr(S, "blocked_pairs", None)
+    assert catalog.queries()[name](spark, sf).count()
