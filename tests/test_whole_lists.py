@@ -11,6 +11,7 @@ from gridloom.operators import metrics as M
 from gridloom.operators import similarity as S
 from gridloom.plans import metrics as P
 from gridloom.plans import rankings as Q
+from gridloom.sources import tables
 
 from .test_blocks import _lists, _vectors
 
@@ -66,3 +67,9 @@ def test_lists_are_made_where_they_are_scored(spark, sf, monkeypatch, name):
     monkeypatch.setattr(S, "vector_pairs", None)
     monkeypatch.setattr(S, "blocked_pairs", None)
     assert catalog.queries()[name](spark, sf).count()
+
+
+def test_lines_of_a_pair_stand_together(spark, sf):
+    lines = spark.sql("select array(named_struct('seq', 3, 'score', -1.0d), named_struct('seq', 4, 'score', null), named_struct('seq', 1, 'score', 2.0d)) as lines")
+    assert lines.select(tables.last_line(F.col("lines"), "score")).first()[0] is None
+    assert "HashAggregate" not in catalog.queries()["s9_last_scores"](spark, sf)._jdf.queryExecution().executedPlan().toString()
