@@ -2,8 +2,13 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from gridloom import catalog
 from gridloom.operators import matching as T
+from gridloom.operators import similarity as S
+from gridloom.plans import matching as P
 
 
 def _wafers(spark):
@@ -31,3 +36,25 @@ def test_every_wafer_asks_for_its_class_match(spark, sf):
     rows = catalog.queries()["j14_class_match"](spark, sf)
     wafers = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").distinct().count()
     assert rows.select("query_id").distinct().count() == wafers > 1
+
+
+def _token_sides(spark, sf):
+    t = P.tokens(spark, sf).localCheckpoint()
+    return T.score_token_pairs(T.block_token_pairs(t, t), P.H, P.W).localCheckpoint(), T.token_lists(t).localCheckpoint()
+
+
+def test_top_means_and_evidence_of_blocks(spark, sf):
+    scored, t = _token_sides(spark, sf)
+    plain = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    for k in (1, 2, 9):
+        assert plain(T.block_top_mean(t, t, P.H, P.W, k)) == plain(T.top_mean_scores(scored, k))
+    order = S.Window.partitionBy("query_id", "candidate_id", "q_token").orderBy(F.desc(F.round("score", 6)), "c_token")
+    best = scored.withColumn("place", F.row_number().over(order).cast("long")).where("place <= 2")
+    assert plain(T.block_top_evidence(t, t, P.H, P.W, 2)) == plain(best.select("query_id", "candidate_id", "q_token", "c_token", F.round("score", 6), "place"))
+
+
+@pytest.mark.parametrize("name", ["j11_top_mean"])
+def test_every_map_asks(spark, sf, name):
+    rows = catalog.queries()[name](spark, sf).select("query_id", "candidate_id").distinct().collect()
+    maps = {r.candidate_id for r in rows}
+    assert {r.query_id for r in rows} == maps and len(rows) == len(maps) * (len(maps) - 1) > 0
