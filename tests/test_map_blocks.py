@@ -53,7 +53,7 @@ def test_top_means_and_evidence_of_blocks(spark, sf):
     assert plain(T.block_top_evidence(t, t, P.H, P.W, 2)) == plain(best.select("query_id", "candidate_id", "q_token", "c_token", F.round("score", 6), "place"))
 
 
-@pytest.mark.parametrize("name", ["j11_top_mean", "j9_top_evidence", "j12_dense_scores"])
+@pytest.mark.parametrize("name", ["j11_top_mean", "j9_top_evidence", "j12_dense_scores", "p14_mutual_nearest"])
 def test_every_map_asks(spark, sf, name):
     rows = catalog.queries()[name](spark, sf).select("query_id", "candidate_id").distinct().collect()
     maps = {r.candidate_id for r in rows}
