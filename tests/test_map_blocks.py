@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +60,13 @@ def test_every_map_asks(spark, sf, name):
     rows = catalog.queries()[name](spark, sf).select("query_id", "candidate_id").distinct().collect()
     maps = {r.candidate_id for r in rows}
     assert {r.query_id for r in rows} == maps and len(rows) == len(maps) * (len(maps) - 1) > 0
+
+
+def test_token_scores_take_the_same_memory_again():
+    draw = np.random.default_rng(3)
+    entry = lambda: {"token": 1, **{x: float(draw.uniform(1, 9)) for x in T.SCORED}, "geometry": [float(x) for x in draw.random(10)]}
+    side = lambda first: T.Tokens(pa.table({"map_id": range(first, first + 4), "tokens": [[entry() for _ in range(n)] for n in (3, 1, 4, 2)]}))
+    q, c = side(0), side(10)
+    whole = {k: v.copy() for k, v in T.token_scores(q, c, 16, 16).items()}
+    first, again = T.token_scores(q.part(0, 2), c, 16, 16), T.token_scores(q.part(2, 4), c, 16, 16)
+    assert all(np.shares_memory(first[k], again[k]) for k in whole) and all((again[k] == whole[k][4:]).all() for k in whole)
