@@ -70,3 +70,10 @@ def test_token_scores_take_the_same_memory_again():
     whole = {k: v.copy() for k, v in T.token_scores(q, c, 16, 16).items()}
     first, again = T.token_scores(q.part(0, 2), c, 16, 16), T.token_scores(q.part(2, 4), c, 16, 16)
     assert all(np.shares_memory(first[k], again[k]) for k in whole) and all((again[k] == whole[k][4:]).all() for k in whole)
+
+
+def test_label_sets_meet_in_large_blocks(spark, sf, monkeypatch):
+    blocks, plain = [], S.block_grid
+    monkeypatch.setattr(S, "block_grid", lambda q, c, key, block: blocks.append(block) or plain(q, c, key, block))
+    assert catalog.queries()["p12_label_gated_score"](spark, sf).count()
+    assert blocks == [S.SLIM_BLOCK] and min(S.SLIM_BLOCK) >= 2 * S.BLOCK
