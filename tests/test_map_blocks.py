@@ -77,3 +77,11 @@ def test_label_sets_meet_in_large_blocks(spark, sf, monkeypatch):
     monkeypatch.setattr(S, "block_grid", lambda q, c, key, block: blocks.append(block) or plain(q, c, key, block))
     assert catalog.queries()["p12_label_gated_score"](spark, sf).count()
     assert blocks == [S.SLIM_BLOCK] and min(S.SLIM_BLOCK) >= 2 * S.BLOCK
+
+
+def test_blocks_of_token_pairs_are_small(spark, sf, monkeypatch):
+    blocks, plain = [], S.block_grid
+    monkeypatch.setattr(S, "block_grid", lambda q, c, key, block: blocks.append(block) or plain(q, c, key, block))
+    for name in ("j1_token_pair_scores", "j1_zernike_pair_scores"):
+        catalog.queries()[name](spark, sf)
+    assert [a * b <= 1 << 17 for a, b in blocks] == [True, True]
